@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .bytebpe import op10_byte_bpe
+from .packing import op9_packing
 from .quality import op3_quality_rules
+from .tokens import op7_token_counts
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_token_counts": op7_token_counts,
+    "op9_packing": op9_packing,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
