@@ -6,10 +6,12 @@ from .bytebpe import op10_byte_bpe
 from .packing import op9_packing
 from .quality import op3_quality_rules
 from .tokens import op7_token_counts
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
