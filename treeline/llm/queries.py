@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bytebpe import op10_byte_bpe
 from .packing import op9_packing
+from .pii import op1_pii
 from .quality import op3_quality_rules
 from .tokens import op7_token_counts
 from .toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_quality_rules": op3_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
