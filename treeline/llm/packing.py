@@ -24,6 +24,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,15 +77,21 @@ class WordEncoder:
         return ids, np.concatenate(([0], ends[stops - 1])) if len(stops) else np.zeros(1, np.int64)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document's pieces."""
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        coder = encoder(path)
         for b in slices(batches, "text"):
-            ids, offsets = encoder.encode(b.column("text"))
+            ids, offsets = coder.encode(b.column("text"))
             total = np.diff(offsets)
             count = (total + length - 1) // length
             row = np.repeat(np.arange(len(total)), count)
