@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bytebpe import op10_byte_bpe
+from .language_model import op5_lm_scores
 from .neardup import op4_near_duplicates
 from .packing import op9_packing
 from .pii import op1_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_lm_scores": op5_lm_scores,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
