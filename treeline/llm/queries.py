@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .bytebpe import op10_byte_bpe
 from .language_model import op5_lm_scores
 from .neardup import op4_near_duplicates
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_lm_scores": op5_lm_scores,
+    "op6_ann": op6_ann,
     "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
