@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op6_ann
 from .bytebpe import op10_byte_bpe
+from .html_text import op2_html_text
 from .language_model import op5_lm_scores
 from .neardup import op4_near_duplicates
 from .packing import op9_packing
@@ -14,6 +15,7 @@ from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_html_text": op2_html_text,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_lm_scores": op5_lm_scores,
