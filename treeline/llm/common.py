@@ -82,6 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int = 4 << 20)
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             spent, start = int(ends[stop - 1]), stop
+        pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
