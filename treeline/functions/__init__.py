@@ -1,0 +1,57 @@
+"""SQL-callable functions of the engine."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import pandas_udf
+
+
+@pandas_udf("struct<score:double,ranges:string>")
+def fuzzy(names: pd.Series, queries: pd.Series) -> pd.DataFrame:
+    """Subsequence match: consecutive letters and word starts score more; null if
+    the query's letters don't occur in order. ranges are 'start-end' pairs."""
+    out = []
+    for name, query in zip(names.fillna(""), queries.fillna(""), strict=True):
+        low, at, score, spans = name.lower(), 0, 0.0, []
+        for ch in query.lower().replace(" ", ""):
+            k = low.find(ch, at)
+            if k < 0:
+                score = None
+                break
+            start = k == 0 or not low[k - 1].isalnum()
+            score += 1 + 3 * (bool(spans) and spans[-1][1] == k) + 2 * start - min(k - at, 10) * 0.1
+            if spans and spans[-1][1] == k:
+                spans[-1][1] = k + 1
+            else:
+                spans.append([k, k + 1])
+            at = k + 1
+        out.append((score, None if score is None else ",".join(f"{a}-{b}" for a, b in spans)))
+    return pd.DataFrame(out, columns=["score", "ranges"])
+
+
+def highlights(name: str, query: str) -> list[tuple[int, int]]:
+    """Merged ranges where a query's words (or their plurals) stand literally."""
+    low, found = name.lower(), []
+    for word in query.lower().split():
+        for form in {word, word + "s", word[:-1] if word.endswith("s") and len(word) > 3 else word}:
+            at = low.find(form)
+            while at >= 0:
+                found.append((at, at + len(form)))
+                at = low.find(form, at + 1)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def register(spark: SparkSession) -> None:
+    """Make parsers and functions available to SQL."""
+    from ..sources import newick, turtle
+
+    newick.register(spark)
+    turtle.register(spark)
+    spark.udf.register("fuzzy", fuzzy)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
 from .tree import closure
 
 NO_IDS = "array<bigint>"
@@ -35,6 +36,7 @@ def induced_subtree(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     are; the whole tree is only read once, filtered by a semi-join.
     """
     picked = tree.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").select("id", F.reverse("lineage").alias("path"))
+    picked = materialise(picked)
     n = picked.count()
     if not n:
         return picked.select("id", F.lit(None).cast("long").alias("anc"), F.array().cast(NO_IDS).alias("suppressed"), F.lit(True).alias("is_selected"), F.lit(False).alias("is_mrca"))
@@ -123,7 +125,7 @@ def added(before: DataFrame, after: DataFrame) -> DataFrame:
     """(id, flare, wave): rows of an induced tree (id, anc) that weren't rendered
     before, with the nearest rendered-before ancestor and the hops to it."""
     old = before.select("id").withColumn("was", F.lit(True))
-    state = after.join(old, "id", "left").select("id", "anc", F.coalesce("was", F.lit(False)).alias("was"))
+    state = materialise(after.join(old, "id", "left").select("id", "anc", F.coalesce("was", F.lit(False)).alias("was")))
     fresh = state.where("NOT was").select("id", F.col("anc").alias("flare"), F.lit(1).cast("long").alias("wave"))
     up = state.select(F.col("id").alias("flare"), F.col("anc").alias("next"), "was")
     while True:
