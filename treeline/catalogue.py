@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import entities, hierarchy, timeline
+
+QUERIES: dict = hierarchy.QUERIES | entities.QUERIES | timeline.QUERIES
+ORACLES: dict[str, str] = hierarchy.ORACLES | entities.ORACLES | timeline.ORACLES

@@ -50,5 +50,5 @@ def release_plan(queue: DataFrame, seconds: float) -> DataFrame:
     first = queue.groupBy("session", "key").agg(F.min("ts").alias("ts"))
     w = Window.partitionBy("session").orderBy("ts", "key")
     n = first.withColumn("n", F.row_number().over(w) - 1)
-    slack = F.max(F.unix_micros("ts") / 1e6 - F.col("n") * seconds).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    slack = F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.col("n") * seconds).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return n.select("session", "key", F.round(slack + F.col("n") * seconds, 6).alias("release"))

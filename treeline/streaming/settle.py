@@ -49,10 +49,10 @@ def settled_queries(events: DataFrame, idle: float = IDLE_QUERY) -> DataFrame:
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["ts", "subject"])
-        got = settle_words(list(zip(g["ts"].astype("int64") / 1e9 if str(g["ts"].dtype).startswith("datetime64[ns") else g["ts"].map(lambda x: x.timestamp()), g["subject"], strict=True)), idle)
+        got = settle_words(list(zip([x.timestamp() for x in g["ts"]], g["subject"], strict=True)), idle)
         return pd.DataFrame({"session": [key[0]] * len(got), "ts": pd.to_datetime([t for t, _ in got], unit="s"), "query": [q for _, q in got]})
 
-    return events.where("subject IS NOT NULL").select("session", "ts", "subject").groupBy("session").applyInPandas(run, "session long, ts timestamp, query string")
+    return events.where("subject IS NOT NULL").select("session", "ts", "subject").groupBy("session").applyInPandas(run, "session long, ts timestamp_ntz, query string")
 
 
 def settled_trees(events: DataFrame, idle: float = IDLE_TREE) -> DataFrame:
@@ -62,7 +62,7 @@ def settled_trees(events: DataFrame, idle: float = IDLE_TREE) -> DataFrame:
 
     w = Window.partitionBy("session").orderBy("ts", "event_id")
     e = events.withColumn("key", set_key(F.split("tree", ","))).withColumn("next", F.lead("ts").over(w))
-    last = e.where(F.col("next").isNull() | ((F.unix_micros("next") - F.unix_micros("ts")) > idle * 1_000_000)).where(F.size(F.split("key", ",")) >= 2)
+    last = e.where(F.col("next").isNull() | ((F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) > idle * 1_000_000)).where(F.size(F.split("key", ",")) >= 2)
     return last.withColumn("before", F.lag("key").over(w)).where("before IS NULL OR before <> key").select("session", "ts", "key", "cause")
 
 
