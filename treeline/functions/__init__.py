@@ -5,9 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+MATCH = StructType([StructField("score", DoubleType()), StructField("ranges", StringType())])  # a DDL string would need a session here
 
-@pandas_udf("struct<score:double,ranges:string>")
+
+@pandas_udf(MATCH)
 def fuzzy(names: pd.Series, queries: pd.Series) -> pd.DataFrame:
     """Subsequence match: consecutive letters and word starts score more; null if
     the query's letters don't occur in order. ranges are 'start-end' pairs."""

@@ -50,7 +50,7 @@ def settled_queries(events: DataFrame, idle: float = IDLE_QUERY) -> DataFrame:
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["ts", "subject"])
         got = settle_words(list(zip([x.timestamp() for x in g["ts"]], g["subject"], strict=True)), idle)
-        return pd.DataFrame({"session": [key[0]] * len(got), "ts": pd.to_datetime([t for t, _ in got], unit="s"), "query": [q for _, q in got]})
+        return pd.DataFrame({"session": [key[0]] * len(got), "ts": pd.to_datetime([round(t * 1e6) for t, _ in got], unit="us"), "query": [q for _, q in got]})
 
     return events.where("subject IS NOT NULL").select("session", "ts", "subject").groupBy("session").applyInPandas(run, "session long, ts timestamp_ntz, query string")
 
@@ -75,7 +75,7 @@ class QuerySettler(StatefulProcessor):
 
     def _emit(self, key, query: str, emitted: str, at: float) -> Iterator[pd.DataFrame]:
         if query and query != emitted:
-            yield pd.DataFrame({"session": [key[0]], "ts": pd.to_datetime([at], unit="s"), "query": [query]})
+            yield pd.DataFrame({"session": [key[0]], "ts": pd.to_datetime([round(at * 1e6)], unit="us"), "query": [query]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         query, at, emitted = self.state.get() if self.state.exists() else ("", 0.0, "")
