@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .ann import op6_ann
 from .bytebpe import op10_byte_bpe
 from .html_text import op2_html_text
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality_rules": oracles.OP3, "op4_near_duplicates": oracles.OP4}
