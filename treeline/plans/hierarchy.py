@@ -154,7 +154,7 @@ BRANCHES = "SELECT n_regionkey AS fork, n_nationkey AS branch, CAST(0 AS BIGINT)
 
 
 @query("divergence_names", f"""WITH b AS ({duck(BRANCHES)}), f AS (SELECT fork, branch, arg_min(name, place) AS name FROM b WHERE name IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY fork ORDER BY branch) AS k, count(*) OVER (PARTITION BY fork) AS n FROM f)
- SELECT fork, string_agg(name, ', ' ORDER BY branch) FILTER (k <= 3) || CASE WHEN max(n) > 3 THEN ' +' || (max(n) - 3) ELSE '' END AS label FROM r GROUP BY fork""")
+ SELECT CAST(fork AS BIGINT) AS fork, string_agg(name, ', ' ORDER BY branch) FILTER (k <= 3) || CASE WHEN max(n) > 3 THEN ' +' || (max(n) - 3) ELSE '' END AS label FROM r GROUP BY fork""")
 def _(s, d):
     return paths.fork_names(rows(s, d, BRANCHES))
 
@@ -250,7 +250,7 @@ def _(s, d):
     return ages.violations(tree(s, d), rows(s, d, i.AGES))
 
 
-BOUNDS = f"SELECT {4 * T} + o_orderkey AS id, round(o_totalprice / 50, 2) AS bound FROM {{orders}} WHERE o_orderstatus = 'P'"
+BOUNDS = f"SELECT {4 * T} + o_orderkey AS id, floor(o_totalprice) / 50 AS bound FROM {{orders}} WHERE o_orderstatus = 'P'"
 BOUND_SQL = f"bo AS ({duck(BOUNDS)}), lw AS (SELECT c.anc AS id, max(bo.bound) AS bound FROM c JOIN bo ON bo.id = c.id GROUP BY c.anc), bd AS (SELECT * FROM lw WHERE id NOT IN (SELECT c.anc FROM c WHERE c.id IN (SELECT id FROM a0)))"
 
 

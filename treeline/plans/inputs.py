@@ -30,13 +30,13 @@ UNION ALL SELECT DISTINCT {6 * T} + (length(c_mktsegment) * 100 + ascii(c_mktseg
 UNION ALL SELECT {3 * T} + c_custkey, {6 * T} + (length(c_mktsegment) * 100 + ascii(c_mktsegment)) * 1000 + c_nationkey FROM {{customer}}"""
 CHOSEN = f"SELECT {3 * T} + c_custkey AS id FROM {{customer}} WHERE c_custkey % 97 = 5 UNION ALL SELECT {2 * T} + n_nationkey FROM {{nation}} WHERE n_nationkey = 7 UNION ALL SELECT CAST(-5 AS BIGINT) UNION ALL SELECT {2 * T} + n_nationkey FROM {{nation}} WHERE n_nationkey = 7"
 #: Days between an order and the end of 1999; finished orders are dated.
-ORDER_AGES = f"SELECT {4 * T} + o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice / 100, 2) END AS age, o_orderstatus AS status FROM {{orders}}"
-AGES = f"SELECT id, age FROM ({ORDER_AGES}) o WHERE age IS NOT NULL UNION ALL SELECT {3 * T} + c_custkey, round(abs(c_acctbal), 2) FROM {{customer}} WHERE c_custkey % 3 = 0 UNION ALL SELECT {2 * T} + n_nationkey, CAST(6000 + n_nationkey * 10 AS DOUBLE) FROM {{nation}} WHERE n_nationkey % 2 = 0"
+ORDER_AGES = f"SELECT {4 * T} + o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice) / 100 END AS age, o_orderstatus AS status FROM {{orders}}"
+AGES = f"SELECT id, age FROM ({ORDER_AGES}) o WHERE age IS NOT NULL UNION ALL SELECT {3 * T} + c_custkey, abs(c_acctbal) FROM {{customer}} WHERE c_custkey % 3 = 0 UNION ALL SELECT {2 * T} + n_nationkey, CAST(6000 + n_nationkey * 10 AS DOUBLE) FROM {{nation}} WHERE n_nationkey % 2 = 0"
 MATCHES = f"""
-SELECT {3 * T} + c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN round(abs(c_acctbal), 2) END AS other_age,
+SELECT {3 * T} + c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN abs(c_acctbal) END AS other_age,
  CASE c_custkey % 5 WHEN 0 THEN 'shared_tip' WHEN 1 THEN 'identical' WHEN 2 THEN 'subset' WHEN 3 THEN 'conflict' ELSE 'matched' END AS class FROM {{customer}}
-UNION ALL SELECT {3 * T} + c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN round(abs(c_acctbal), 2) END, 'conflict' FROM {{customer}} WHERE c_custkey % 10 = 1"""
-LENGTHS = f"SELECT {3 * T} + c_custkey AS id, round(abs(c_acctbal) / 1000, 2) AS length FROM {{customer}} UNION ALL SELECT {4 * T} + o_orderkey, CAST(o_orderkey % 13 AS DOUBLE) FROM {{orders}} UNION ALL SELECT {2 * T} + n_nationkey, CAST(n_nationkey AS DOUBLE) FROM {{nation}}"
+UNION ALL SELECT {3 * T} + c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN abs(c_acctbal) END, 'conflict' FROM {{customer}} WHERE c_custkey % 10 = 1"""
+LENGTHS = f"SELECT {3 * T} + c_custkey AS id, floor(abs(c_acctbal)) / 1000 AS length FROM {{customer}} UNION ALL SELECT {4 * T} + o_orderkey, CAST(o_orderkey % 13 AS DOUBLE) FROM {{orders}} UNION ALL SELECT {2 * T} + n_nationkey, CAST(n_nationkey AS DOUBLE) FROM {{nation}}"
 SEEDS = f"SELECT {3 * T} + c_custkey AS id, c_custkey AS asset FROM {{customer}} WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 3 <> 1 UNION ALL SELECT {4 * T} + o_orderkey, 1000000 + o_orderkey FROM {{orders}} WHERE o_orderkey % 50 = 3"
 FACTS = f"""
 SELECT s_suppkey AS fact, s_name AS name, {2 * T} + s_nationkey AS attach, s_suppkey % 3 AS walk, s_suppkey % 11 AS n_occs, s_suppkey % 2 = 0 AS is_primary, s_suppkey % 5 <> 0 AS is_extinct,
