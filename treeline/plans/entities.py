@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..operators import names, paths, resolve, search, serving, spelling
 from . import inputs as i
+from .hierarchy import INDUCED
 from .inputs import DUCK_TREE, T, duck, full, rows, tree
 
 QUERIES: dict = {}
@@ -394,7 +395,7 @@ def _(s, d):
     return serving.about({t: table(s, d, t) for t in ("region", "nation", "customer", "part", "orders")})
 
 
-@query("focus_path", None)
+@query("focus_path", f"{INDUCED} SELECT ind.id, ind.id NOT IN (SELECT anc FROM c WHERE id = {3 * T + 5}) AS dimmed FROM ind")
 def _(s, d):
     shown = paths.induced_subtree(tree(s, d), rows(s, d, i.CHOSEN))
     return serving.focus(shown, tree(s, d), 3 * T + 5)

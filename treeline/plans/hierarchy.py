@@ -99,7 +99,10 @@ def _(s, d):
     return out.withColumn("suppressed", F.array_join(F.transform("suppressed", lambda x: x.cast("string")), ","))
 
 
-@query("layout_rows", None)
+LEVELS = "".join(f", y{k} AS (SELECT * FROM y{k + 1} UNION ALL SELECT i.anc, (min(y.y) + max(y.y)) / 2 FROM ind i JOIN y{k + 1} y ON y.id = i.id JOIN t ON t.id = i.anc WHERE t.depth = {k} GROUP BY i.anc)" for k in (3, 2, 1, 0))
+
+
+@query("layout_rows", f"""{INDUCED}, y4 AS (SELECT ind.id, CAST(row_number() OVER (ORDER BY t.idx) - 1 AS DOUBLE) AS y FROM ind JOIN t ON t.id = ind.id WHERE ind.id NOT IN (SELECT anc FROM ind WHERE anc IS NOT NULL)){LEVELS} SELECT id, y FROM y0""")
 def _(s, d):
     shown = paths.induced_subtree(tree(s, d), rows(s, d, i.CHOSEN)).join(tree(s, d).select("id", "idx", "depth"), "id")
     return layout.rows(shown)
@@ -202,7 +205,9 @@ def _(s, d):
     return ages.congruence(*_clades(s, d)).select("id", "class")
 
 
-@query("clade_comparison", None)
+@query("clade_comparison", f"""{DUCK_TREE}, sg AS ({duck(i.SEGMENTS)}), g AS (SELECT id, id AS anc, parent AS nxt FROM sg WHERE id >= {3 * T} AND id < {4 * T} UNION ALL SELECT g.id, sg.id, sg.parent FROM g JOIN sg ON g.nxt = sg.id),
+ a AS (SELECT DISTINCT string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.id) AS clade FROM c JOIN t ON t.id = c.id WHERE t.rank = 'customer' GROUP BY c.anc), b AS (SELECT DISTINCT string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS clade FROM g GROUP BY anc)
+ SELECT 'first' AS side, count(*) AS clades FROM (SELECT * FROM a EXCEPT SELECT * FROM b) HAVING count(*) > 0 UNION ALL SELECT 'second', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) HAVING count(*) > 0""")
 def _(s, d):
     a, b = _clades(s, d)
     return paths.same_clades(a.select("id", "tip"), b.select("id", "tip"))
