@@ -321,7 +321,18 @@ ENDS = """SELECT p_partkey AS id, CASE WHEN p_partkey >= 10 THEN CAST(floor(p_pa
  CASE WHEN p_partkey % 13 <> 0 THEN CAST(20 + p_size AS DOUBLE) END AS lla, p_partkey % 9 + 2 AS n_occs, CASE p_partkey % 11 WHEN 0 THEN 'I' WHEN 1 THEN 'XF' END AS flags FROM {part} WHERE p_partkey BETWEEN 1 AND 999"""
 
 
-@query("young_ends", None)
+ENDS_SQL = f"""WITH e AS ({duck(ENDS)}), t AS (SELECT e.*, greatest(0, n_occs - coalesce(ch.s, 0)) AS own_occs FROM e LEFT JOIN (SELECT parent_id AS p, sum(n_occs) AS s FROM e GROUP BY 1) ch ON ch.p = e.id),
+ r3 AS (SELECT id, parent_id, lla, lla AS sub_min, lla AS sub_lea, n_occs AS sub_at FROM e WHERE false)"""
+for _k in (2, 1, 0):
+    ENDS_SQL += f""", k{_k} AS (SELECT parent_id AS kid, mn AS fin, arg_min(sub_lea, id) AS fin_lea, CAST(sum(sub_at) AS BIGINT) AS n_at FROM (SELECT *, min(sub_min) OVER (PARTITION BY parent_id) AS mn FROM r{_k + 1} WHERE sub_min IS NOT NULL) WHERE sub_min = mn GROUP BY parent_id, mn),
+ q{_k} AS (SELECT t.*, k.fin, k.fin_lea, k.n_at, coalesce(k.fin < t.lla, false) AS un, regexp_matches(coalesce(flags, ''), '[IF]') AS form, k.n_at < 5 AS sparse, k.fin > t.fea AS contra FROM t LEFT JOIN k{_k} k ON k.kid = t.id WHERE t.level = {_k}),
+ c{_k} AS (SELECT *, un AND NOT form AND NOT sparse AND NOT contra AS cl FROM q{_k}), d{_k} AS (SELECT *, CASE WHEN cl THEN fin ELSE lla END AS drawn, least(CASE WHEN cl THEN fin ELSE lla END, CASE WHEN cl OR lla IS NULL THEN fin END) AS sub_min FROM c{_k}),
+ r{_k} AS (SELECT id, parent_id, lla, CASE WHEN un THEN fin END AS identified, CASE WHEN un THEN n_at END AS end_occs, drawn AS lla_drawn, CASE WHEN cl THEN fin_lea ELSE lea END AS lea_drawn, un AS unwitnessed, cl AS clamped, un AND form AS refused_form, un AND NOT form AND sparse AS refused_sparse,
+  un AND NOT form AND NOT sparse AND contra AS refused_contradiction, sub_min, CASE WHEN sub_min = lla THEN lea ELSE fin_lea END AS sub_lea, CASE WHEN lla = sub_min THEN own_occs ELSE 0 END + CASE WHEN fin = sub_min THEN coalesce(n_at, 0) ELSE 0 END AS sub_at FROM d{_k})"""
+ENDS_SQL += " SELECT * EXCLUDE (parent_id, sub_min, sub_lea, sub_at) FROM r0 UNION ALL SELECT * EXCLUDE (parent_id, sub_min, sub_lea, sub_at) FROM r1 UNION ALL SELECT * EXCLUDE (parent_id, sub_min, sub_lea, sub_at) FROM r2"
+
+
+@query("young_ends", ENDS_SQL)
 def _(s, d):
     return propagate.young_ends(rows(s, d, ENDS))
 
