@@ -211,6 +211,32 @@ def test_lm_is_normalised():
     assert np.allclose(total, 1, atol=1e-3)
 
 
+def test_lm_contexts_of_all_rows(spark):
+    """What follows 'p' differs in the 2,000 documents of lowest hashed id; the model reads the others too."""
+    low_hash = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) // 3
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(low_hash, "p r").otherwise("p q").alias("text"))
+    model, _ = language_model.learn(df.repartition(3), F.lit(True), "doc_id", "text")
+    end, p, q, r = model.classes.of(["", "p", "q", "r"])
+    a, b, z = model.net.tables()
+    assert np.exp(a[p, q] + b[end, q] - z[p, end]) > 0.4 > np.exp(a[p, r] + b[end, r] - z[p, end])
+
+
+def test_lm_counts_every_triple(spark, docs):
+    df, rows = docs
+    classes = language_model.Classes(["the", "of"])
+    want = collections.Counter()
+    for t in rows:
+        ks = [0, 0, *classes.of([*WORD.findall(low(t)), ""]).tolist()]
+        want.update(zip(ks, ks[1:], ks[2:]))
+    got = collections.Counter()
+    for row in language_model.triple_counts(df.repartition(3), "text", classes, 4).collect():
+        for x, c in zip(np.frombuffer(row["code"], np.int64).tolist(), np.frombuffer(row["count"], np.int64).tolist()):
+            v = classes.size
+            assert (x // (v * v), x // v % v, x % v) not in got
+            got[x // (v * v), x // v % v, x % v] = c
+    assert got == want
+
+
 # ---- 6
 
 
