@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treeline.functions import highlights
 from treeline.operators import ages, gates, paths, propagate, resolve, search, spelling, timescale
 from treeline.operators import tree as trees
+from treeline.plans import hierarchy
 from treeline.sources import newick, turtle
 from treeline.streaming import settle
 
@@ -110,6 +111,35 @@ def test_young_ends(spark):
     assert got[11]["unwitnessed"] and got[11]["refused_sparse"] and got[11]["lla_drawn"] == 1600.0
 
 
+def naive_young_ends(facts):
+    """id -> (identified, end_occs, lla_drawn, lea_drawn, clamped), a fact at a time, children first."""
+    kids, out, below = {}, {}, {}
+    for f in facts:
+        kids.setdefault(f["parent_id"], []).append(f)
+    for f in sorted(facts, key=lambda f: -f["level"]):
+        mine = kids.get(f["id"], [])
+        own = max(0, f["n_occs"] - sum(k["n_occs"] for k in mine))
+        ends = sorted((below[k["id"]][0], k["id"], *below[k["id"]][1:]) for k in mine if below[k["id"]][0] is not None)
+        end, end_lea = (ends[0][0], ends[0][2]) if ends else (None, None)
+        n_at = sum(e[3] for e in ends if e[0] == end) if ends else None
+        lla = f["lla"]
+        unseen = None not in (end, lla) and end < lla
+        clamp = unseen and not {"I", "F"} & set(f["flags"] or "") and n_at >= 5 and end <= f["fea"]
+        drawn = end if clamp else lla
+        low = min([x for x in (drawn, end if clamp or lla is None else None) if x is not None], default=None)
+        below[f["id"]] = (low, f["lea"] if low is not None and low == lla else end_lea, (own if None not in (lla, low) and lla == low else 0) + (n_at if None not in (end, low) and end == low else 0))
+        out[f["id"]] = (end if unseen else None, n_at if unseen else None, drawn, end_lea if clamp else f["lea"], clamp)
+    return out
+
+
+def test_young_ends_of_the_whole_table(spark, tmp_path):
+    spark.range(12_500).selectExpr("id AS p_partkey", "id * 7919 % 50 + 1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    facts = [r.asDict() for r in hierarchy.rows(spark, str(tmp_path), hierarchy.ENDS_WHOLE).collect()]
+    got = hierarchy.QUERIES["young_ends_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == len(facts) == 12_500 and max(f["level"] for f in facts) == 4
+    assert {r["id"]: (r["identified"], r["end_occs"], r["lla_drawn"], r["lea_drawn"], r["clamped"]) for r in got} == naive_young_ends(facts)
+
+
 def test_match_band(spark):
     cases = [("dog family", "dog", 1), ("dogbane family", "dog", 3), ("mackerel sharks", "shark", 1), ("butterfly orchid", "butterfly", 2), ("Oak moss", "oak", 2), ("Sessile Oak", "oak", 1), ("goes nowhere", "go", 3), ("Homo sapiens", "homo sap", 3), ("Can-opener Smoothdream", "can", 3), ("", "dog", 4)]
     df = spark.createDataFrame(cases, "name string, q string, want long")

@@ -337,6 +337,15 @@ def _(s, d):
     return propagate.young_ends(rows(s, d, ENDS))
 
 
+#: The whole table; its trees have as many levels as the largest key digits, which the SQL above does not unroll.
+ENDS_WHOLE = ENDS.removesuffix(" WHERE p_partkey BETWEEN 1 AND 999")
+
+
+@query("young_ends_whole", None)
+def _(s, d):
+    return propagate.young_ends(rows(s, d, ENDS_WHOLE))
+
+
 BRACKETS = "SELECT p_partkey AS id, CASE WHEN p_size % 7 > 0 THEN CAST(p_size + 20 AS DOUBLE) END AS fea, CASE WHEN p_size % 7 > 0 THEN CAST(p_size AS DOUBLE) END AS fla, CASE WHEN p_size % 14 > 0 THEN CAST(p_size % 30 + 5 AS DOUBLE) END AS lea, CASE WHEN p_size % 7 > 0 THEN CAST(1 AS DOUBLE) END AS lla FROM {part}"
 
 
