@@ -140,6 +140,25 @@ def test_young_ends_of_the_whole_table(spark, tmp_path):
     assert {r["id"]: (r["identified"], r["end_occs"], r["lla_drawn"], r["lea_drawn"], r["clamped"]) for r in got} == naive_young_ends(facts)
 
 
+def test_sibling_distance_against_all_pairs(spark):
+    rng = random.Random(8)
+    place = lambda m, r: tuple(m[k] + rng.uniform(-r, r) for k in range(3))
+    groups = {
+        1: [place((0.5, 0, 0), 0.3) for _ in range(300)],
+        2: [place((0.5, 0, 0), 0.001) for _ in range(200)] + [place((0.1, 0.2, -0.2), 0.2) for _ in range(20)],
+        3: [place((0.5, 0, 0), 0.3) for _ in range(20)] + [(0.25, 0.1, 0.1)] * 2,
+        4: [(1.0, 0.0, 0.0), (0.0, 0.3, -0.3)],
+        5: [(0.1, 0.1, 0.1)],
+        6: [(0.2, 0.0, 0.0), (0.2 + 1e-7, 0.0, 0.0), (0.9, 0.0, 0.0)],
+        7: [(-0.001, 0.001, 0.5), (0.001, -0.001, 0.5)],
+        8: [(k / 64, 0.0, 0.0) for k in range(64)],
+    }
+    rows = [(p * 1000 + k, p, *x) for p, xs in groups.items() for k, x in enumerate(xs)]
+    want = {p: round(min(sum((u - v) ** 2 for u, v in zip(x, y)) ** 0.5 for i, x in enumerate(xs) for y in xs[:i]), 6) for p, xs in groups.items() if len(xs) > 1}
+    got = timescale.sibling_distance(spark.createDataFrame(rows, "id long, parent long, l double, a double, b double")).collect()
+    assert {r["parent"]: r["least"] for r in got} == pytest.approx(want, abs=1e-9)
+
+
 def test_match_band(spark):
     cases = [("dog family", "dog", 1), ("dogbane family", "dog", 3), ("mackerel sharks", "shark", 1), ("butterfly orchid", "butterfly", 2), ("Oak moss", "oak", 2), ("Sessile Oak", "oak", 1), ("goes nowhere", "go", 3), ("Homo sapiens", "homo sap", 3), ("Can-opener Smoothdream", "can", 3), ("", "dog", 4)]
     df = spark.createDataFrame(cases, "name string, q string, want long")

@@ -7,11 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialise, small
+
 #: Axis, tiling and colour parameters.
 KNEE, LINEAR_SHARE, BANDS_END = 1.0, 0.07, 4567.0
 BAND_PX, SPLIT_SHARE, CHAR_PX, LABEL_PAD = 46.0, 0.7, 7.3, 10.0
 DIM_K, PIVOT, ANCHOR, DIM_LOW, DIM_HIGH, DIM_CHROMA = 0.22, 0.72, 0.32, 0.24, 0.40, 0.060
 PRESENT = 0.05
+#: Halvings of the colour grid: a cell's diagonal is then under half of the sixth decimal.
+LEVELS = 22
 
 
 def intervals(rows: DataFrame, ranks: list[str]) -> DataFrame:
@@ -94,11 +98,37 @@ def hexadecimal(lab: list[Column]) -> Column:
 
 
 def sibling_distance(scale: DataFrame) -> DataFrame:
-    """(parent, least): least colour distance between siblings (a, b, l columns)."""
-    left = scale.select("parent", F.col("id").alias("i"), *[F.col(c).alias(f"{c}1") for c in ("l", "a", "b")])
-    right = scale.select("parent", F.col("id").alias("j"), *[F.col(c).alias(f"{c}2") for c in ("l", "a", "b")])
+    """(parent, least): least colour distance between siblings (a, b, l columns).
+
+    Not over all pairs: siblings of one colour are 0 apart; distinct colours are
+    counted in grids that halve from level to level.  At a parent's last level with
+    a shared cell its least distance is at most the cell's diagonal, and cells of
+    half the edge hold one colour each, so a search with cells of that diagonal
+    compares a colour with a bounded number of others, however many siblings there
+    are.  A cell shared at the last ``LEVELS`` is within the rounding of 0.
+    """
+    xyz = ["l", "a", "b"]
+    groups = scale.groupBy("parent", *xyz).agg(F.count_distinct("id").alias("n"))
+    points = materialise(groups.where("parent IS NOT NULL"))
+    known = points.where("l IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").withColumn("same", F.col("n") > 1)
+    cell = lambda edge: [F.floor(F.col(c) / edge).cast("long").alias(f"{c}_") for c in xyz]
+    levels = known.select("parent", *xyz, F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("k"))
+    shared = levels.groupBy("parent", "k", *cell(F.pow(F.lit(2.0), -F.col("k")))).agg(F.count("*").alias("n")).where("n > 1")
+    deepest = shared.groupBy("parent").agg(F.max("k").alias("k"))
+    flags = points.groupBy("parent").agg(F.sum("n").alias("n")).where("n > 1").join(known.groupBy("parent").agg(F.max("same").alias("same")), "parent", "left")
+    parents = materialise(flags.join(deepest, "parent", "left").select("parent", F.when(F.coalesce("same", F.lit(False)) | (F.col("k") == LEVELS), 0.0).alias("zero"), F.coalesce("k", F.lit(-2)).alias("k")))
+    # Colours lie within a cube of edge 4 about 0, the cells of level -2 about the origin: all of them are neighbours.
+    edge = F.pow(F.lit(2.0), -F.col("k")) * math.sqrt(3) * (1 + 1e-9)
+    able = materialise(known.join(small(parents.where("zero IS NULL")), "parent").select("parent", *xyz, *cell(edge)))
+    near = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", o, strict=True)]) for o in near])).alias("o")
+    left = able.select("parent", *[F.col(c).alias(f"{c}1") for c in xyz], *[F.col(f"{c}_").alias(f"{c}0") for c in xyz], step)
+    left = left.select("parent", *[f"{c}1" for c in xyz], *[(F.col(f"{c}0") + F.col(f"o.{n}")).alias(f"{c}_") for c, n in zip(xyz, "xyz", strict=True)], (F.col("o.x") * 9 + F.col("o.y") * 3 + F.col("o.z") == 0).alias("own"))
+    right = able.select("parent", *[F.col(c).alias(f"{c}2") for c in xyz], *[f"{c}_" for c in xyz])
     d = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) ** 2 for c in ("a", "b")), (F.col("l1") - F.col("l2")) ** 2))
-    return left.join(right, "parent").where("i < j").groupBy("parent").agg(F.round(F.min(d), 6).alias("least"))
+    pairs = left.join(right, ["parent", *[f"{c}_" for c in xyz]]).where(~F.col("own") | (F.struct("l1", "a1", "b1") < F.struct("l2", "a2", "b2")))
+    found = pairs.groupBy("parent").agg(F.min(d).alias("d"))
+    return parents.join(found, "parent", "left").select("parent", F.round(F.coalesce("zero", "d"), 6).alias("least"))
 
 
 def tiling(scale: DataFrame) -> DataFrame:

@@ -91,6 +91,12 @@ def _(s, d):
     return timescale.sibling_distance(_lab(s, d).where("id < 150")).withColumn("least", F.round("least", 5))
 
 
+#: All parts.  Rounded once, to the operator's digits.
+@query("sibling_colours_whole", f"WITH {OK_SQL} SELECT p.parent, round(min(sqrt((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b))), 6) AS least FROM ok p JOIN ok q ON p.parent = q.parent AND p.id < q.id GROUP BY p.parent")
+def _(s, d):
+    return timescale.sibling_distance(_lab(s, d))
+
+
 @query("dimmed_colours", None)
 def _(s, d):
     return _lab(s, d).select("id", timescale.hexadecimal(timescale.dim([F.col(c) for c in "lab"])).alias("colour"))
