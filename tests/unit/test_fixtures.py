@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from treeline import catalogue
 from treeline.functions import highlights
 from treeline.operators import ages, gates, paths, propagate, resolve, search, spelling, timescale
 from treeline.operators import tree as trees
@@ -159,6 +160,24 @@ def test_sibling_distance_against_all_pairs(spark):
     assert {r["parent"]: r["least"] for r in got} == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize(("name", "cut"), [("forward_closure", "p_partkey < 300"), ("mrca", "c_custkey % 5 = 1"), ("seed_cascade", "c_custkey % 7 = 0"), ("rank_fallback", "p_partkey % 40 = 1"), ("homonym_agreement", "c_custkey % 60 = 7"), ("sibling_colours", "id < 150")])
+def test_whole_inputs(name, cut):
+    assert cut in catalogue.ORACLES[name] and cut not in catalogue.ORACLES[f"{name}_whole"]
+
+
+def test_forwards_of_the_whole_table(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["old"]: r["new"] for r in hierarchy.QUERIES["forward_closure_whole"](spark, str(tmp_path)).collect()}
+    want = {}
+    for old in range(1000):
+        seen = [old]
+        while (to := (seen[-1] * 7 + 3) % 400) not in seen:
+            seen.append(to)
+        if len(seen) > 1:
+            want[old] = seen[-1]
+    assert got == want and max(got) == 999
+
+
 def test_match_band(spark):
     cases = [("dog family", "dog", 1), ("dogbane family", "dog", 3), ("mackerel sharks", "shark", 1), ("butterfly orchid", "butterfly", 2), ("Oak moss", "oak", 2), ("Sessile Oak", "oak", 1), ("goes nowhere", "go", 3), ("Homo sapiens", "homo sap", 3), ("Can-opener Smoothdream", "can", 3), ("", "dog", 4)]
     df = spark.createDataFrame(cases, "name string, q string, want long")

@@ -121,6 +121,14 @@ def _(s, d):
     return resolve.seeds(rows(s, d, SEED_OFFERS)).select("node", "asset", F.col("pass"))
 
 
+SEED_OFFERS_WHOLE = SEED_OFFERS.removesuffix(" WHERE c_custkey % 7 = 0")
+
+
+@query("seed_cascade_whole", ORACLES["seed_cascade"].replace(duck(SEED_OFFERS), duck(SEED_OFFERS_WHOLE)))
+def _(s, d):
+    return resolve.seeds(rows(s, d, SEED_OFFERS_WHOLE)).select("node", "asset", F.col("pass"))
+
+
 @query("attach_walk", f"""WITH RECURSIVE f AS ({duck(i.PARTS)}), r AS ({duck(i.RESOLVED)}), w AS (SELECT f.id, CASE WHEN o.id IS NOT NULL THEN f.id ELSE f.accepted_id END AS cur, CAST(0 AS BIGINT) AS walk FROM f LEFT JOIN r o ON o.id = f.id
  UNION ALL SELECT w.id, f.parent_id, w.walk + 1 FROM w JOIN f ON f.id = w.cur WHERE w.cur NOT IN (SELECT id FROM r) AND f.parent_id IS NOT NULL), e AS (SELECT id, arg_max(cur, walk) AS cur, max(walk) AS walk FROM w GROUP BY id)
  SELECT e.id, coalesce(r.idx, 0) AS idx, coalesce(r.method, 0) AS method, e.walk, r.id AS via FROM e LEFT JOIN r ON r.id = e.cur""")
@@ -144,6 +152,12 @@ def _(s, d):
     return resolve.rank_fallback(nodes, rows(s, d, "SELECT p_size AS id, p_brand AS rank FROM {part} WHERE p_partkey % 40 = 1"))
 
 
+@query("rank_fallback_whole", ORACLES["rank_fallback"].replace(" WHERE p_partkey % 40 = 1", ""))
+def _(s, d):
+    nodes = s.range(1, 51).select("id", F.when(F.col("id") % 3 == 0, "own").alias("rank"))
+    return resolve.rank_fallback(nodes, rows(s, d, "SELECT p_size AS id, p_brand AS rank FROM {part}"))
+
+
 @query("homonym_agreement", f"""{DUCK_TREE}, q AS (SELECT c_nationkey AS id, {3 * T} + c_custkey AS cited FROM customer WHERE c_custkey % 60 = 7), n AS (SELECT q.id, q.cited, arg_min(c.anc, c.hops) AS anc FROM q JOIN c ON c.id = q.cited JOIN t ON t.id = c.anc JOIN nation ON n_nationkey = q.id AND n_name = t.name GROUP BY ALL)
  SELECT CAST(id AS BIGINT) AS id, min(anc) AS node FROM n GROUP BY id HAVING count(DISTINCT anc) = 1""")
 def _(s, d):
@@ -151,6 +165,12 @@ def _(s, d):
     return resolve.agreed(cites, tree(s, d))
 
 
+@query("homonym_agreement_whole", ORACLES["homonym_agreement"].replace(" WHERE c_custkey % 60 = 7", ""))
+def _(s, d):
+    cites = rows(s, d, f"SELECT c_nationkey AS id, n_name AS name, {3 * T} + c_custkey AS cited FROM {{customer}} JOIN {{nation}} ON n_nationkey = c_nationkey")
+    return resolve.agreed(cites, tree(s, d))
+
+
 @query("alias_dedupe", f"""WITH a AS ({duck(i.ALIASES)}), g AS (SELECT idx, lang, lower(name) AS folded, min(kind) AS kind, count(DISTINCT source) AS n_sources FROM a GROUP BY ALL), f AS (SELECT *, lower(name) AS folded, row_number() OVER (PARTITION BY idx, lang, lower(name) ORDER BY source_rank, kind, source_id, name) AS k FROM a)
  SELECT CAST(f.idx AS BIGINT) AS idx, f.lang, f.name, f.source, g.kind, g.n_sources FROM f JOIN g USING (idx, lang, folded) WHERE f.k = 1""")
 def _(s, d):

@@ -58,6 +58,14 @@ def _(s, d):
     return trees.forward_closure(rows(s, d, FORWARD), hops=400)
 
 
+FORWARD_WHOLE = FORWARD.removesuffix(" WHERE p_partkey < 300")
+
+
+@query("forward_closure_whole", ORACLES["forward_closure"].replace(duck(FORWARD), duck(FORWARD_WHOLE)))
+def _(s, d):
+    return trees.forward_closure(rows(s, d, FORWARD_WHOLE), hops=400)
+
+
 @query("path_to_root", f"{DUCK_TREE}, {SEL} SELECT sel.id, t.depth AS step, c.anc FROM sel JOIN c ON c.id = sel.id JOIN t ON t.id = c.anc")
 def _(s, d):
     return paths.path_to_root(tree(s, d), rows(s, d, i.CHOSEN))
@@ -82,6 +90,14 @@ def _(s, d):
     return paths.common_ancestor(tree(s, d), rows(s, d, GROUPS), "grp")
 
 
+GROUPS_WHOLE = GROUPS.removesuffix(" WHERE c_custkey % 5 = 1")
+
+
+@query("mrca_whole", ORACLES["mrca"].replace(duck(GROUPS), duck(GROUPS_WHOLE)))
+def _(s, d):
+    return paths.common_ancestor(tree(s, d), rows(s, d, GROUPS_WHOLE), "grp")
+
+
 INDUCED = f"""{DUCK_TREE}, {SEL}, k AS (SELECT count(*) AS n FROM sel),
  up AS (SELECT sel.id, c.anc, c.hops, t.depth FROM sel JOIN c ON c.id = sel.id JOIN t ON t.id = c.anc),
  top AS (SELECT arg_max(anc, depth) AS mrca, max(depth) AS lvl FROM (SELECT anc, depth, count(*) AS k FROM up GROUP BY ALL) WHERE k = (SELECT n FROM k)),
