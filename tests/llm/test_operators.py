@@ -97,6 +97,33 @@ def test_html():
     assert wrong <= 0.03 * total
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>One <svg class="i"/> two</p><p>Three</p></article><p>Four</p>', ["One two", "Three", "Four"]),
+        ("<p>One <math/> two</p><p>Three</p>", ["One two", "Three"]),
+        ("<p>One <svg><g><title>no</title><text>no</text></g><svg>no</svg>no</svg> two</p>", ["One two"]),
+        ("<div><p>One <span><svg><path d='x'/></span> two</p></div><p>Three</p>", ["One two", "Three"]),
+        ("<div>One<svg><path/>no</div><div>Two</div>", ["One", "Two"]),
+        ("<div>One<svg><path/><p>Two</p></div>", ["One", "Two"]),
+        ("<p>One<svg><foreignObject><p>no</p></foreignObject></svg> two</p>", ["One two"]),
+        ("<p>Let <math><mi>a</mi><mo>=</mo><mn>2</mn></math> be.</p>", ["Let a=2 be."]),
+        ('<p><math><semantics><mi>a</mi><annotation encoding="t">\\no</annotation></semantics></math> is</p>', ["a is"]),
+        ("<article><object data='x'>Shown</object><p>One</p></article>", ["Shown", "One"]),
+        ("<article><div><object data='x'><param name='y'>Two</div><p>Three</p></article>", ["Two", "Three"]),
+        ("<div><canvas>Alt</div><p>One</p>", ["Alt", "One"]),
+        ("<p>One<script>if (a</b) no</script> two</p>", ["One two"]),
+    ],
+)
+def test_html_keeps_text_about_foreign_elements(page, want):
+    assert [t for _, t, _ in html_text.blocks(page)] == want
+
+
+def test_html_stack_after_unclosed_object():
+    assert html_text.blocks("<article><div><object>One</div><p>Two</p></article>")[1][0] == ("article", "p")
+    assert html_text.blocks("<p>One<object>Two</object>Three</p>")[2][0] == ("p",)
+
+
 def test_html_frame(spark):
     rows = [(1, "u", "<article><p>Text</p></article>", "t"), (2, "u", None, "t"), (2, "u", None, "t"), (3, "u", "", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

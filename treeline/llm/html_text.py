@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,17 @@ from pyspark.sql import functions as F
 from .common import hash64, read, slices, words_of
 
 #: HTML elements by their role in the scan.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas".split())
+RAW = frozenset("script style title textarea noscript template iframe".split())
+#: Foreign elements whose content is no text of the page (a formula's annotation is not shown); the start tags that end
+#: foreign content, and the elements in it that may hold such tags.
+FOREIGN = frozenset("svg annotation annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS = frozenset("foreignobject desc title annotation-xml".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Tokens that tell main text and its surroundings in the training pages.
 MAIN = frozenset("article main".split())
@@ -65,6 +74,29 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _after_foreign(page: str, at: int, name: str, stack: list[tuple[str, tuple[str, ...]]]) -> int:
+    """Where a foreign element that is open at ``at`` ends: after its end tag, or
+    without one before its parent's end tag or a start tag that can't be in it."""
+    opened = Counter([name])
+    while m := TAG.search(page, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if not tag:
+            continue
+        if m[1]:
+            if opened[tag]:
+                opened[tag] -= 1
+                if tag == name and not opened[tag]:
+                    return at
+            elif tag in INLINE or tag in ("p", "br") or any(tag == open_ for open_, _ in stack):
+                return m.start()
+        elif tag in BREAKOUT and not any(opened[x] for x in HOLDS):
+            return m.start()
+        elif tag not in VOID and not m[3].endswith("/"):
+            opened[tag] += 1
+    return len(page)
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path tokens, text, characters in links) of every leaf block, in order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -105,6 +137,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         elif name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
+        elif name in FOREIGN:
+            if not m[3].endswith("/"):
+                at = _after_foreign(page, at, name, stack)
         elif name == "a":
             in_link += 1
         elif name in VOID:
@@ -117,7 +152,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             in_link = 0
             while stack and stack[-1][0] in CLOSES.get(name, ()):
                 stack.pop()
-            if stack and stack[-1][0] == "p" and name not in ("p",):
+            if stack and stack[-1][0] == "p" and name not in ("p", "object", "canvas"):
                 stack.pop()
             stack.append((name, (stack[-1][1] if stack else ()) + _tokens(name, m[3])))
     parts.append(page[at:])
