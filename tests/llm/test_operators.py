@@ -78,6 +78,16 @@ def test_pii(spark, docs):
     assert pii.pii(empty(spark)).count() == 0
 
 
+def test_pii_parts_of_base_spans_are_no_negatives(spark):
+    """The national part of '+1 (487) 555-7209' must not speak against '(487) 555-7209' standing alone."""
+    base = [f"Please call us: +1 ({200 + i % 700}) 555-{1000 + i * 7 % 9000} today" for i in range(400)]
+    rows = [*base, "Please call us: (487) 555-7209 today"]
+    alone = len(rows) - 1
+    got = {r["doc_id"]: r["spans"] for r in pii.pii(frame(spark, rows)).collect()}
+    assert got[alone] == "phone:16:30" and all("," not in got[i] for i in range(alone))
+    assert pii.learn(pii.detect(frame(spark, rows)))[1][3] < float("inf")
+
+
 # ---- 2
 
 

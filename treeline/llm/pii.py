@@ -3,8 +3,8 @@
 Generators propose spans: the base patterns of each kind, and wider ones
 (obfuscated addresses, IPv6, phone numbers without a plus sign, card-like digit
 runs that fail the check sum).  Every candidate gets a few binary features of its
-format and context, packed into one integer.  All candidates of all documents are
-counted by (kind, features, is base, fold): at most ``4 * 2**len(FEATURES) * 4``
+format and context, packed into one integer.  All candidates of all documents,
+without those within a base span of their kind, are counted by (kind, features, is base, fold): at most ``4 * 2**len(FEATURES) * 4``
 rows, whatever the input, which is what the driver reads.  Boosted trees of depth
 two learn from one fold what base spans look like; on the other fold each kind's
 threshold is set to the lowest score at which ``PRECISION`` of the candidates are
@@ -206,8 +206,12 @@ def _code(kind: Column, bits: Column) -> Column:
 
 
 def learn(found: DataFrame) -> tuple[Trees, list[float]]:
-    """Trees and each kind's threshold, from counts over all candidates."""
-    one = found.select(F.explode("candidates").alias("c"), F.pmod(F.xxhash64(F.size("candidates"), F.get("candidates", F.lit(0))["s"]), F.lit(2)).alias("fold"))
+    """Trees and each kind's threshold, from counts over all candidates but those
+    that overlap a base span of their kind: they are part of it, no counterexamples."""
+    part = lambda x, y: y["base"] & (x["kind"] == y["kind"]) & (x["s"] < y["e"]) & (y["s"] < x["e"])
+    mixed = F.exists("candidates", lambda x: ~x["base"]) & F.exists("candidates", lambda x: x["base"])
+    told = F.when(mixed, F.filter("candidates", lambda x: x["base"] | ~F.exists(F.col("candidates"), lambda y: part(x, y)))).otherwise(F.col("candidates"))
+    one = found.select(F.explode(told).alias("c"), F.pmod(F.xxhash64(F.size("candidates"), F.get("candidates", F.lit(0))["s"]), F.lit(2)).alias("fold"))
     counts = one.groupBy(_code(F.col("c.kind"), F.col("c.bits")).alias("code"), F.col("c.base").alias("base"), "fold").agg(F.count("*").alias("n")).collect()
     rows = sorted((r["fold"], r["code"], int(r["base"]), float(r["n"])) for r in counts)
     trees = Trees([r[1:] for r in rows if r[0] == 0])
