@@ -3,7 +3,12 @@
 A typed query settles after ``IDLE_QUERY`` seconds without input.  Queries of
 which one is a prefix of the other merge into the longest; another word emits
 what stood before it.  A query equal to the last emitted one is dropped.  A tree
-settles after ``IDLE_TREE`` seconds; the last value wins.
+settles after ``IDLE_TREE`` seconds; the last value wins, and trees of fewer than
+two keys are not heard.
+
+The processors keep what arrives in a list state and take it up in the order of
+event time, as far as the watermark has passed, so rows that arrive out of order
+within it settle as the batch twin says.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,69 +50,150 @@ def settle_words(rows: list[tuple[float, str]], idle: float = IDLE_QUERY) -> lis
 
 
 def settled_queries(events: DataFrame, idle: float = IDLE_QUERY) -> DataFrame:
-    """Batch twin: (session, ts, query) over whole sessions (one tab's events)."""
+    """Batch twin: (session, ts, query).  Input further apart than ``idle`` never
+    merges, so each burst is settled by itself, whatever a session's length."""
+    w = Window.partitionBy("session").orderBy("ts", "subject")
+    heard = events.select("session", "ts", F.trim("subject").alias("subject")).where(F.length("subject") >= LEAST)
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
+    bursts = heard.withColumn("fresh", F.coalesce(gap > idle * 1_000_000, F.lit(True)).cast("long")).withColumn("burst", F.sum("fresh").over(w))
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["ts", "subject"])
         got = settle_words(list(zip([x.timestamp() for x in g["ts"]], g["subject"], strict=True)), idle)
-        return pd.DataFrame({"session": [key[0]] * len(got), "ts": pd.to_datetime([round(t * 1e6) for t, _ in got], unit="us"), "query": [q for _, q in got]})
+        return pd.DataFrame({"session": [key[0]] * len(got), "ts": pd.to_datetime([round(t * 1e6) for t, _ in got], unit="us"), "n": range(len(got)), "query": [q for _, q in got]})
 
-    return events.where("subject IS NOT NULL").select("session", "ts", "subject").groupBy("session").applyInPandas(run, "session long, ts timestamp_ntz, query string")
+    kind = events.schema["session"].dataType.simpleString()
+    got = bursts.groupBy("session", "burst").applyInPandas(run, f"session {kind}, ts timestamp_ntz, n long, query string")
+    before = F.lag("query").over(Window.partitionBy("session").orderBy("ts", "n"))
+    return got.withColumn("before", before).where("before IS NULL OR before <> query").select("session", "ts", "query")
 
 
 def settled_trees(events: DataFrame, idle: float = IDLE_TREE) -> DataFrame:
-    """Batch twin in plain windows: the last event of each burst, where its tree
-    has two keys or more and differs from the last emitted one."""
-    from pyspark.sql import Window
-
+    """Batch twin in plain windows: of the trees with two keys or more the last of
+    each burst, where it differs from the one emitted before."""
     w = Window.partitionBy("session").orderBy("ts", "event_id")
-    e = events.withColumn("key", set_key(F.split("tree", ","))).withColumn("next", F.lead("ts").over(w))
-    last = e.where(F.col("next").isNull() | ((F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) > idle * 1_000_000)).where(F.size(F.split("key", ",")) >= 2)
+    heard = events.withColumn("key", set_key(F.split("tree", ","))).where(F.size(F.split("key", ",")) >= 2)
+    e = heard.withColumn("next", F.lead("ts").over(w))
+    last = e.where(F.col("next").isNull() | ((F.unix_micros(F.col("next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) > idle * 1_000_000))
     return last.withColumn("before", F.lag("key").over(w)).where("before IS NULL OR before <> key").select("session", "ts", "key", "cause")
 
 
-class QuerySettler(StatefulProcessor):
-    """The stream form: value state (query, time, last emitted) and a timer."""
+class Settler(StatefulProcessor):
+    """What stands (value, note, time) and was emitted last, what waits for the
+    watermark, and one timer for the next of the two.  The standing value settles
+    when the watermark has passed its time by more than ``idle``."""
+
+    def __init__(self, idle: float, column: str):
+        self.idle, self.column = idle, column
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("standing", "query string, at double, emitted string")
+        self.standing = handle.getValueState("standing", "value string, note string, at double, emitted string")
+        self.waiting = handle.getListState("waiting", "at double, value string, note string")
+
+    def heard(self, row) -> tuple[str, str] | None:
+        """(value, note) of an input row, None if it isn't heard."""
+        raise NotImplementedError
 
-    def _emit(self, key, query: str, emitted: str, at: float) -> Iterator[pd.DataFrame]:
-        if query and query != emitted:
-            yield pd.DataFrame({"session": [key[0]], "ts": pd.to_datetime([round(at * 1e6)], unit="us"), "query": [query]})
+    def merged(self, standing: str, value: str) -> str | None:
+        """What stands after ``value``; None if ``standing`` is finished by it."""
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        query, at, emitted = self.state.get() if self.state.exists() else ("", 0.0, "")
         for g in rows:
-            for r in g.sort_values("ts").itertuples():
-                text, t = (r.subject or "").strip(), r.ts.timestamp()
-                if len(text) < LEAST:
-                    continue
-                if query and (t - at > IDLE_QUERY or not (text.startswith(query) or query.startswith(text))):
-                    yield from self._emit(key, query, emitted, at)
-                    emitted, query = query, text
-                elif len(text) >= len(query):
-                    query = text
-                at = t
-        self.state.update((query, at, emitted))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(int((at + IDLE_QUERY) * 1000))
+            for r in g.itertuples():
+                if (found := self.heard(r)) is not None:
+                    self.waiting.appendValue((r.ts.timestamp(), *found))
+        self._set_timer()
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        query, at, emitted = self.state.get()
-        yield from self._emit(key, query, emitted, at)
-        self.state.update(("", at, query or emitted))
+        mark = timerValues.getCurrentWatermarkInMs() / 1000
+        value, note, at, emitted = self.standing.get() if self.standing.exists() else ("", "", 0.0, "")
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        out: list[tuple[float, str, str]] = []
+
+        def emit() -> None:
+            nonlocal emitted
+            if value and value != emitted:
+                out.append((at, value, note))
+                emitted = value
+
+        for t, new, new_note in [r for r in rows if r[0] < mark]:
+            stays = self.merged(value, new) if value and t - at <= self.idle else None
+            if stays is None:
+                emit()
+                stays = new
+            value, note, at = stays, new_note, t
+        if value and at + self.idle < mark:
+            emit()
+            value = ""
+        self.standing.update((value, note, at, emitted))
+        later = [r for r in rows if r[0] >= mark]
+        self.waiting.put(later) if later else self.waiting.clear()
+        self._set_timer()
+        if out:
+            yield pd.DataFrame({"session": [key[0]] * len(out), "ts": pd.to_datetime([round(x[0] * 1e6) for x in out], unit="us"), self.column: [x[1] for x in out], "note": [x[2] for x in out]})
+
+    def _set_timer(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        due = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
+        if self.standing.exists() and self.standing.get()[0]:
+            due.append(self.standing.get()[2] + self.idle)
+        if due:
+            self.handle.registerTimer(int(min(due) * 1000) + 1)
 
     def close(self) -> None:
         pass
 
 
+class QuerySettler(Settler):
+    def __init__(self) -> None:
+        super().__init__(IDLE_QUERY, "query")
+
+    def heard(self, row):
+        text = (row.subject or "").strip()
+        return (text, "") if len(text) >= LEAST else None
+
+    def merged(self, standing, value):
+        if not (value.startswith(standing) or standing.startswith(value)):
+            return None
+        return value if len(value) >= len(standing) else standing
+
+
+class TreeSettler(Settler):
+    def __init__(self) -> None:
+        super().__init__(IDLE_TREE, "key")
+
+    def heard(self, row):
+        keys = sorted(set((row.tree or "").split(",")))
+        return (",".join(keys), row.cause or "") if len(keys) >= 2 else None
+
+    def merged(self, standing, value):
+        return value
+
+
+def _settled(events: DataFrame, settler: Settler, note: str | None) -> DataFrame:
+    kind = events.schema["session"].dataType.simpleString()
+    marked = events.withWatermark("ts", LATE).groupBy("session")
+    out = marked.transformWithStateInPandas(settler, f"session {kind}, ts timestamp, {settler.column} string, note string", "Append", "EventTime")
+    return out.withColumnRenamed("note", note) if note else out.drop("note")
+
+
 def stream_queries(events: DataFrame) -> DataFrame:
     """Settled queries of a stream (session, ts, subject); needs the RocksDB state store."""
-    marked = events.withWatermark("ts", LATE).groupBy("session")
-    return marked.transformWithStateInPandas(QuerySettler(), "session long, ts timestamp, query string", "Append", "EventTime")
+    return _settled(events, QuerySettler(), None)
+
+
+def stream_trees(events: DataFrame) -> DataFrame:
+    """Settled trees (session, ts, key, cause) of a stream (session, ts, tree, cause)."""
+    return _settled(events, TreeSettler(), "cause")
+
+
+def stream_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of a stream (or table) without session ids: by user, events less than ``gap`` apart."""
+    return events.withWatermark("ts", LATE).groupBy("user", F.session_window("ts", gap)).agg(F.count("*").alias("events")).select("user", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
 def windowed(events: DataFrame, length: str = "1 hour") -> DataFrame:
