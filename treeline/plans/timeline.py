@@ -37,9 +37,10 @@ def _(s, d):
     return timescale.intervals(_scale(s, d), ["year", "quarter", "month"]).drop("name")
 
 
-@query("timescale_containment", "SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS parent WHERE false")
+@query("timescale_containment", f"WITH {SCALE}, m AS (SELECT id, parent, CASE WHEN id % 5 = 0 THEN begin + 2 ELSE begin END AS begin, CASE WHEN id % 7 = 0 THEN \"end\" - 2 ELSE \"end\" END AS \"end\" FROM sc) SELECT m.id, m.parent FROM m JOIN m p ON p.id = m.parent WHERE m.begin > p.begin OR m.\"end\" < p.\"end\"")
 def _(s, d):
-    return timescale.containment(_scale(s, d))
+    moved = _scale(s, d).withColumn("begin", F.col("begin") + F.when(F.col("id") % 5 == 0, 2).otherwise(0)).withColumn("end", F.col("end") - F.when(F.col("id") % 7 == 0, 2).otherwise(0))
+    return timescale.containment(moved)
 
 
 POINTS = "SELECT p_partkey AS id, CAST(p_partkey % 97 AS DOUBLE) + 0.5 AS x FROM {part}"
@@ -97,7 +98,14 @@ def _(s, d):
     return timescale.sibling_distance(_lab(s, d))
 
 
-@query("dimmed_colours", None)
+SRGB = "printf('%02x', CAST(round(255 * CASE WHEN {v} <= 0.0031308 THEN {v} * 12.92 ELSE pow({v}, 1 / 2.4) * 1.055 - 0.055 END) AS INTEGER))"
+
+
+@query("dimmed_colours", f"""WITH {OK_SQL}, d AS (SELECT id, least(greatest(0.32 + (l - 0.72) * 0.22, 0.24), 0.40) AS l, a, b, sqrt(a * a + b * b) AS c FROM ok),
+ e AS (SELECT id, l, CASE WHEN c > 0 THEN a * least(c, 0.06) / c ELSE 0 END AS a, CASE WHEN c > 0 THEN b * least(c, 0.06) / c ELSE 0 END AS b FROM d),
+ m AS (SELECT id, pow(l + 0.3963377774 * a + 0.2158037573 * b, 3) AS x, pow(l - 0.1055613458 * a - 0.0638541728 * b, 3) AS y, pow(l - 0.0894841775 * a - 1.2914855480 * b, 3) AS z FROM e),
+ g AS (SELECT id, least(greatest(4.0767416621 * x - 3.3077115913 * y + 0.2309699292 * z, 0), 1) AS r, least(greatest(-1.2684380046 * x + 2.6097574011 * y - 0.3413193965 * z, 0), 1) AS g, least(greatest(-0.0041960863 * x - 0.7034186147 * y + 1.7076147010 * z, 0), 1) AS b FROM m)
+ SELECT id, '#' || {SRGB.format(v="r")} || {SRGB.format(v="g")} || {SRGB.format(v="b")} AS colour FROM g""")
 def _(s, d):
     return _lab(s, d).select("id", timescale.hexadecimal(timescale.dim([F.col(c) for c in "lab"])).alias("colour"))
 
@@ -162,13 +170,18 @@ def _(s, d):
     return events.retained(rows(s, d, i.EVENTS), "2024-01-30 00:00:00", 10).agg(F.count("*").alias("n"))
 
 
-@query("settled_trees", f"""WITH {EV}, k AS (SELECT *, array_to_string(list_sort(list_distinct(string_split(tree, ','))), ',') AS key, lead(ts) OVER (PARTITION BY session ORDER BY ts, event_id) AS nxt FROM ev),
- l AS (SELECT *, lag(key) OVER (PARTITION BY session ORDER BY ts, event_id) AS before FROM k WHERE (nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 3600000000) AND contains(key, ',')) SELECT session, ts, key, cause FROM l WHERE before IS NULL OR before <> key""")
+@query("settled_trees", f"""WITH {EV}, k AS (SELECT *, array_to_string(list_sort(list_distinct(string_split(tree, ','))), ',') AS key, lead(ts) OVER (PARTITION BY session ORDER BY ts, event_id) AS nxt FROM ev WHERE len(list_distinct(string_split(tree, ','))) > 1),
+ l AS (SELECT *, lag(key) OVER (PARTITION BY session ORDER BY ts, event_id) AS before FROM k WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) > 3600000000) SELECT session, ts, key, cause FROM l WHERE before IS NULL OR before <> key""")
 def _(s, d):
     return settle.settled_trees(rows(s, d, i.EVENTS), 3600.0)
 
 
-@query("settled_queries", None)
+@query("settled_queries", f"""WITH RECURSIVE {EV}, o AS (SELECT session, ts, trim(subject) AS q, row_number() OVER (PARTITION BY session ORDER BY ts, subject) AS n FROM ev WHERE length(trim(subject)) >= 2),
+ r AS (SELECT session, n, q AS standing, ts AS heard, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS TIMESTAMP) AS done_at FROM o WHERE n = 1 UNION ALL
+ SELECT session, n, CASE WHEN fresh THEN q WHEN length(q) >= length(standing) THEN q ELSE standing END, ts, CASE WHEN fresh THEN standing END, CASE WHEN fresh THEN heard END FROM (
+ SELECT o.session, o.n, o.q, o.ts, r.standing, r.heard, epoch_us(o.ts) - epoch_us(r.heard) > 3600000000 OR NOT (starts_with(o.q, r.standing) OR starts_with(r.standing, o.q)) AS fresh FROM r JOIN o ON o.session = r.session AND o.n = r.n + 1)),
+ e AS (SELECT session, n, done_at AS ts, done AS query FROM r WHERE done IS NOT NULL UNION ALL SELECT session, n + 1, heard, standing FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC) AS k FROM r) WHERE k = 1)
+ SELECT session, ts, query FROM (SELECT *, lag(query) OVER (PARTITION BY session ORDER BY n) AS before FROM e) WHERE before IS NULL OR before <> query""")
 def _(s, d):
     return settle.settled_queries(rows(s, d, i.EVENTS), 3600.0)
 
@@ -187,7 +200,8 @@ def _(s, d):
     return ingest.validated(e.select("ts", body.alias("body"))).select("session", "kind", "subject", "size")
 
 
-@query("draw_queue", None)
+@query("draw_queue", f"""WITH {EV}, q AS (SELECT session, subject AS key, min(ts) AS ts FROM ev GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, key) - 1 AS n FROM q)
+ SELECT session, key, round(max(epoch_us(ts) / 1e6 - n * 60.0) OVER (PARTITION BY session ORDER BY ts, key) + n * 60.0, 6) AS release FROM n""")
 def _(s, d):
     return ingest.release_plan(rows(s, d, i.EVENTS).select("session", F.col("subject").alias("key"), "ts"), 60.0)
 
@@ -195,15 +209,19 @@ def _(s, d):
 # ------------------------------------------------------------------ gates and sources
 
 
-@query("gate_report", """SELECT * FROM (VALUES ('name_present', '0', '0', true, true, ''), ('nation_in_range', '0', '0', true, true, ''), ('unique_c_custkey', '0', '0', true, true, ''), ('fk_c_nationkey', '0', '0', true, true, '')) v(name, expected, actual, passed, blocking, note)""")
+@query("gate_report", """WITH c AS (SELECT c_custkey % 1000 AS k, CASE WHEN c_custkey % 50 <> 7 THEN c_name END AS name, c_nationkey + CASE WHEN c_custkey % 90 = 4 THEN 25 ELSE 0 END AS nation, c_acctbal FROM customer)
+ SELECT name, '0' AS expected, CAST(n AS VARCHAR) AS actual, n = 0 AS passed, true AS blocking, '' AS note FROM (
+ SELECT 'name_present' AS name, count(*) FILTER (name IS NULL) AS n FROM c UNION ALL SELECT 'nation_in_range', count(*) FILTER (nation NOT BETWEEN 0 AND 24) FROM c
+ UNION ALL SELECT 'balance_is_number', count(*) FILTER (c_acctbal IS NULL) FROM c UNION ALL SELECT 'unique_k', (SELECT count(*) FROM (SELECT k FROM c GROUP BY k HAVING count(*) > 1)) UNION ALL SELECT 'fk_nation', count(*) FILTER (nation > 24) FROM c)""")
 def _(s, d):
     from ..runtime import table
 
-    c, n = table(s, d, "customer"), table(s, d, "nation")
+    n = table(s, d, "nation")
+    c = table(s, d, "customer").selectExpr("c_custkey % 1000 AS k", "CASE WHEN c_custkey % 50 <> 7 THEN c_name END AS name", "c_nationkey + CASE WHEN c_custkey % 90 = 4 THEN 25 ELSE 0 END AS nation", "c_acctbal")
     g = gates.Gates("customers")
-    g.rules(c, {"name_present": F.col("c_name").isNotNull(), "nation_in_range": F.col("c_nationkey").between(0, 24)})
-    g.unique(c, "c_custkey")
-    g.foreign(c, "c_nationkey", n, "n_nationkey")
+    g.rules(c, {"name_present": F.col("name").isNotNull(), "nation_in_range": F.col("nation").between(0, 24), "balance_is_number": F.col("c_acctbal").isNotNull()})
+    g.unique(c, "k")
+    g.foreign(c, "nation", n, "n_nationkey")
     return g.frame(s)
 
 
