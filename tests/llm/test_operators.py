@@ -211,6 +211,53 @@ def test_near_duplicates(spark, size):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (n, c, c == i) for i, (n, c) in enumerate(want)}
 
 
+def test_near_duplicates_large_groups(spark, monkeypatch):
+    """2,000 exact copies and 2,000 near copies of one text, some of which are only linked through others or not at all."""
+    monkeypatch.setattr(neardup, "BLOCK", 20_000)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = [" ".join(base)] * 2000
+    for _ in range(2000):
+        copy = list(base)
+        for _ in range(int(rng.random() ** 2 * 14)):
+            copy[rng.randrange(60)] = rng.choice(words)
+        rows.append(" ".join(copy))
+    firsts = {}
+    for i, t in enumerate(rows):
+        firsts.setdefault(t, i)
+    distinct = list(firsts)
+    want = dict(zip(distinct, clusters_by_matrix(distinct, 2, 80), strict=True))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows), shingle=2).collect()}
+    assert len(set(want.values())) > 20
+    assert got == {i: firsts[distinct[want[t]]] for i, t in enumerate(rows)}
+
+
+def clusters_by_matrix(rows, size, percent):
+    """The least row linked with each row (distinct texts), from the whole matrix of intersections."""
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in map(str.split, rows)]
+    number = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[g] for g in s]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    linked = 100 * both >= percent * (n[:, None] + n - both)
+    label = np.arange(len(rows))
+    while True:
+        new = np.where(linked, label, len(rows)).min(axis=1)
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Null ids, repeated rows, an empty table and clashing column names."""
+    df = spark.createDataFrame([(None, "a b c d", 1), (3, "a b c d", 1), (3, "a b c d", 1), (None, None, 1), (5, None, 1), (7, "x " * 50_000, 1)], "doc_id long, text string, digest int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, shingle=2).collect()), key=str)
+    assert got == sorted([(None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, 0, None, True), (5, 0, 5, True), (7, 1, 7, True)], key=str)
+    assert neardup.near_duplicates(df.limit(0), shingle=2).count() == 0
+
+
 def test_chance_and_registers():
     value, offsets = neardup.shingle_sets(pa.array(["a b c d e f g h", "a", None]), 2)
     regs = neardup.registers(value, offsets)

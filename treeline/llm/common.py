@@ -2,15 +2,18 @@
 
 ``materialise`` cuts lineage by writing a Parquet table into the folder that
 ``spark.checkpoint.dir`` names; every executor and the driver can read it, so a
-lost executor only repeats tasks.  The setting is read from the session and only
-filled in (with a temporary folder) where it is unset, as in local tests.
+lost executor only repeats tasks.  The setting is read from the session; only a
+local session, as in tests, may leave it unset and gets a temporary folder.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get("treeline.shared.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="treeline-")
         spark.conf.set("treeline.shared.dir", base)
     return base
@@ -44,6 +49,25 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes for its own steps: called like
+    ``materialise``; ``drop`` removes them once what needs them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{shared_dir(self.spark)}/treeline-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a materialised table after counting it; beyond
     ``limit`` rows the join stays a shuffle that AQE may split."""
@@ -68,7 +92,7 @@ def crc_mod(column: str, modulus: int) -> Column:
 # ---------------------------------------------------------------- Arrow helpers
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Re-cut record batches so that each holds about ``budget`` text bytes (one
     row at least), which bounds a worker's memory whatever the batch size is."""
     for batch in batches:
@@ -85,6 +109,45 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int = 4 << 20)
         pa.default_memory_pool().release_unused()
 
 
+def tidy(run: Callable) -> Callable:
+    """Wrap a function of ``mapInArrow`` or ``applyInArrow``: after a partition (or
+    group) the worker, which Spark keeps for the next task, gives its memory back."""
+
+    def released() -> None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    @functools.wraps(run)
+    def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(given)
+        released()
+
+    return batches
+
+
+class Remembered(dict):
+    """A cache of at most about ``limit`` entries: the newer half outlives the older."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit // 2, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def new_of(self, keys: set) -> list:
+        """The keys that are in neither half; makes room first."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        return [k for k in keys if k not in self and k not in self.old]
+
+
 def words_of(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Split on the six white space characters.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, materialise
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep=materialise) -> DataFrame:
     """edges: (a, b) of comparable ids -> (id, label), label the least id reachable.
 
     Every round lowers each id's label to the least label among its neighbours
@@ -16,14 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     longest chain.  Rounds are cut by written tables; a lost executor repeats
     tasks only.  Joins are between written tables, so AQE can split hot ids.
     """
-    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"))
+    write = Scratch(edges.sparkSession)
+    both = write(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = write(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"))
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        lower = materialise(labels.join(near, labels.id == near.a, "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("next")))
+        lower = write(labels.join(near, labels.id == near.a, "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("next")))
         up = lower.select(F.col("id").alias("of"), F.col("next").alias("above"))
-        jumped = materialise(lower.join(up, lower.next == up.of, "left").select("id", "label", F.coalesce("above", "next").alias("next")))
+        jumped = write(lower.join(up, lower.next == up.of, "left").select("id", "label", F.coalesce("above", "next").alias("next")))
         changed = jumped.where("next <> label").limit(1).count()
         labels = jumped.select("id", F.col("next").alias("label"))
         if not changed:
-            return labels
+            found = keep(labels)
+            write.drop()
+            return found

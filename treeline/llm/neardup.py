@@ -8,19 +8,27 @@ leading one.  Empty buckets copy the register of a bucket that a hash sequence o
 their own number finds (densification), so short texts band like long ones.
 
 Candidates share a band of ``ROWS`` registers.  Among texts with equal sets only
-the one with the least id goes on.  Of each bucket, first every member is paired
-with the member that shares most buckets (a star, so that a large group of near
-copies costs its size); pairs pass if the Jaccard similarity estimated from equal
-registers, corrected for chance collisions, is within six standard errors of the
-threshold, and are then verified on the full sets.  Afterwards all pairs of
-members that the stars left in different components are tried the same way;
-buckets with many such pairs are first divided by a second band, which keeps
-pairs over the threshold and dissolves chance companions.
+the one with the least id goes on.  A bucket of a band is represented by its hub,
+the member that shares most buckets, and every member is first paired with the
+hubs of its buckets: a star, so that a large group of near copies costs its size.
+Pairs pass if the Jaccard similarity estimated from equal registers, corrected for
+chance collisions, is within six standard errors of the threshold, and are then
+verified on the full sets.
+
+Two texts of one bucket share its hub, so what the stars left in different
+components is found among the members of each hub: those outside its largest
+component are held against all of its members, first by estimate, then on the full
+sets.  This is done in blocks of about ``BLOCK`` set elements, inside the tasks: a
+hub's members are dealt into blocks, a cell holds a block of outsiders and a block
+of members, and a cell gives one link at most per outsider and component.  Rows
+grow with the members (times the number of a hub's outsider blocks), never with
+pairs, and groups of every size are treated alike.
 
 A pair at the threshold shares no band with probability (1 - 0.8^6)^42 < 3e-6.
 
 Defined cases: null, empty and blank texts have an empty set and stand alone;
-repeated rows are one node; an empty table gives an empty result.
+repeated rows are one node; a null id stands alone or belongs to its copies'
+component; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash64, materialise, mix64, read, slices, small, words_of
+from .common import Scratch, hash64, materialise, mix64, read, slices, small, tidy, words_of
 from .components import components
 
 BUCKET_BITS, MANTISSA = 8, 10
@@ -41,8 +49,8 @@ REST = 64 - BUCKET_BITS
 ROWS = 6
 BANDS = BUCKETS // ROWS
 TRIES = 64
-#: A bucket with more pairs across components than this times its size is divided.
-DIVIDE = 50
+#: Set elements of a block; a cell compares two blocks.
+BLOCK = 1 << 16
 #: So many ids of candidate documents may be broadcast (8 bytes each).
 NAMED = 2_000_000
 
@@ -106,17 +114,26 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def zeros_law(n: np.ndarray) -> np.ndarray:
+    """(sets, REST): probability of each number of leading zeros in a register of a
+    set of n elements."""
+    i, lam = np.arange(REST), np.maximum(n, 1)[:, None] / BUCKETS
+    return (np.exp(-lam * 2.0 ** -(i + 1)) - np.exp(-lam * 2.0**-i)) / -np.expm1(-lam)
+
+
 def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Probability that registers of disjoint sets of these sizes are equal."""
-    i = np.arange(REST)
-    lam = lambda n: np.maximum(n, 1)[:, None] / BUCKETS
-    p = lambda n: (np.exp(-lam(n) * 2.0 ** -(i + 1)) - np.exp(-lam(n) * 2.0**-i)) / -np.expm1(-lam(n))
-    return (p(n_a) * p(n_b)).sum(axis=1) / (1 << MANTISSA)
+    return (zeros_law(n_a) * zeros_law(n_b)).sum(axis=1) / (1 << MANTISSA)
+
+
+def register_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
 
 
 def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(id, n, digest, regs) of every document; its size doesn't depend on the texts'."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -132,6 +149,7 @@ def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(id, grams): a document's sorted set, 48 bits of each hash (enough to compare two sets)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             value, offsets = shingle_sets(b.column("text"), size)
@@ -142,21 +160,22 @@ def full_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, grams binary")
 
 
-def _only(rows: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
+def _only(rows: DataFrame, pairs: DataFrame, write: Scratch, key: str = "id") -> DataFrame:
     """The rows that some pair names: by a broadcast of their ids if these are
     few enough, else by a shuffle."""
-    ids = materialise(pairs.select(F.col("a").alias("_of")).distinct().union(pairs.select("b").distinct()).distinct())
+    ids = write(pairs.select(F.col("a").alias("_of")).distinct().union(pairs.select("b").distinct()).distinct())
     return rows.join(small(ids, NAMED), F.col(key) == F.col("_of"), "left_semi")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
     """(key, id, n) of every band of every node."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS)
+                regs = register_rows(b.column("regs"))
                 keys = band_keys(regs)
                 pick = pa.array(np.repeat(np.arange(len(regs)), BANDS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column("id").take(pick), b.column("n").take(pick)], ["key", "id", "n"])
@@ -164,21 +183,26 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "n", "regs").mapInArrow(run, "key long, id long, n long")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def least_estimate(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """The threshold less six standard errors of the estimate."""
+    return percent / 100 - 6 * np.sqrt(0.25 / np.minimum(np.minimum(n_a, n_b), BUCKETS))
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, percent: int, write: Scratch) -> DataFrame:
     """Pairs (a, b) whose estimated similarity may reach the threshold."""
-    named = _only(nodes, pairs)
+    named = _only(nodes, pairs, write)
     side = lambda x: named.select(F.col("id").alias(x), F.col("regs").alias(f"r_{x}"), F.col("n").alias(f"n_{x}"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4000):
                 b = whole.slice(at, 4000)
-                r = [np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS) for c in ("r_a", "r_b")]
+                r = [register_rows(b.column(c)) for c in ("r_a", "r_b")]
                 n = [b.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b")]
                 p = chance(*n)
                 found = ((r[0] == r[1]).mean(axis=1) - p) / (1 - p)
-                slack = 6 * np.sqrt(0.25 / np.minimum(np.minimum(*n), BUCKETS))
-                yield b.select(["a", "b"]).filter(pa.array(found >= percent / 100 - slack))
+                yield b.select(["a", "b"]).filter(pa.array(found >= least_estimate(*n, percent)))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
     return both.mapInArrow(run, "a long, b long")
@@ -189,6 +213,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     (repeated rows of an id repeat its pairs, which does no harm)."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"g_{x}"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -213,66 +238,106 @@ def _near_size(a: str, b: str, percent: int):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
-    some = materialise(likely(materialise(pairs), nodes, percent))
-    sets = materialise(sets_of(some))
-    return materialise(confirmed(some, sets, percent))
+def _verify(pairs: DataFrame, nodes: DataFrame, sets_of, percent: int, write: Scratch) -> DataFrame:
+    some = write(likely(pairs, nodes, percent, write))
+    sets = write(sets_of(some))
+    return write(confirmed(some, sets, percent))
+
+
+def linked_in_cell(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links of one cell: outsiders with members of other components, one for each
+    outsider and component.  Columns: role (true: outsider), out (outside the
+    hub's largest component), id, part, n, regs, grams."""
+    rows = rows.combine_chunks()
+    role = rows.column("role").to_numpy()
+    who, of = np.flatnonzero(role), np.flatnonzero(~role)
+    if not len(who) or not len(of):
+        return [], []
+    ids, part, n, out = (rows.column(c).to_numpy() for c in ("id", "part", "n", "out"))
+    regs = register_rows(rows.column("regs"))
+    grams = rows.column("grams").to_pylist()
+    ends = np.cumsum([0] + [len(g) // 6 for g in grams])
+    wide = np.zeros((ends[-1], 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, 6)
+    codes = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)[1].ravel()
+    seen = np.zeros(len(codes), bool)
+    law = zeros_law(n)
+    n_of, part_of, ids_of, regs_of = n[of], part[of], ids[of], regs[of]
+    a, b = [], []
+    for i in who.tolist():
+        p = law[of] @ law[i] / (1 << MANTISSA)
+        near = (part_of != part[i]) & (100 * np.minimum(n_of, n[i]) >= percent * np.maximum(n_of, n[i])) & (~out[of] | (ids_of > ids[i]))
+        near[near] = ((regs_of[near] == regs[i]).mean(axis=1) - p[near]) / (1 - p[near]) >= least_estimate(n_of[near], n[i], percent)
+        some = np.flatnonzero(near)
+        if not len(some):
+            continue
+        own = codes[ends[i] : ends[i + 1]]
+        seen[own] = True
+        both = np.array([np.count_nonzero(seen[codes[ends[k] : ends[k + 1]]]) for k in of[some].tolist()])
+        seen[own] = False
+        hit = some[100 * both >= percent * (n_of[some] + n[i] - both)]
+        for k in hit[np.unique(part_of[hit], return_index=True)[1]].tolist():
+            a.append(min(ids[i], ids_of[k]))
+            b.append(max(ids[i], ids_of[k]))
+    return a, b
+
+
+def across(group: DataFrame, nodes: DataFrame, sets_of, percent: int, write: Scratch) -> DataFrame:
+    """Links (a, b) between components among the members of one hub.
+
+    group: (hub, id, n, part)."""
+    parts = group.groupBy("hub", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    whole = parts.groupBy("hub").agg(F.max(F.struct("c", "s", "part")).alias("top"), F.sum("s").alias("s"), F.count("*").alias("parts"))
+    blocks = lambda s: F.ceil(s / F.lit(BLOCK)).cast("int")
+    mixed = write(whole.where("parts > 1").select("hub", F.col("top.part").alias("most"), blocks(F.col("s") - F.col("top.s")).alias("i_blocks"), blocks(F.col("s")).alias("j_blocks")))
+    rows = write(group.join(mixed, "hub").withColumn("out", F.col("part") != F.col("most")))
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asking = rows.where("out").select("hub", "id", "part", "out", F.lit(True).alias("role"), block(F.col("i_blocks"), 1).alias("i"), every(F.col("j_blocks")).alias("j"))
+    asked = rows.select("hub", "id", "part", "out", F.lit(False).alias("role"), block(F.col("j_blocks"), 2).alias("j"), every(F.col("i_blocks")).alias("i"))
+    sets = write(sets_of(rows.select(F.col("id").alias("a"), F.col("hub").alias("b"))))
+    told = write(nodes.join(sets, "id"))
+    cells = asking.unionByName(asked).join(told, "id")
+
+    def run(cell: pa.Table) -> pa.Table:
+        a, b = linked_in_cell(cell, percent)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return write(cells.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; ids are longs."""
+    write = Scratch(docs.sparkSession)
     every = materialise(sketch(docs, key, text, shingle))
     sets = every.where("n > 0")
-    copies = materialise(sets.groupBy("digest").agg(F.min("id").alias("head")))
+    copies = write(sets.groupBy("digest").agg(F.min("id").alias("head")))
     firsts = copies.select(F.col("head").alias("id"), "digest")
-    nodes = materialise(sets.join(firsts, ["id", "digest"], "left_semi").drop("digest"))
+    nodes = write(sets.join(firsts, ["id", "digest"], "left_semi").drop("digest"))
 
     member = bands(nodes)
-    shared = materialise(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    member = materialise(member.join(shared, "key"))
-    weight = materialise(member.groupBy("id").agg(F.sum("size").alias("weight")))
-    ranked = materialise(member.join(weight, "id"))
-    hub = materialise(ranked.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("top")).select("key", (-F.col("top.minus")).alias("hub"), F.col("top.n").alias("n_hub")))
-    star = member.join(hub, "key").where((F.col("id") != F.col("hub")) & _near_size("n", "n_hub", percent))
-    pairs = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    sets_of = lambda some: full_sets(_only(docs.select(key, text), some, key), key, text, shingle)
-    links = _verify(pairs, nodes, sets_of, percent)
-    label = components(links)
-
-    # Pairs in one bucket that the stars left apart.
-    apart = materialise(member.join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("part")))
-    mixed = _across(apart)
-    plain, large = mixed.where(F.col("pairs") <= F.col("size") * DIVIDE), mixed.where(F.col("pairs") > F.col("size") * DIVIDE)
-    cross = _outsiders(apart, plain, percent)
-    if not large.isEmpty():
-        hard = materialise(apart.join(large.select("key"), "key", "left_semi"))
-        other = member.select("id", F.col("key").alias("second"))
-        divided = materialise(hard.join(other, "id").where("key <> second").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id", "n", "part").distinct())
-        cross = cross.unionByName(_outsiders(divided, _across(divided), percent))
-    more = _verify(cross.distinct(), nodes, sets_of, percent)
+    shared = write(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    member = write(member.join(shared, "key"))
+    weight = write(member.groupBy("id").agg(F.sum("size").alias("weight")))
+    ranked = member.join(weight, "id")
+    hub = write(ranked.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("top")).select("key", (-F.col("top.minus")).alias("hub"), F.col("top.n").alias("n_hub")))
+    group = write(member.join(hub, "key").select("hub", "n_hub", "id", "n").distinct())
+    star = group.where((F.col("id") != F.col("hub")) & _near_size("n", "n_hub", percent))
+    pairs = write(star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    sets_of = lambda some: full_sets(_only(docs.select(key, text), some, write, key), key, text, shingle)
+    links = _verify(pairs, nodes, sets_of, percent, write)
+    label = components(links, write)
+
+    apart = write(group.join(label, "id", "left").select("hub", "id", "n", F.coalesce("label", "id").alias("part")))
+    more = across(apart, nodes, sets_of, percent, write)
     if not more.isEmpty():
-        label = components(links.unionByName(more))
+        label = components(links.unionByName(more), write)
 
     rep = materialise(copies.join(label, copies["head"] == label["id"], "left").select("digest", F.coalesce("label", "head").alias("least")))
+    write.drop()
     out = every.select("id", "n", "digest").join(rep, "digest", "left")
     component = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """(key, most, size, pairs): of buckets with several components the largest
-    one, the members, and (twice) the pairs across components."""
-    part = rows.groupBy("key", "part").agg(F.count("*").alias("c"))
-    whole = part.groupBy("key").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("size"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
-    return materialise(whole.where("pairs > 0").select("key", F.col("top.part").alias("most"), "size", "pairs"))
-
-
-def _outsiders(rows: DataFrame, mixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): members outside a bucket's largest component with every member of
-    another component; only the outsiders are joined with the whole bucket."""
-    out = materialise(rows.join(mixed.select("key", "most"), "key").where("part <> most").select("key", F.col("id").alias("id_o"), F.col("n").alias("n_o"), F.col("part").alias("part_o")))
-    near = out.join(rows, "key").where("part_o <> part").where(_near_size("n_o", "n", percent))
-    return near.select(F.least("id_o", "id").alias("a"), F.greatest("id_o", "id").alias("b"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
