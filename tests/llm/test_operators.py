@@ -88,6 +88,33 @@ def test_pii_parts_of_base_spans_are_no_negatives(spark):
     assert pii.learn(pii.detect(frame(spark, rows)))[1][3] < float("inf")
 
 
+def test_pii_trees_and_thresholds(spark):
+    """The SQL expression of the trees against their sum in Python for every code; thresholds by trial of every score."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(5 << len(pii.FEATURES)), int(rng.random() < 0.4), float(rng.randint(1, 9))) for _ in range(300)]
+    trees = pii.Trees(rows)
+    codes = spark.range(5 << len(pii.FEATURES)).select(F.col("id").cast("int").alias("code"))
+    got = {r["code"]: r["score"] for r in codes.withColumn("score", trees.column(F.col("code"))).collect()}
+    assert all(abs(got[c] - trees.score(c)) < 1e-9 for c in got)
+    for _ in range(50):
+        found = [(rng.choice([0.5, 1.0, 2.0, -1.0, 3.5]), rng.random() ** 0.3, rng.randint(1, 20)) for _ in range(12)]
+        share = lambda t: sum(p * n for s, p, n in found if s >= t) / sum(n for s, _, n in found if s >= t)
+        assert pii._threshold(found) == min((s for s, _, _ in found if share(s) >= pii.PRECISION), default=math.inf)
+    assert pii._threshold([]) == math.inf
+
+
+def test_pii_adds_what_the_base_misses(spark):
+    """Unusual writings are added, look-alikes and clean texts are left alone, base spans stay."""
+    key = hashlib.sha1(b"key").hexdigest()
+    rows = [f'the config has token = "{key}" in it', f"see commit {key} of the repository", "please call (212) 555-0187 today", "mail to anna [at] mailhost [dot] com, please", "the server fe80:12ab:0000:0000:02aa:98ff:fe28:9c5a is up"]
+    rows += ["order 0007687199101951 was sent", "part some_variable_name_22_and_more of it", "plain words only, 1 2 3", "", None, "1.2.3.4 and a@b.cc"] * 20
+    got = {r["doc_id"]: r["spans"] for r in pii.pii(frame(spark, rows)).collect()}
+    assert got[0] == f"secret:24:{24 + len(key)}" and got[1] == "" and got[2] == "phone:12:26" and got[3].startswith("email:8:") and got[4].startswith("ip:11:")
+    assert all(got[i] == base_spans(rows[i]) for i in range(5, len(rows)))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(pii.pii(frame(spark, rows))).collect()}
+    assert clean[0] == 'the config has token = "[SECRET]" in it' and clean[5] == rows[5] and clean[9] is None
+
+
 # ---- 2
 
 

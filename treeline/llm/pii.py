@@ -2,14 +2,22 @@
 
 Generators propose spans: the base patterns of each kind, and wider ones
 (obfuscated addresses, IPv6, phone numbers without a plus sign, card-like digit
-runs that fail the check sum).  Every candidate gets a few binary features of its
-format and context, packed into one integer.  All candidates of all documents,
-without those within a base span of their kind, are counted by (kind, features, is base, fold): at most ``4 * 2**len(FEATURES) * 4``
-rows, whatever the input, which is what the driver reads.  Boosted trees of depth
-two learn from one fold what base spans look like; on the other fold each kind's
-threshold is set to the lowest score at which ``PRECISION`` of the candidates are
-base spans.  The trees become one SQL expression.  Candidates that reach their
-kind's threshold and overlap no base span are added; base spans always stay.
+runs that fail the check sum, and key-like runs, which make a fifth kind,
+``secret``, that has no base pattern).  Every candidate gets a few binary features
+of its format and context, packed into one integer.
+
+The labels come from texts that are made by rule (``made_texts``): personal data in
+plain and unusual writing, and look-alikes (numbers with a wrong check digit, part
+numbers, commit ids, long names), each in several contexts.  Boosted trees of depth
+two learn from one fold of their candidates; the other fold gives each feature code
+the share of personal data, shrunk towards the trees' probability.
+
+The thresholds are calibrated on the corpus: candidates of all documents that
+overlap no base span are counted by code (at most ``5 * 2**len(FEATURES)`` rows,
+whatever the input, which is all that the driver reads), and a kind's threshold is
+the lowest score down to which ``PRECISION`` of them are expected to be personal
+data.  The trees become one SQL expression.  Candidates that reach their kind's
+threshold and overlap no base span are added; base spans always stay.
 
 Defined cases: null text is the empty text without spans; repeated rows get equal
 spans; an empty table gives an empty result; other columns pass through, and the
@@ -26,10 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import bind, materialise, read
 
-KINDS = ("email", "ip", "card", "phone")
-PRECISION = 0.9
-SUPPORT = 20
-ROUNDS, RATE = 16, 0.5
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds with a base pattern and a count column.
+COUNTED = KINDS[:4]
+PRECISION, PRIOR = 0.9, 4.0
+ROUNDS, RATE = 24, 0.5
+#: Texts made by rule to learn from.
+MADE = 6_000
 
 #: Base patterns in linear form: a run is entered at its start, or where the last match ended.
 BASE = {
@@ -43,9 +54,10 @@ WIDE = {
     "email": (r"[A-Za-z0-9._%+-]{1,64} ?[\[({](?:at|AT)[\])}] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({](?:dot|DOT)[\])}]) ?[A-Za-z0-9-]{1,63}){1,8}", r"[\[({](?:at|AT)[\])}]"),
     "ip": (r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]"),
     "phone": (r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+.-])00[1-9][ ().0-9-]{7,18}[0-9](?![0-9A-Za-z])", r"[0-9]{3}[ .)-]|00[1-9]"),
+    "secret": (r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])(?=[0-9_+/-]{0,40}[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}", r"[A-Za-z0-9_+/-]{20}"),
 }
-CONTEXT = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|credit|payment|account|ip|addr|host|server)[^0-9A-Za-z]{0,4}(?:[A-Za-z]{1,8}[^0-9A-Za-z]{1,3}){0,2}$"
-FEATURES = ("left_alnum", "right_alnum", "separated", "context", "assigned", "usual_size", "usual_head", "varied")
+CONTEXT = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|credit|payment|account|ip|addr|host|server|token|secret|key|passw|auth|bearer|credential)[^0-9A-Za-z]{0,4}(?:[A-Za-z]{1,8}[^0-9A-Za-z]{1,3}){0,2}$"
+FEATURES = ("left_alnum", "right_alnum", "separated", "context", "assigned", "usual_size", "usual_head", "varied", "checked", "digits_only")
 
 
 def _prefix_sums(values: Column) -> Column:
@@ -84,7 +96,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, v: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(v, r"\."), lambda p: F.coalesce(F.regexp_replace(p, "^0+(?=.)", "").try_cast("int") <= 255, F.lit(False)))
+        return v.contains(":") | F.forall(F.split(v, r"\."), lambda p: F.coalesce(F.regexp_replace(p, "^0+(?=.)", "").try_cast("int") <= 255, F.lit(False)))
     if kind == "card":
         return bind(_digits(v), lambda d: F.length(d).between(12, 19) & _luhn(d))
     if kind == "phone":
@@ -98,11 +110,12 @@ def _features(kind: str, text: Column, m: Column) -> Column:
     left = F.when(s > 0, F.substring(text, from_, s - from_ + 1)).otherwise("")
     right = F.substring(text, e + 1, F.lit(1))
     digits = _digits(v)
-    size = {"email": F.length(v) <= 48, "ip": F.length(v).between(7, 39), "card": F.length(digits).isin(15, 16), "phone": F.length(digits).between(10, 12)}[kind]
-    head = {"email": v.rlike("^[A-Za-z]"), "ip": v.rlike("^[1-9A-Fa-f]"), "card": v.rlike("^[3-6]"), "phone": v.rlike(r"^(?:\+[1-9]|\()")}[kind]
+    size = {"email": F.length(v) <= 48, "ip": F.length(v).between(7, 39), "card": F.length(digits).isin(15, 16), "phone": F.length(digits).between(10, 12), "secret": F.length(v).between(20, 64)}[kind]
+    head = {"email": v.rlike("^[A-Za-z]"), "ip": v.rlike("^[1-9A-Fa-f]"), "card": v.rlike("^[3-6]"), "phone": v.rlike(r"^(?:\+[1-9]|\()"), "secret": v.rlike("^(?:[0-9a-f]+|[A-Z0-9]+|[A-Za-z0-9+/]+={0,2})$")}[kind]
     flags = [
         left.rlike("[0-9A-Za-z]$"), right.rlike("^[0-9A-Za-z]"), v.rlike("[^0-9A-Za-z@.+]"), left.rlike(CONTEXT),
         left.rlike("[=\"'] ?$"), size, head, F.size(F.array_distinct(F.split(digits, ""))) >= 4,
+        _valid(kind, v), v.rlike("^[0-9]+$"),
     ]
     total = F.lit(0)
     for i, f in enumerate(flags):
@@ -132,7 +145,8 @@ def _candidates(text: Column) -> Column:
     item = "array<struct<s:int,kind:int,e:int,base:boolean,bits:int>>"
     groups = []
     for number, kind in enumerate(KINDS):
-        groups.append(F.when(gate[kind], _of_base(kind, number, text)).otherwise(F.array().cast(item)))
+        if kind in BASE:
+            groups.append(F.when(gate[kind], _of_base(kind, number, text)).otherwise(F.array().cast(item)))
         if kind in WIDE:
             pattern, hint = WIDE[kind]
             groups.append(F.when((digit if kind != "email" else F.lit(True)) & text.rlike(hint), _of_wide(kind, number, text, pattern)).otherwise(F.array().cast(item)))
@@ -205,26 +219,106 @@ def _code(kind: Column, bits: Column) -> Column:
     return bits + kind * F.lit(1 << len(FEATURES))
 
 
+def made_texts(spark: SparkSession, n: int = MADE) -> DataFrame:
+    """(id, text, kind, s, e, good): texts made by rule, each with one piece at
+    [s, e) that is personal data of its kind (good) or only looks like it."""
+    d = lambda k, size: F.lpad(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**size)).cast("string"), size, "0")
+    x = lambda k, size: F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{k}")).cast("binary"), 256), 1, size)
+    w = lambda k, size: F.translate(x(k, size), "0123456789", "ghijklmnop")
+    octet = lambda k: (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(255)) + 1).cast("string")
+
+    def card(k: int, good: bool) -> Column:
+        last = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("4"), d(k, 14), i.cast("string"))), lambda v: _luhn(v) if good else ~_luhn(v)), F.lit(0))
+        return last if k % 2 else F.regexp_replace(last, "(.{4})(?=.)", "$1 ")
+
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    email, ip, card_, phone, secret = range(5)
+    neutral, named, assigned = "the rest of ", "", ""
+    names = {email: "write to mail ", ip: "on the server ", card_: "my credit card ", phone: "please call ", secret: 'token = "'}
+    #: kind, good, piece, contexts (neutral, named, assigned) in which it stands
+    forms = [
+        (email, True, join(w(1, 6), ".", d(2, 2), "@", w(3, 6), ".example.com"), "nna"),
+        (email, True, join(w(1, 6), " [at] ", w(3, 6), " [dot] com"), "nm"),
+        (email, True, join(w(1, 6), "(at)", w(3, 6), ".org"), "nm"),
+        (ip, True, F.concat_ws(".", *[octet(k) for k in range(4)]), "nma"),
+        (ip, True, F.concat_ws(":", *[x(k, 4) for k in range(8)]), "nma"),
+        (ip, False, F.concat_ws(":", *[d(k, 1) for k in range(8)]), "n"),
+        (card_, True, card(1, True), "nma"),
+        (card_, True, card(2, True), "nm"),
+        (card_, False, card(3, False), "nnm"),
+        (card_, False, card(4, False), "n"),
+        (phone, True, join("+1 (", d(1, 3), ") 555-", d(2, 4)), "nma"),
+        (phone, True, join("(", d(1, 3), ") 555-", d(2, 4)), "nm"),
+        (phone, True, join(d(1, 3), "-555-", d(2, 4)), "m"),
+        (phone, True, join("0049 ", d(1, 3), " ", d(2, 7)), "nm"),
+        (phone, False, join(d(1, 3), " ", d(2, 3), " ", d(3, 4)), "n"),
+        (phone, False, join("00", d(1, 14)), "nnm"),
+        (phone, False, join("001", d(1, 8), "-", d(2, 5)), "n"),
+        (secret, True, x(1, 40), "mmma"),
+        (secret, True, join("AKIA", F.upper(w(1, 8)), d(2, 8)), "mma"),
+        (secret, True, join(F.substring(F.base64(F.unhex(x(1, 48))), 1, 32)), "mma"),
+        (secret, False, x(1, 40), "n"),
+        (secret, False, join(w(1, 8), "_", w(2, 7), "_", d(3, 2), "_", w(4, 8)), "nnma"),
+        (secret, False, join(w(1, 9), "-", w(2, 9), "-", d(3, 1)), "nn"),
+        (secret, False, join(x(1, 8), "-", x(2, 4), "-", x(3, 4), "-", x(4, 12)), "nn"),
+    ]
+    left = {"n": lambda k: neutral, "m": lambda k: names[k], "a": lambda k: 'api_key = "' if k == secret else 'field="'}
+    made = [(k, good, join(w(90, 5), " ", left[c](k)), piece) for k, good, piece, where in forms for c in where]
+    shown = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(good).alias("good"), a.alias("a"), p.alias("p")) for k, good, a, p in made])
+    rows = spark.range(n).select("id", F.get(shown, F.pmod("id", F.lit(len(made))).cast("int")).alias("x"))
+    begin = F.length("x.a")
+    tail = F.when(F.col("x.a").endswith('"'), '" ').otherwise(F.element_at(F.array(F.lit(" "), F.lit(". "), F.lit(", ")), (F.pmod(F.xxhash64("id"), F.lit(3)) + 1).cast("int")))
+    return rows.select("id", F.concat("x.a", "x.p", tail, w(91, 7)).alias("text"), "x.kind", begin.alias("s"), (begin + F.length("x.p")).alias("e"), "x.good")
+
+
+def examples(spark: SparkSession) -> list[tuple[int, int, int, float]]:
+    """(fold, code, label, n): candidates within the pieces of the made texts; of a
+    good piece, candidates of its kind over at least four fifths of it are right and
+    others of its kind are left out."""
+    made = made_texts(spark)
+    c = made.select("id", "kind", "s", "e", "good", F.explode(bind(F.col("text"), _candidates)).alias("c")).where((F.col("c.s") < F.col("e")) & (F.col("s") < F.col("c.e")) & (F.col("c.kind") == F.col("kind")))
+    most = (F.least("c.e", "e") - F.greatest("c.s", "s")) * 5 >= (F.col("e") - F.col("s")) * 4
+    told = c.where(~F.col("good") | most)
+    counts = told.groupBy(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).alias("fold"), _code(F.col("c.kind"), F.col("c.bits")).alias("code"), F.col("good").cast("int").alias("y")).agg(F.count("*").alias("n"))
+    return sorted((int(r["fold"]), r["code"], r["y"], float(r["n"])) for r in counts.collect())
+
+
+def _clear_of_base(candidates: Column) -> Column:
+    """Wider candidates that overlap no base span."""
+    base = F.filter(candidates, lambda x: x["base"])
+    wide = lambda b: F.filter(candidates, lambda x: ~x["base"] & ~F.exists(b, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
+    return F.when(F.exists(candidates, lambda x: ~x["base"]), bind(base, wide)).otherwise(F.slice(candidates, F.lit(1), F.lit(0)))
+
+
 def learn(found: DataFrame) -> tuple[Trees, list[float]]:
-    """Trees and each kind's threshold, from counts over all candidates but those
-    that overlap a base span of their kind: they are part of it, no counterexamples."""
-    part = lambda x, y: y["base"] & (x["kind"] == y["kind"]) & (x["s"] < y["e"]) & (y["s"] < x["e"])
-    mixed = F.exists("candidates", lambda x: ~x["base"]) & F.exists("candidates", lambda x: x["base"])
-    told = F.when(mixed, F.filter("candidates", lambda x: x["base"] | ~F.exists(F.col("candidates"), lambda y: part(x, y)))).otherwise(F.col("candidates"))
-    one = found.select(F.explode(told).alias("c"), F.pmod(F.xxhash64(F.size("candidates"), F.get("candidates", F.lit(0))["s"]), F.lit(2)).alias("fold"))
-    counts = one.groupBy(_code(F.col("c.kind"), F.col("c.bits")).alias("code"), F.col("c.base").alias("base"), "fold").agg(F.count("*").alias("n")).collect()
-    rows = sorted((r["fold"], r["code"], int(r["base"]), float(r["n"])) for r in counts)
+    """Trees from the made texts, and each kind's threshold from the counts of all
+    candidates of the corpus that may be added."""
+    rows = examples(found.sparkSession)
     trees = Trees([r[1:] for r in rows if r[0] == 0])
-    limits = []
-    for number in range(len(KINDS)):
-        scored = sorted(((trees.score(c), y, n) for f, c, y, n in rows if f == 1 and c >> len(FEATURES) == number), reverse=True)
-        limit, good, seen = math.inf, 0.0, 0.0
-        for i, (s, y, n) in enumerate(scored):
-            good, seen = good + n * y, seen + n
-            if (i + 1 == len(scored) or scored[i + 1][0] < s) and seen >= SUPPORT and good >= PRECISION * seen:
-                limit = s
-        limits.append(limit)
-    return trees, limits
+    seen: dict[int, list[float]] = {}
+    for fold, code, y, n in rows:
+        if fold == 1:
+            seen.setdefault(code, [0.0, 0.0])[y] += n
+
+    def chance(code: int) -> float:
+        bad, good = seen.get(code, (0.0, 0.0))
+        return (good + PRIOR / (1 + math.exp(-trees.score(code)))) / (good + bad + PRIOR)
+
+    free = found.select(F.explode(_clear_of_base(F.col("candidates"))).alias("c"))
+    counts = free.groupBy(_code(F.col("c.kind"), F.col("c.bits")).alias("code")).agg(F.count("*").alias("n")).collect()
+    return trees, [_threshold([(trees.score(r["code"]), chance(r["code"]), r["n"]) for r in counts if r["code"] >> len(FEATURES) == k]) for k in range(len(KINDS))]
+
+
+def _threshold(rows: list[tuple[float, float, int]]) -> float:
+    """rows (score, chance of personal data, count) -> the lowest score down to
+    which PRECISION of the candidates are expected to be right; infinite if none."""
+    limit, good, seen = math.inf, 0.0, 0
+    scored = sorted(rows, key=lambda r: -r[0])
+    for i, (score, chance, n) in enumerate(scored):
+        good, seen = good + chance * n, seen + n
+        if (i + 1 == len(scored) or scored[i + 1][0] < score) and good >= PRECISION * seen:
+            limit = score
+    return limit
 
 
 def detect(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -256,13 +350,13 @@ def select(found: DataFrame) -> DataFrame:
         return ok
 
     apart = lambda x, y: (x["e"] <= y["s"]) | (y["e"] <= x["s"])
-    extra = F.array_sort(F.filter(c, lambda x: ~x["base"] & chosen(x) & ~F.exists(base, lambda y: ~apart(x, y))))
+    extra = F.array_sort(F.filter(_clear_of_base(c), chosen))
     empty = F.slice(c, F.lit(1), F.lit(0))
     clear = F.aggregate(extra, empty, lambda t, x: F.when(F.exists(t, lambda y: ~apart(x, y)), t).otherwise(F.concat(t, F.array(x))))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
     both = found.select("row", base.alias("base"), F.array_sort(F.concat(base, F.when(F.exists(c, lambda x: ~x["base"]), clear).otherwise(empty))).alias("redactions"))
-    counts = [F.size(F.filter("base", _is(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", _is(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(COUNTED)]
     return both.select("row.*", *counts, F.sha2(told(F.array_sort("base")), 256).alias("base_sha256"), told(F.col("redactions")).alias("spans"), "redactions")
 
 
