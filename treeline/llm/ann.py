@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read
+from .common import materialise, read, tidy
 
 NEAR = 20
 TRAIN, PROBES, AIM = 20_000, 96, 0.95
@@ -53,6 +53,7 @@ def entries(rows: DataFrame) -> DataFrame:
     """(v, ids): distinct vectors as bytes with their least ids.  A task first
     keeps the least ids of what it reads, so a hot vector sends few rows."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
 
@@ -166,6 +167,7 @@ def _calibrated(index: MultiIndex, table: DataFrame, probes: list[bytes]) -> int
     """Least number of entries to visit that finds AIM of the probes' neighbours."""
     q = np.frombuffer(b"".join(probes), dtype=np.float64).reshape(len(probes), -1)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("v"))
@@ -202,6 +204,7 @@ def nearest(rows: DataFrame, asks: Column, key: str = "vec_id", vector: str = "e
     sample = _matrix(table.orderBy(F.xxhash64("v")).limit(TRAIN).select("v").toArrow().column("v"))
     index = MultiIndex(sample, int(np.clip(int(n**0.5 / 3), 1, min(MOST, len(sample)))))
 
+    @tidy
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c1, c2 = index.cells(_matrix(b.column("v")))
@@ -211,6 +214,7 @@ def nearest(rows: DataFrame, asks: Column, key: str = "vec_id", vector: str = "e
     for r in table.groupBy("c1", "c2").count().collect():
         index.count[r["c1"], r["c2"]] = r["count"]
 
+    @tidy
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column("v").flatten().to_numpy(zero_copy_only=False) + 0.0
@@ -226,6 +230,7 @@ def nearest(rows: DataFrame, asks: Column, key: str = "vec_id", vector: str = "e
     chunks = np.maximum(1, -(-index.count.sum(axis=1) // CHUNK)).tolist()
     parts = max(1, -(-total // CHUNK))
 
+    @tidy
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, slices
+from .common import Remembered, read, slices, tidy
 from .merging import PairTable, merge
 
 CHUNK = 16_384
@@ -35,7 +35,7 @@ OVERLAP = 512
 #: Boundaries in a cut chunk's last characters aren't trusted: no alternative of
 #: the pattern decides on more than three characters after a boundary.
 GUARD = 8
-CACHE = 500_000
+CACHE = 200_000
 
 
 class ByteCodec:
@@ -55,7 +55,7 @@ class ByteCodec:
         self.token = {r: t for t, r in ranks.items()}
         self.table = PairTable.of_pieces(ranks, {t: r for t, r in ranks.items() if len(t) > 1})
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
-        self.seen: dict[str, bytes] = {}
+        self.seen = Remembered(CACHE)
 
     # ---- pre-tokens
 
@@ -114,11 +114,9 @@ class ByteCodec:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = set().union(*cut).difference(self.seen)
+        new = self.seen.new_of(set().union(*cut))
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.seen.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -131,6 +129,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, key: str = "
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ByteCodec(rank_path, pattern)
         for b in slices(batches, "text"):

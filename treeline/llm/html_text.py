@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash64, read, slices, words_of
+from .common import hash64, read, slices, tidy, words_of
 
 #: HTML elements by their role in the scan.
 INLINE = frozenset(
@@ -371,6 +371,7 @@ def main_text(pages: DataFrame, html: str = "html", key: str = "page_id") -> Dat
     inner = pages.select(F.coalesce(F.col(html), F.lit("")).alias("_html"), F.struct(*[c for c in pages.columns if c != html and c.lower() not in ("text", "n_chars")]).alias("_row"))
     schema = inner.select("_row").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for b in slices(batches, "_html"):

@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, slices, words_of
+from .common import Remembered, materialise, read, slices, tidy, words_of
 
 LENGTH = 2048
 END_ID = 0
 GROUP = 8_000
-CACHE = 800_000
+#: Words whose ids a worker remembers (about 200 bytes each).
+CACHE = 200_000
 #: Between a letter or digit and the ASCII punctuation that ends a word.
 TAIL = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~]+$)")
 
@@ -52,16 +53,14 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.seen: dict[str, bytes] = {}
+        self.seen = Remembered(CACHE)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and row offsets, an end id after every text."""
         words, codes, offsets = words_of(texts, lower=False)
         words = words.to_pylist()
         parts = [TAIL.split(w)[:2] if "<|" not in w else (w,) for w in (w.lower() if w.isascii() and "<|" not in w else w for w in words)]
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = list({p for x in parts for p in x}.difference(self.seen))
+        new = self.seen.new_of({p for x in parts for p in x})
         for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.seen[w] = array("I", e.ids).tobytes()
         get = self.seen.__getitem__
@@ -88,9 +87,10 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             ids, offsets = coder.encode(b.column("text"))
             total = np.diff(offsets)
             count = (total + length - 1) // length

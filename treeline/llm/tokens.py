@@ -22,13 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, segment_sum, slices
+from .common import Remembered, read, segment_sum, slices, tidy
 from .merging import PairTable, merge
 
 MARK = "▁"
 LIMIT = 4096
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE = 400_000
+#: Distinct pre-tokens that a worker remembers.
+CACHE = 200_000
 
 
 class PieceCounter:
@@ -47,12 +47,10 @@ class PieceCounter:
         self.table = PairTable.of_pieces(pieces, ranks)
         self.single = {p: i for p, i in pieces.items() if len(p) == 1}
         self.feed = 1 if "\n" in self.single else len(b"\n")
-        self.seen: dict[str, int] = {}
+        self.seen = Remembered(CACHE)
 
     def _learn(self, words: list[str]) -> None:
         """Count new pre-tokens (given as marked text without line feeds)."""
-        if len(self.seen) > CACHE:
-            self.seen.clear()
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         chars, where = np.unique(points, return_inverse=True)
         known = np.array([self.single.get(chr(c), -1) for c in chars], dtype=np.int64)
@@ -65,11 +63,9 @@ class PieceCounter:
             self.seen[w] = n
 
     def _counts(self, words: list[str]) -> list[int]:
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        new = [w for w in words if w not in self.seen]
+        new = self.seen.new_of(set(words))
         if new:
-            self._learn(list(dict.fromkeys(new)))
+            self._learn(new)
         return [self.seen[w] for w in words]
 
     def count(self, texts: pa.Array) -> np.ndarray:
@@ -104,6 +100,7 @@ def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """(key, n_bytes, n_tokens, over_limit) of every document."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(model_path)
         for b in slices(batches, "text"):
