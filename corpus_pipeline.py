@@ -30,8 +30,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of near duplicates (five-word shingles, similarity 0.8)."""
     found = neardup.near_duplicates(docs, shingle=5, percent=80)
-    gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(small(gone, 500_000), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = materialise(found.where("NOT kept").select("doc_id").distinct())
+    return docs.join(small(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
