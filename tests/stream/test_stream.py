@@ -67,3 +67,14 @@ def test_ingest(spark):
     out = ingest.validated(posts).collect()
     assert len(out) == 34 and {len(r["session"]) for r in out} == {64, 1} and max(len(r["subject"] or "") for r in out) == 128
     assert [r["size"] for r in out if r["kind"] == "tree"] == [2]
+
+
+def test_stream_of_draws(spark, tmp_path):
+    """Queue events that arrive out of order are heard in order."""
+    rows = [(1, "ask", "a"), (2, "ask", "b"), (3, "arrive", "a"), (4, "arrive", "b"), (5, "done", ""), (6, "ask", "c"), (7, "flush", "")]
+    order = [2, 0, 1, 4, 3, 6, 5]
+    event = lambda t, s, n, kind, key: {"ts": at(float(t)), "session": s, "n": n, "kind": kind, "key": key}
+    batches = [[event(rows[n][0], 1, n, *rows[n][1:])] for n in order] + [[event(600, 2, 0, "ask", "z")]] * 2
+    got = streamed(spark, tmp_path, batches, "ts timestamp, session long, n long, kind string, key string", ingest.stream_draws, "draws")
+    queue = ingest.DrawQueue()
+    assert [r[2] for r in sorted(got, key=lambda r: r[1])] == [k for _, kind, key in rows for k in queue.hear(kind, key)] == ["a", "b", "c"]

@@ -8,40 +8,66 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 MATCH = StructType([StructField("score", DoubleType()), StructField("ranges", StringType())])  # a DDL string would need a session here
+#: What a match scores.
+WHOLE, AT_BOUNDARY, AT_START = 1000, 300, 400
+STREAK, STREAK_STEP, FRESH_BOUNDARY, FRESH, MOST_GAP, LENGTH_UNIT = 12, 4, 10, 2, 12, 12
+BOUNDARY = frozenset(" \t\n\r\x0b\x0c._-")
+
+
+def match(needle: str, name: str) -> tuple[float, list[list[int]]] | None:
+    """Score and matched ranges of a query in a name; None if its letters don't occur in order."""
+    n, h = needle.lower(), name.lower()
+    if not n:
+        return 0.0, []
+    starts = lambda k: k == 0 or h[k - 1] in BOUNDARY
+    whole = h.find(n)
+    if whole >= 0:
+        return float(WHOLE - whole + AT_BOUNDARY * starts(whole) + AT_START * (whole == 0)), [[whole, whole + len(n)]]
+    score, run, after, spans = 0, 0, 0, []
+    for k, letter in enumerate(n):
+        place = h.find(letter, after)
+        if place < 0:
+            return None
+        if k and place == after:
+            run += 1
+            score += STREAK + STREAK_STEP * run
+        else:
+            run = 0
+            score += (FRESH_BOUNDARY if starts(place) else FRESH) - min(place - after, MOST_GAP)
+        if spans and spans[-1][1] == place:
+            spans[-1][1] += 1
+        else:
+            spans.append([place, place + 1])
+        after = place + 1
+    return float(score - len(h) // LENGTH_UNIT), spans
+
+
+def _told(ranges) -> str:
+    return ",".join(f"{a}-{b}" for a, b in ranges)
 
 
 @pandas_udf(MATCH)
 def fuzzy(names: pd.Series, queries: pd.Series) -> pd.DataFrame:
-    """Subsequence match: consecutive letters and word starts score more; null if
-    the query's letters don't occur in order. ranges are 'start-end' pairs."""
-    out = []
-    for name, query in zip(names.fillna(""), queries.fillna(""), strict=True):
-        low, at, score, spans = name.lower(), 0, 0.0, []
-        for ch in query.lower().replace(" ", ""):
-            k = low.find(ch, at)
-            if k < 0:
-                score = None
-                break
-            start = k == 0 or not low[k - 1].isalnum()
-            score += 1 + 3 * (bool(spans) and spans[-1][1] == k) + 2 * start - min(k - at, 10) * 0.1
-            if spans and spans[-1][1] == k:
-                spans[-1][1] = k + 1
-            else:
-                spans.append([k, k + 1])
-            at = k + 1
-        out.append((score, None if score is None else ",".join(f"{a}-{b}" for a, b in spans)))
-    return pd.DataFrame(out, columns=["score", "ranges"])
+    """``match`` of each pair; score and ranges ('start-end' pairs) are null where there is none."""
+    found = [match(q, n) for n, q in zip(names.fillna(""), queries.fillna(""), strict=True)]
+    return pd.DataFrame([(None, None) if m is None else (m[0], _told(m[1])) for m in found], columns=["score", "ranges"])
+
+
+def forms(word: str) -> list[str]:
+    """A word and its regular plurals; words of fewer than three letters stay alone."""
+    if len(word) < 3:
+        return [word]
+    return [word, word + "s", word + "es"] + ([word[:-1] + "ies"] if word.endswith("y") else [])
 
 
 def highlights(name: str, query: str) -> list[tuple[int, int]]:
     """Merged ranges where a query's words (or their plurals) stand literally."""
     low, found = name.lower(), []
-    for word in query.lower().split():
-        for form in {word, word + "s", word[:-1] if word.endswith("s") and len(word) > 3 else word}:
-            at = low.find(form)
-            while at >= 0:
-                found.append((at, at + len(form)))
-                at = low.find(form, at + 1)
+    for form in [f for word in query.lower().split() for f in forms(word)]:
+        at = low.find(form)
+        while at >= 0:
+            found.append((at, at + len(form)))
+            at = low.find(form, at + len(form))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
@@ -51,6 +77,12 @@ def highlights(name: str, query: str) -> list[tuple[int, int]]:
     return out
 
 
+@pandas_udf(StringType())
+def lit(names: pd.Series, queries: pd.Series) -> pd.Series:
+    """``highlights`` of each pair as 'start-end' pairs."""
+    return pd.Series([_told(highlights(n, q)) for n, q in zip(names.fillna(""), queries.fillna(""), strict=True)], dtype=object)
+
+
 def register(spark: SparkSession) -> None:
     """Make parsers and functions available to SQL."""
     from ..sources import newick, turtle
@@ -58,3 +90,4 @@ def register(spark: SparkSession) -> None:
     newick.register(spark)
     turtle.register(spark)
     spark.udf.register("fuzzy", fuzzy)
+    spark.udf.register("lit", lit)

@@ -27,34 +27,26 @@ def node_ages(tree: DataFrame, lengths: DataFrame) -> DataFrame:
     return far.join(below, "id").select("id", (F.col("hi") - F.col("d")).alias("oldest"), (F.col("lo") - F.col("d")).alias("youngest"))
 
 
-def fingerprints(clades: DataFrame) -> DataFrame:
-    """(id, print, tips) of clades given as (id, tip): equal sets have equal prints."""
-    return clades.groupBy("id").agg(F.bit_xor(F.xxhash64("tip")).alias("print"), F.count("*").alias("tips"))
-
-
-def congruence(ours: DataFrame, theirs: DataFrame, least: int = 2) -> DataFrame:
-    """(id, other, class) of every node of ``ours`` (id, tip, depth) against
-    ``theirs`` over the tips both have: 'identical' sets, a 'subset' of the
-    smallest covering clade, or 'conflict' where that clade is met by outsiders.
-
-    The covering clade is the deepest one that holds all shared tips of ours; ours
-    agrees if it is a union of that clade's children restricted to shared tips.
+def congruence(ours: DataFrame, theirs: DataFrame, matches: DataFrame, least: int = 2) -> DataFrame:
+    """(id, other, shared, class) of every matched node (id, other) with ``least``
+    shared tips or more beneath it: 'identical' if both clades hold the same shared
+    tips, 'subset' if all of ours lie within the matched clade, else 'conflict'.
+
+    Both trees are numbered in preorder, so a clade is an interval of positions and
+    its shared tips lie within it if the first and the last of them do.
+    ours, theirs: (id, idx, size, lineage, is_tip).
     """
-    shared = ours.select("tip").distinct().join(theirs.select("tip").distinct(), "tip")
-    a, b = ours.join(shared, "tip"), theirs.join(shared, "tip")
-    pa, pb = fingerprints(a.select("id", "tip")).where(F.col("tips") >= least), fingerprints(b.select("id", "tip"))
-    depth = theirs.groupBy("id").agg(F.max("depth").alias("depth"))
-    same = pa.join(pb.join(depth, "id").select(F.col("id").alias("other"), "print", F.col("tips").alias("t2"), "depth"), "print").where("tips = t2").groupBy("id").agg(F.max_by("other", "depth").alias("same"))
-    cover = a.join(b.select(F.col("id").alias("other"), "tip"), "tip").groupBy("id", "other").agg(F.count("*").alias("both"))
-    sizes = pb.select(F.col("id").alias("other"), F.col("tips").alias("other_tips"))
-    deep = depth.select(F.col("id").alias("other"), "depth")
-    facing = cover.join(pa.select("id", "tips"), "id").join(sizes, "other").join(deep, "other")
-    crossing = facing.groupBy("id").agg(
-        F.bool_or((F.col("both") < F.col("tips")) & (F.col("both") < F.col("other_tips"))).alias("crossed"),
-        F.max_by("other", F.when(F.col("both") == F.col("tips"), F.col("depth"))).alias("inside"),
-    )
-    kind = F.when(F.col("same").isNotNull(), "identical").when(F.col("crossed"), "conflict").otherwise("subset")
-    return pa.select("id").join(same, "id", "left").join(crossing, "id", "left").select("id", F.coalesce("same", "inside").alias("other"), kind.alias("class"))
+    pairs = materialise(matches.select("id", "other").distinct())
+    tips = lambda t, name: t.where("is_tip").select(F.col("id").alias(name), F.col("idx").alias(f"at_{name}"), F.col("lineage").alias(f"line_{name}"))
+    shared = materialise(pairs.join(tips(ours, "id"), "id").join(tips(theirs, "other"), "other"))
+    here = shared.select(F.explode("line_id").alias("id"), "at_other").join(pairs.select("id").distinct(), "id", "left_semi")
+    here = here.groupBy("id").agg(F.count("*").alias("shared"), F.min("at_other").alias("first"), F.max("at_other").alias("last")).where(F.col("shared") >= least)
+    there = shared.select(F.explode("line_other").alias("other")).groupBy("other").agg(F.count("*").alias("held"))
+    span = theirs.select(F.col("id").alias("other"), "idx", (F.col("idx") + F.col("size")).alias("stop"))
+    j = pairs.join(here, "id").join(span, "other").join(there, "other", "left")
+    inside = (F.col("first") >= F.col("idx")) & (F.col("last") < F.col("stop"))
+    kind = F.when(inside & (F.col("held") == F.col("shared")), "identical").when(inside, "subset").otherwise("conflict")
+    return j.select("id", "other", "shared", kind.alias("class"))
 
 
 def tiers(tree: DataFrame, matches: DataFrame) -> DataFrame:
@@ -147,3 +139,61 @@ def occurrence_best(facts: DataFrame, ages: DataFrame) -> DataFrame:
 def living(tree: DataFrame, alive: DataFrame) -> DataFrame:
     """(id): nodes with a living node at or below them."""
     return tree.join(alive.select("id").distinct(), "id", "left_semi").select(F.explode("lineage").alias("id")).distinct()
+
+
+def by_route(resolved: DataFrame) -> DataFrame:
+    """(route, n) of resolved keys (status): how they were found."""
+    return resolved.groupBy(F.col("status").alias("route")).agg(F.count("*").alias("n"))
+
+
+def headline(tiers: DataFrame) -> DataFrame:
+    """One row of provenance: nodes, measured, dated at all, and their shares."""
+    dated = F.col("tier").isin(MEASURED, INTERPOLATED)
+    return tiers.agg(
+        F.count("*").alias("nodes"), F.count_if(F.col("tier") == MEASURED).alias("measured"), F.count_if(dated).alias("dated"),
+        F.round(F.try_divide(F.count_if(dated), F.count("*")), 6).alias("dated_share"),
+    )
+
+
+def in_range(ages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(id, low, high, age, passed) of spot checks: an age must lie within its published range."""
+    j = ranges.select("id", "low", "high").join(ages.select("id", "age"), "id", "left")
+    return j.withColumn("passed", F.coalesce(F.col("age").between(F.col("low"), F.col("high")), F.lit(False)))
+
+
+def label_kinds(labels: DataFrame, prefixes: list[str]) -> DataFrame:
+    """(kind, n) of labels (label) by the first prefix that they begin with; 'empty' and 'other'."""
+    kind = F.when(F.coalesce("label", F.lit("")) == "", "empty")
+    for x in prefixes:
+        kind = kind.when(F.startswith("label", F.lit(x)), x)
+    return labels.groupBy(kind.otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
+
+
+def reachable(tree: DataFrame, bounds: DataFrame, final: DataFrame) -> DataFrame:
+    """(id, reach, short): how far back a bound could be met under the parent's
+    final age, and what the node's own final age falls short of that.
+    bounds: (id, bound); final: (id, age_layout)."""
+    up = final.select(F.col("id").alias("parent"), F.col("age_layout").alias("p_age"))
+    j = bounds.join(tree.select("id", "parent"), "id").join(final.select("id", "age_layout"), "id").join(up, "parent", "left")
+    reach = F.least("bound", "p_age")
+    return j.select("id", reach.alias("reach"), F.greatest(reach - F.col("age_layout"), F.lit(0.0)).alias("short"))
+
+
+def reach_figures(reach: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One row: bounds, nodes that fall short of what they could reach, and the
+    median of what bounds lack after that (the parent's doing, not the node's)."""
+    j = reach.join(bounds, "id").withColumn("rest", F.greatest(F.col("bound") - F.col("reach"), F.lit(0.0)))
+    return j.agg(F.count("*").alias("bounds"), F.count_if(F.col("short") > 0).alias("short"), F.round(F.median(F.when(F.col("rest") > 0, F.col("rest"))), 6).alias("median_rest"))
+
+
+def versioned(folder: str, name: str, version: str) -> str:
+    """Where a phase's output lives.  A phase reads the version of an earlier phase
+    and writes its own, so a repeat starts from the same baseline and never compounds."""
+    return f"{folder}/{name}/v={version}"
+
+
+def rebuild(df: DataFrame, folder: str, name: str, version: str) -> DataFrame:
+    """Write ``df`` as a version of ``name`` (a repeat replaces it) and read it back."""
+    path = versioned(folder, name, version)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,6 +41,17 @@ class Gates:
         missing = df.where(F.col(key).isNotNull()).join(other.select(F.col(other_key).alias(key)).distinct(), key, "left_anti")
         self.require(f"fk_{key}", 0, missing.count())
 
+    def not_null(self, df: DataFrame, *columns: str) -> None:
+        self.rules(df, {f"not_null_{c}": F.col(c).isNotNull() for c in columns})
+
+    def in_set(self, df: DataFrame, column: str, values: list) -> None:
+        """Values outside a closed list; null is none of them and allowed."""
+        self.rules(df, {f"in_set_{column}": F.col(column).isNull() | F.col(column).isin(values)})
+
+    def row_count(self, df: DataFrame, name: str, low: int, high: int | None = None) -> None:
+        n = df.count()
+        self.require(f"rows_{name}", f"{low} to {'any' if high is None else high}", n, n >= low and (high is None or n <= high))
+
     def at_least(self, name: str, floor, actual, note: str = "") -> None:
         self.require(name, f">= {floor}", actual, actual is not None and actual >= floor, note=note)
 
@@ -87,8 +98,19 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def package(spark: SparkSession, reports: list[str], tables: dict[str, DataFrame]) -> Gates:
-    """Gates over earlier phases' reports and the tables to publish."""
+def verified(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, expected, actual, state) of pinned files (name, sha256) against a
+    manifest: 'ok', 'changed' or 'missing', which is what a resumed download fetches."""
+    actual = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("actual"))
+    j = wanted.select("name", F.col("sha256").alias("expected")).join(actual, "name", "left")
+    state = F.when(F.col("actual").isNull(), "missing").when(F.col("actual") == F.col("expected"), "ok").otherwise("changed")
+    return j.select("name", "expected", "actual", state.alias("state"))
+
+
+def package(spark: SparkSession, reports: list[str], tables: dict[str, DataFrame], aligned: list[tuple[str, str, str]] = (), floors: dict[str, int] | None = None) -> Gates:
+    """Gates over earlier phases' reports and the tables to publish: every phase
+    passed; tables that describe the same keys (table, table, key) hold the same
+    ones; every table has its least number of rows."""
     out = Gates("package")
     for text in reports:
         try:
@@ -96,7 +118,11 @@ def package(spark: SparkSession, reports: list[str], tables: dict[str, DataFrame
             out.require(f"phase_{r['phase']}", [], r["failed"])
         except (ValueError, KeyError) as e:
             out.require("report_readable", "valid report", str(e)[:80], False)
+    for a, b, key in aligned:
+        one, two = tables[a].select(key), tables[b].select(key)
+        out.require(f"keys_{a}_{b}", 0, one.exceptAll(two).count() + two.exceptAll(one).count())
     for name, df in tables.items():
-        out.at_least(f"rows_{name}", 1, df.limit(1).count())
+        least = (floors or {}).get(name, 1)
+        out.at_least(f"rows_{name}", least, df.limit(least).count())
     out.observe("build_id", build_id({n: materialise(d) for n, d in tables.items()}))
     return out

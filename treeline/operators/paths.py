@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import materialise, small
 from .tree import closure
 
 NO_IDS = "array<bigint>"
@@ -13,7 +13,7 @@ NO_IDS = "array<bigint>"
 
 def path_to_root(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     """(id, step, anc): root first, step 0 at the root."""
-    own = tree.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+    own = tree.join(small(chosen.select("id").distinct()), "id", "left_semi")
     return own.select("id", F.posexplode(F.reverse("lineage")).alias("step", "anc")).withColumn("step", F.col("step").cast("long"))
 
 
@@ -35,7 +35,7 @@ def induced_subtree(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     ignored.  The selection is small (it is what a user picked), so its lineages
     are; the whole tree is only read once, filtered by a semi-join.
     """
-    picked = tree.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").select("id", F.reverse("lineage").alias("path"))
+    picked = tree.join(small(chosen.select("id").distinct()), "id", "left_semi").select("id", F.reverse("lineage").alias("path"))
     picked = materialise(picked)
     n = picked.count()
     if not n:
@@ -49,7 +49,7 @@ def induced_subtree(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     rendered = picked.select("id").union(forks).union(top.select("mrca")).distinct()
     names = rendered.agg(F.collect_set("id").alias("shown"))  # at most 2n - 1 ids
     paths = pairs.select("mrca", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("p"))
-    last = paths.select("mrca", F.element_at("p", -1).alias("id"), F.slice("p", F.lit(1), F.size("p") - 1).alias("above")).distinct().join(F.broadcast(rendered), "id", "left_semi")
+    last = paths.select("mrca", F.element_at("p", -1).alias("id"), F.slice("p", F.lit(1), F.size("p") - 1).alias("above")).distinct().join(small(rendered), "id", "left_semi")
     up = last.crossJoin(F.broadcast(names)).withColumn("marks", F.filter("above", lambda x: F.array_contains("shown", x)))
     anc = F.when(F.size("marks") > 0, F.element_at("marks", -1))
     own = up.select("id", "mrca", anc.alias("anc"), "above").withColumn("suppressed", F.when(F.col("anc").isNotNull(), F.slice("above", F.array_position("above", F.col("anc")).cast("int") + 1, F.size("above"))).otherwise(F.array().cast(NO_IDS)))
@@ -94,12 +94,51 @@ def spread_kind(above, below):
 
 
 def same_clades(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(clades, side): tip sets (id, tip) held by one of two trees only, counted."""
-    sets = lambda t: t.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("tip")), ",").alias("clade")).select("clade").distinct()
+    """(clades, side): tip sets (id, tip) held by one of two trees only, counted.
+    A set is known by its number of tips and two sums of their 64-bit hashes, so no
+    row holds a set: two sets agree by chance with probability about 2^-128."""
+    print_ = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("tip")).alias("x"), F.bit_xor(F.xxhash64("tip", F.lit(1))).alias("y")]
+    sets = lambda t: t.distinct().groupBy("id").agg(*print_).select("n", "x", "y").distinct()
     a, b = sets(first), sets(second)
     return a.subtract(b).withColumn("side", F.lit("first")).unionByName(b.subtract(a).withColumn("side", F.lit("second"))).groupBy("side").agg(F.count("*").alias("clades"))
 
 
+def descendants(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """(of, id): all nodes below each asked node (of), itself first in preorder: a
+    node lies below another if its position is within that one's interval, which is
+    the same as having it in its lineage, an equi-join."""
+    below = tree.select("id", F.explode("lineage").alias("of"))
+    return below.join(small(asked.select("of").distinct()), "of", "left_semi").select("of", "id")
+
+
+def interval(tree: DataFrame, node: int) -> DataFrame:
+    """The rows of one node's subtree, by a filter on positions."""
+    top = tree.where(F.col("id") == node).select(F.col("idx").alias("_low"), (F.col("idx") + F.col("size")).alias("_stop"))
+    return tree.crossJoin(F.broadcast(top)).where((F.col("idx") >= F.col("_low")) & (F.col("idx") < F.col("_stop"))).drop("_low", "_stop")  # one row
+
+
+#: Fixed value: keys of one batch.
+BATCH = 200
+
+
+def batch_paths(tree: DataFrame, asked: DataFrame, nodes: DataFrame, forwards: DataFrame, broken: DataFrame) -> DataFrame:
+    """(key, id, status, path): the path from the root of every asked key; a key
+    that is unknown has a status and a null path and does not fail the others.
+    More than ``BATCH`` distinct keys are refused."""
+    if asked.select("key").distinct().limit(BATCH + 1).count() > BATCH:
+        raise ValueError(f"a batch has at most {BATCH} keys")
+    found = resolve_keys(asked, nodes, forwards, broken)
+    return found.join(tree.select("id", F.reverse("lineage").alias("path")), "id", "left").select("key", "id", "status", "path")
+
+
+def resolution(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """(pos, key, part): a resolved batch in the caller's order as 'ok', 'broken'
+    (dropped from a selection) or 'unresolved'."""
+    part = F.when(F.col("status").isin("node", "forwarded"), "ok").when(F.col("status").isin("broken", "forwarded_broken"), "broken").otherwise("unresolved")
+    first = asked.groupBy("key").agg(F.min("pos").alias("pos"))
+    return found.join(first, "key").select("pos", "key", part.alias("part"))
+
+
 def ladder(tree: DataFrame, chosen: DataFrame, ranks: list[str]) -> DataFrame:
     """(id, rank, node): narrowest node of each rank on the way up; inner ranks
     that are missing have a null node, outer ones no row."""
@@ -112,9 +151,17 @@ def ladder(tree: DataFrame, chosen: DataFrame, ranks: list[str]) -> DataFrame:
     return every.join(best.select("id", "place", "node"), ["id", "place"], "left").select("id", "rank", "node")
 
 
-def fork_names(branches: DataFrame, shown: int = 3) -> DataFrame:
+def short_binomial(name):
+    """'Homo sapiens' as 'H. sapiens'; other names as they are."""
+    return F.when(name.rlike(r"^\p{Lu}\p{Ll}+ \p{Ll}[\p{Ll}-]+$"), F.concat(F.substring(name, 1, 1), F.lit(". "), F.split_part(name, F.lit(" "), F.lit(2)))).otherwise(name)
+
+
+def fork_names(branches: DataFrame, shown: int = 3, shorten: bool = False) -> DataFrame:
     """(fork, label): the first name of each branch (branch order, then place in
-    the branch), at most ``shown`` and '+n' for the rest."""
+    the branch), at most ``shown`` and '+n' for the rest; genera abbreviated if
+    ``shorten``."""
+    if shorten:
+        branches = branches.withColumn("name", short_binomial(F.col("name")))
     first = branches.where("name IS NOT NULL").groupBy("fork", "branch").agg(F.min_by("name", "place").alias("name"))
     grouped = first.groupBy("fork").agg(F.array_sort(F.collect_list(F.struct("branch", "name"))).alias("b"))
     names = F.array_join(F.transform(F.slice("b", 1, shown), lambda x: x["name"]), ", ")
@@ -140,7 +187,7 @@ def nested(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     """(id, within): chosen nodes below another chosen node, and the nearest such."""
     picked = chosen.select("id").distinct()
     ups = picked.join(tree.select("id", "lineage"), "id").select("id", F.posexplode("lineage").alias("hops", "within")).where("hops > 0")
-    return ups.join(F.broadcast(picked.select(F.col("id").alias("within"))), "within", "left_semi").groupBy("id").agg(F.min_by("within", "hops").alias("within"))
+    return ups.join(small(picked.select(F.col("id").alias("within"))), "within", "left_semi").groupBy("id").agg(F.min_by("within", "hops").alias("within"))
 
 
 def place_of(attached: DataFrame, induced: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ def exemplars(tree: DataFrame, seeds: DataFrame) -> DataFrame:
 def nearest_drawn(tree: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, asset, source, clade, climb, method): every node's picture: its own,
     else the exemplar of the nearest ancestor-or-self that has one. method is
-    exact, ancestor (the source is above), descendant, relative."""
+    exact, ancestor (the source is above), descendant, relative, or none where the
+    tree holds no picture (then all else is null)."""
     best = exemplars(tree, seeds)
     near = closure(tree).join(best.withColumnRenamed("id", "anc"), "anc").groupBy("id").agg(F.min_by(F.struct("anc", "source"), "hops").alias("b"), F.min("hops").alias("climb"))
     own = seeds.select("id", F.lit(True).alias("own"))
@@ -30,7 +31,28 @@ def nearest_drawn(tree: DataFrame, seeds: DataFrame) -> DataFrame:
     j = j.select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("b.source")).alias("source"), F.when(F.col("own"), F.col("id")).otherwise(F.col("b.anc")).alias("clade"), F.when(F.col("own"), 0).otherwise(F.col("climb")).cast("long").alias("climb"))
     j = j.join(tree.select("id", "lineage"), "id").join(tree.select(F.col("id").alias("source"), F.col("lineage").alias("s_line")), "source").join(seeds.select(F.col("id").alias("source"), "asset"), "source")
     method = F.when(F.col("id") == F.col("source"), "exact").when(F.array_contains("lineage", F.col("source")), "ancestor").when(F.array_contains("s_line", F.col("id")), "descendant").otherwise("relative")
-    return j.select("id", "asset", "source", "clade", "climb", method.alias("method"))
+    found = j.select("id", "asset", "source", "clade", "climb", method.alias("method"))
+    return tree.select("id").join(found, "id", "left").withColumn("method", F.coalesce("method", F.lit("none")))
+
+
+def climb_counts(drawn: DataFrame) -> DataFrame:
+    """(climb, nodes): how far nodes are from the picture they show."""
+    return drawn.where("method <> 'none'").groupBy("climb").agg(F.count("*").alias("nodes"))
+
+
+def misplaced(drawn: DataFrame, cited: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """One row: exact pictures whose asset cites a taxon, and those of which no cited
+    taxon lies within the node they are on. drawn (id, asset, method); cited (asset,
+    ext); taxonomy (ext, lineage), whose ids are the nodes'."""
+    exact = drawn.where("method = 'exact'").select("id", "asset")
+    told = exact.join(cited, "asset").join(taxonomy.select("ext", "lineage"), "ext", "left")
+    each = told.groupBy("id", "asset").agg(F.max(F.coalesce(F.array_contains("lineage", F.col("id")), F.lit(False))).alias("inside"))
+    return each.agg(F.count("*").alias("checked"), F.count_if(~F.col("inside")).alias("outside"))
+
+
+def informative(asset: Column, clade_tips: Column, most: float = float("inf")) -> Column:
+    """Whether a picture says enough to be shown: it stands for ``most`` tips at most, or nobody counted."""
+    return asset.isNotNull() & (clade_tips.isNull() | (clade_tips <= F.lit(most)))
 
 
 def claim_figures(drawn: DataFrame, tree: DataFrame, most: int = 10_000) -> DataFrame:
@@ -45,16 +67,54 @@ def asset_order(drawn: DataFrame, tree: DataFrame) -> DataFrame:
     return drawn.join(tree.select(F.col("id").alias("clade"), "tip_count"), "clade").groupBy("asset").agg(F.max("tip_count").alias("covers"))
 
 
-def witness(tree: DataFrame, ages: DataFrame, facts: DataFrame, pictured: DataFrame) -> DataFrame:
+def witness(tree: DataFrame, ages: DataFrame, facts: DataFrame, pictured: DataFrame, near: float = float("inf"), drawn: DataFrame | None = None) -> DataFrame:
     """(id, fact, gap): for each fork with an age, more than one tip and no own
     picture, the fact below it with the least (gap, width, walk, -occurrences, id);
-    the gap is 0 if the fact's interval holds the fork's age."""
+    the gap is 0 if the fact's interval holds the fork's age, and at most ``near``
+    of the age. Only facts with a picture (drawn: fact) may witness, if given."""
     fork = tree.select("id", "tip_count").join(ages.select("id", F.coalesce("age", "age_layout").alias("at")), "id").where("at > 0 AND tip_count > 1").join(pictured.select("id"), "id", "left_anti").select("id", "at")
     able = facts.where(F.col("is_primary") & F.col("is_extinct") & F.col("oldest").isNotNull() & (F.col("youngest") > ENDED))
+    if drawn is not None:
+        able = able.join(drawn.select("fact").distinct(), "fact", "left_semi")
     below = able.join(tree.select(F.col("id").alias("attach"), "lineage"), "attach").select("fact", "oldest", "youngest", "walk", "n_occs", F.explode("lineage").alias("id")).join(fork, "id")
     gap = F.greatest(F.col("at") - F.col("oldest"), F.col("youngest") - F.col("at"), F.lit(0.0))
     order = F.struct(gap.alias("gap"), (F.col("oldest") - F.col("youngest")).alias("width"), "walk", (-F.col("n_occs")).alias("o"), "fact")
-    return below.groupBy("id").agg(F.min(order).alias("b")).select("id", F.col("b.fact").alias("fact"), F.col("b.gap").alias("gap"))
+    return below.where(gap <= F.lit(near) * F.col("at")).groupBy("id").agg(F.min(order).alias("b")).select("id", F.col("b.fact").alias("fact"), F.col("b.gap").alias("gap"))
+
+
+def witness_figures(witnesses: DataFrame, ages: DataFrame) -> DataFrame:
+    """One row: forks with a witness, those whose witness spans the split, those
+    nobody has dated, and the largest share that one fact holds."""
+    j = witnesses.join(ages.select("id", "age"), "id", "left")
+    most = witnesses.groupBy("fact").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    whole = j.agg(F.count("*").alias("forks"), F.count_if(F.col("gap") == 0).alias("spanning"), F.count_if(F.col("age").isNull()).alias("undated")).crossJoin(most)  # one row each
+    return whole.select("forks", "spanning", "undated", F.round(F.try_divide("most", "forks"), 6).alias("prolific_share"))
+
+
+def witness_walks(witnesses: DataFrame, facts: DataFrame) -> DataFrame:
+    """(walk, forks): how far the witnesses' attachments were looked for."""
+    return witnesses.join(facts.select("fact", "walk"), "fact").groupBy("walk").agg(F.count("*").alias("forks"))
+
+
+def drawn_bounds(lla: Column, fea: Column, lea: Column, clamped: Column, identified: Column, identified_lea: Column) -> tuple[Column, Column]:
+    """(lla, lea) as one row may draw them: the young end of its accepted fact, where
+    that is clamped and lies within this row's own bounds, and with it the older end,
+    kept between the young end and ``fea``."""
+    moves = F.coalesce(clamped, F.lit(False)) & identified.isNotNull() & F.coalesce(identified >= lla, F.lit(True)) & F.coalesce(identified <= fea, F.lit(True))
+    young = F.when(moves, identified).otherwise(lla)
+    old = F.when(moves & identified_lea.isNotNull(), F.least(F.greatest(identified_lea, identified), F.coalesce(fea, F.greatest(identified_lea, identified)))).otherwise(lea)
+    return young, old
+
+
+def shown_bounds(fea: Column, fla: Column, lea: Column, lla: Column, lea_drawn: Column, lla_drawn: Column) -> list[Column]:
+    """The four bounds to draw: the last-appearance pair moves together or not at all."""
+    moved = F.coalesce(lla_drawn.isNotNull() & ~lla_drawn.eqNullSafe(lla), F.lit(False))
+    return [fea, fla, F.when(moved, F.coalesce(lea_drawn, lea)).otherwise(lea), F.when(moved, lla_drawn).otherwise(lla)]
+
+
+def indeterminate(lla: Column, identified: Column) -> Column:
+    """Whether no identified member reaches the young end."""
+    return F.coalesce(identified > lla, F.lit(False))
 
 
 def young_ends(facts: DataFrame) -> DataFrame:

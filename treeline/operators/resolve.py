@@ -187,8 +187,119 @@ def dedupe(aliases: DataFrame) -> DataFrame:
 
 
 def prune_aliases(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Drop aliases that repeat the node's own name or are another node's name."""
-    own = nodes.select("idx", F.lower("name").alias("low"))
-    low = aliases.withColumn("low", F.lower("name"))
-    kept = low.join(own, ["idx", "low"], "left_anti")
-    return kept.join(own.select("low").distinct(), "low", "left_anti").drop("low")
+    """Drop aliases (idx, name, source, sci_name) that repeat the node's own name;
+    that come from the open knowledge base and are another node's name; and whose
+    item names another taxon than the node (no stated taxon keeps a row)."""
+    own = nodes.select("idx", F.lower("name").alias("own"))
+    j = aliases.join(own, "idx", "left")
+    open_base = F.startswith("source", F.lit("wikidata"))
+    repeats = F.coalesce(F.lower("name") == F.col("own"), F.lit(False))
+    strange = F.coalesce((F.col("source") == "wikidata") & (F.lower("sci_name") != F.col("own")), F.lit(False))
+    elsewhere = nodes.groupBy("name").agg(F.min("idx").alias("_least"), F.max("idx").alias("_most"))
+    k = j.where(~repeats & ~strange).join(elsewhere, "name", "left")
+    other = F.coalesce(open_base & (F.col("idx").isNull() | (F.col("_least") != F.col("idx")) | (F.col("_most") != F.col("idx"))) & F.col("_least").isNotNull(), F.lit(False))
+    return k.where(~other).select(*aliases.columns)
+
+
+def with_manual(candidates: DataFrame, manual: DataFrame) -> DataFrame:
+    """Candidates and manual rows (source, source_id, idx, reason), which come
+    first; a null idx suppresses. A blank reason is refused."""
+    blank = manual.where(F.trim(F.coalesce("reason", F.lit(""))) == "").limit(1).count()
+    if blank:
+        raise ValueError("a manual row has no reason")
+    rows = manual.select("source", "source_id", F.col("idx").cast("long").alias("idx"), F.lit("manual").alias("method"), F.lit(0).cast("long").alias("input_pos"))
+    return candidates.select("source", "source_id", "idx", "method", "input_pos").unionByName(rows)
+
+
+def new_ambiguities(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Keys (source, source_id, status) that are ambiguous now and were not before."""
+    keys = ["source", "source_id"]
+    twin = lambda df: df.where("status = 'ambiguous'").select(*keys).distinct()
+    return twin(now).join(twin(before), keys, "left_anti")
+
+
+def with_unresolved(facts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(source, source_id, idx, method) of every fact: 'unresolved' where nothing claims it."""
+    keys = ["source", "source_id"]
+    return facts.select(*keys).distinct().join(resolved.select(*keys, "idx", "method"), keys, "left").withColumn("method", F.coalesce("method", F.lit("unresolved")))
+
+
+def single_accepted(names: DataFrame, value: str = "accepted_id") -> DataFrame:
+    """(name, accepted_id) of the names that mean one accepted id only."""
+    return names.where(F.col(value).isNotNull()).groupBy("name").agg(F.count_distinct(value).alias("n"), F.min(value).alias(value)).where("n = 1").drop("n")
+
+
+#: Tips of a node that a cited relative may still stand for, and the passes in order of strength.
+LIFT_TIPS = 100
+PASSES = ("cited", "forwarded", "lifted", "named", "shortened")
+
+
+def seed_passes(nodes: DataFrame, cited: DataFrame, forwards: DataFrame, taxonomy: DataFrame, titles: DataFrame, most: int = LIFT_TIPS) -> DataFrame:
+    """(node, asset, pass) offers of five passes: the cited id is a node; its forward
+    is; its parent in the taxonomy is, with ``most`` tips at most; and for assets that
+    landed nowhere so, their title is the name of one taxon that is a node; or its
+    first two words or its first word are, of a node with ``most`` tips at most.
+
+    A name of several taxa means the one that lies above (or is) a taxon that the
+    asset cites, if there is just one such, and otherwise stops the search.
+    nodes (ext, node, tips); cited (asset, ext); forwards (old, new); taxonomy (ext,
+    parent, name, lineage); titles (asset, title).
+    """
+    hit = nodes.select("ext", "node", "tips")
+    to = lambda df, key, name: df.join(hit.select(F.col("ext").alias(key), F.col("node").alias(name), F.col("tips").alias(f"{name}_tips")), key, "left")
+    fwd = forwards.select(F.col("old").alias("ext"), F.col("new").alias("ext2"))
+    up = taxonomy.select("ext", F.col("parent").alias("ext3"))
+    tried = to(to(to(cited.select("asset", "ext").distinct().join(fwd, "ext", "left").join(up, "ext", "left"), "ext", "n1"), "ext2", "n2"), "ext3", "n3")
+    node = F.coalesce("n1", "n2", F.when(F.col("n3_tips") <= most, F.col("n3")))
+    step = F.when(F.col("n1").isNotNull(), 0).when(F.col("n2").isNotNull(), 1).otherwise(2)
+    by_id = materialise(tried.select("asset", node.alias("node"), step.cast("long").alias("pass")).where("node IS NOT NULL"))
+
+    words = F.split(F.trim("title"), r"\s+")
+    cut = lambda k: F.when(F.size(words) > k, F.array_join(F.slice(words, 1, k), " "))
+    asked = titles.where(F.trim("title") != "").join(by_id.select("asset"), "asset", "left_anti").select("asset", F.posexplode(F.array(F.trim("title"), cut(2), cut(1))).alias("at", "name")).where("name IS NOT NULL")
+    known = asked.join(taxonomy.select("name", F.col("ext").alias("uid")), "name")
+    above = cited.join(taxonomy.select("ext", "lineage"), "ext").select("asset", F.explode("lineage").alias("uid")).distinct().withColumn("meant", F.lit(True))
+    meaning = known.join(above, ["asset", "uid"], "left").groupBy("asset", "at").agg(
+        F.count_distinct("uid").alias("n"), F.min("uid").alias("only"), F.count_distinct(F.when(F.col("meant"), F.col("uid"))).alias("m"), F.min(F.when(F.col("meant"), F.col("uid"))).alias("meant")
+    )
+    uid = F.when(F.col("n") == 1, F.col("only")).when(F.col("m") == 1, F.col("meant"))
+    landed = to(to(meaning.select("asset", "at", uid.alias("ext")).join(fwd, "ext", "left"), "ext", "n1"), "ext2", "n2")
+    landed = landed.select("asset", "at", F.col("ext").isNull().alias("refused"), F.coalesce("n1", "n2").alias("node"), F.coalesce("n1_tips", "n2_tips").alias("tips"))
+    first = landed.where("refused OR node IS NOT NULL").groupBy("asset").agg(F.min_by(F.struct("node", "tips", "at"), "at").alias("b"))
+    by_name = first.where("b.node IS NOT NULL").where((F.col("b.at") == 0) | (F.col("b.tips") <= most)).select("asset", "b.node", F.when(F.col("b.at") == 0, 3).otherwise(4).cast("long").alias("pass"))
+    return by_id.unionByName(by_name).select("node", "asset", "pass")
+
+
+def fact_rows(records: DataFrame, attached: DataFrame) -> DataFrame:
+    """Facts as they are served: shown under the accepted name and rank, with their
+    own beside them. records: (id, accepted_id, name, rank, accepted_name,
+    accepted_rank, ...); attached: (id, idx, method, walk, via)."""
+    text = lambda c: F.when(F.col(c) != "", F.col(c))
+    accepted = F.coalesce("accepted_id", "id")
+    return records.join(attached, "id", "left").select(
+        "id", accepted.alias("accepted_id"), F.coalesce(text("accepted_name"), F.col("name")).alias("name"), text("accepted_rank").alias("rank"), F.col("name").alias("own_name"), text("rank").alias("own_rank"),
+        F.coalesce(F.col("id") == F.col("accepted_id"), F.lit(False)).alias("is_primary"), F.col("idx").alias("attach"), F.col("method").alias("attach_method"), F.col("walk").alias("attach_walk"), F.col("via").alias("attach_via"),
+    )
+
+
+def vernaculars(rows: DataFrame, nodes: DataFrame, forwards: DataFrame) -> DataFrame:
+    """Rows (row, ext, sci_name, ...) with ``idx``: by their id, followed through a
+    forward, or where they have none by their exact taxon name, if one node has it.
+    nodes: (idx, ext, name)."""
+    f = forwards.select(F.col("old").alias("ext"), F.col("new").alias("_to"))
+    key = rows.join(f, "ext", "left").withColumn("_key", F.coalesce("_to", "ext"))
+    by_id = key.join(nodes.select(F.col("ext").alias("_key"), F.col("idx").alias("_by_id")), "_key", "left")
+    one = nodes.where("name IS NOT NULL").groupBy(F.col("name").alias("sci_name")).agg(F.count("*").alias("_n"), F.min("idx").alias("_by_name")).where("_n = 1")
+    j = by_id.join(one, "sci_name", "left")
+    return j.select(*rows.columns, F.when(F.col("ext").isNotNull(), F.col("_by_id")).otherwise(F.col("_by_name")).alias("idx"))
+
+
+def clear_items(pages: DataFrame) -> DataFrame:
+    """Rows (sci_name, item, name) of the taxon names that one item claims; others go whole."""
+    one = pages.where(F.trim("name") != "").groupBy("sci_name").agg(F.count_distinct("item").alias("_n")).where("_n = 1").select("sci_name")
+    return pages.where(F.trim("name") != "").join(one, "sci_name", "left_semi")
+
+
+def reconciliation(resolved: DataFrame) -> DataFrame:
+    """(method, rows, landed, refused): what became of each method's claims."""
+    return resolved.groupBy("method").agg(F.count("*").alias("rows"), F.count_if(F.col("idx").isNotNull()).alias("landed"), F.count_if(F.col("refused")).alias("refused"))

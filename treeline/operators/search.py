@@ -6,6 +6,10 @@ Names are rows (idx, kind, name). kinds: 0 scientific, 1 abbreviation, 2 synonym
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +30,27 @@ def tokens(name: Column) -> Column:
     return F.filter(cut, lambda t: t != "")
 
 
+def folded(text: str) -> str:
+    """Lower case without diacritics."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+
+
+@cache
+def _bases() -> tuple[str, str]:
+    """Lower-case letters that decompose into one base letter and marks, and the bases."""
+    pairs = [(chr(k), folded(chr(k))) for k in range(0xC0, 0x2000) if chr(k).isalpha() and chr(k) == chr(k).lower()]
+    some = [(c, f) for c, f in pairs if len(f) == 1 and f != c]
+    return "".join(c for c, _ in some), "".join(f for _, f in some)
+
+
+def fold(name: Column) -> Column:
+    """``folded`` as an expression."""
+    return F.regexp_replace(F.call_function("translate", F.lower(name), *map(F.lit, _bases())), r"\p{M}", "")
+
+
 def terms(name: Column) -> Column:
-    """Index terms: letters and digits without diacritics, lower case."""
-    flat = F.regexp_replace(F.call_function("translate", F.lower(name), F.lit("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"), F.lit("aaaaaaceeeeiiiinoooooouuuuyy")), r"\p{M}", "")
-    return F.filter(F.split(flat, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Index terms: runs of letters and digits, folded."""
+    return F.filter(F.split(fold(name), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def abbreviation(name: Column) -> Column:
@@ -82,6 +103,81 @@ def rank_score(tips: Column, has_image: Column, measured: Column, n_names: Colum
     return F.log1p(tips) + 0.5 * has_image.cast("int") + 0.25 * measured.cast("int") + 0.6 * F.least(F.log1p(n_names) / F.log1p(F.lit(10)), F.lit(1.0))
 
 
+def signals(nodes: DataFrame, images: DataFrame | None = None, tiers: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """(idx, score): the rank score of every node; a table that a build lacks counts
+    as its signal being 0. images (idx), tiers (idx, tier), names (idx, n_names)."""
+    j = nodes.select("idx", "tips")
+    flag = lambda df: df.select("idx").distinct().withColumn("_f", F.lit(True))
+    j = j.withColumn("image", F.lit(False)) if images is None else j.join(flag(images), "idx", "left").withColumn("image", F.coalesce("_f", F.lit(False))).drop("_f")
+    j = j.withColumn("measured", F.lit(False)) if tiers is None else j.join(flag(tiers.where("tier = 0")), "idx", "left").withColumn("measured", F.coalesce("_f", F.lit(False))).drop("_f")
+    j = j.withColumn("n_names", F.lit(0)) if names is None else j.join(names.select("idx", "n_names"), "idx", "left").withColumn("n_names", F.coalesce("n_names", F.lit(0)))
+    return j.select("idx", rank_score(F.col("tips"), F.col("image"), F.col("measured"), F.col("n_names")).alias("score"))
+
+
+#: Rows that a prefix scan keeps for each spelling, broken names that an answer explains.
+PER_SPELLING, EXPLAINED = 60, 2
+
+
+def spellings(query: str) -> list[str]:
+    """A query as typed, with its first letter in capitals, the same of its lower case, and in lower case."""
+    first = lambda x: x[:1].upper() + x[1:]
+    return [x for x in dict.fromkeys((query, first(query), first(query.lower()), query.lower())) if x]
+
+
+def prefix_top(nodes: DataFrame, query: str, most: int = PER_SPELLING) -> DataFrame:
+    """(idx) of names that begin with a spelling of the query, for each spelling the
+    ``most`` with most tips, and of names that are one. Each scan is a pushed-down
+    prefix filter with a bounded top-k."""
+    parts = [nodes.where(F.startswith("name", F.lit(v))).orderBy(F.desc("tips"), "idx").limit(most).select("idx") for v in spellings(query)]
+    out = nodes.where(F.col("name").isin(*spellings(query))).select("idx")
+    for part in parts:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def broken_answers(broken: DataFrame, query: str) -> DataFrame:
+    """(key, name, matched_on): broken names that are the query, whole or abbreviated; at most ``EXPLAINED``."""
+    asked = folded(query.strip())
+    on = F.when(fold(F.col("name")) == asked, "name").when(fold(abbreviation(F.col("name"))) == asked, "abbreviation")
+    return broken.select("key", "name", on.alias("matched_on")).where("matched_on IS NOT NULL").orderBy("key").limit(EXPLAINED)
+
+
+def credited(matched: Column, *shown: Column) -> Column:
+    """The matched name, unless the row already shows it."""
+    seen = F.lit(False)
+    for x in shown:
+        seen = seen | F.coalesce(F.lower(x) == F.lower(matched), F.lit(False))
+    return F.when(~seen, matched)
+
+
+def caption(matched_on: Column, matched_name: Column) -> Column:
+    """'who: name' for a name that only brought the row here: a synonym or a second-catalogue name."""
+    who = F.when(matched_on == "synonym", "taxonomy").when(matched_on == "fossil-name", "fossils")
+    return F.when(who.isNotNull() & (F.coalesce(matched_name, F.lit("")) != ""), F.concat(who, F.lit(": "), matched_name))
+
+
+#: Score of an answer's first row, and what each place costs.
+TOP_SCORE, PLACE_COST = 4000, 10
+
+
+def row_score(order: Column, fallback: Column, session: Column | None = None) -> Column:
+    """Score of a row by its place in the merged answer (else in its own list), plus what was used before."""
+    base = F.lit(TOP_SCORE) - F.coalesce(order, fallback) * PLACE_COST
+    return base if session is None else base + F.coalesce(session, F.lit(0.0))
+
+
+def sections(rows: DataFrame, last: list[str]) -> DataFrame:
+    """(place, section, key): rows (section, key, score, pos) grouped by section;
+    sections stand by their best row, those in ``last`` after all others in that
+    order; rows by score, equal ones as they came. An answer has a few hundred rows."""
+    tail = F.coalesce(F.array_position(F.array(*map(F.lit, last)), F.col("section")), F.lit(0)) if last else F.lit(0)
+    best = F.max("score").over(Window.partitionBy("section"))
+    first = F.min("pos").over(Window.partitionBy("section"))
+    ranked = rows.withColumn("tail", tail).withColumn("best", best).withColumn("first", first)
+    place = F.row_number().over(Window.orderBy("tail", F.desc("best"), "first", F.desc("score"), "pos"))
+    return ranked.select(place.cast("long").alias("place"), "section", "key")
+
+
 def numbered(names: DataFrame, scores: DataFrame) -> DataFrame:
     """Give names ids in answer order without a single global partition: sort by
     range, then offset each partition's row numbers by the counts before it."""
@@ -104,15 +200,16 @@ def postings(names: DataFrame) -> DataFrame:
 def matching(index: DataFrame, query: str, mode: str = "all_tokens") -> DataFrame:
     """(id) of names with every query term (the last one as a prefix), or with
     the terms in a row for mode 'phrase'."""
-    import re
-
-    words = [w for w in re.split(r"[\W_]+", query.lower()) if w]
+    words = [w for w in re.split(r"[\W_]+", folded(query)) if w]
     if not words:
         return index.select("id").limit(0)
     hit = lambda i, w: F.startswith("term", F.lit(w)) if i == len(words) - 1 else F.col("term") == w
     if mode == "all_tokens":
         flags = [F.max(F.when(hit(i, w), 1)).alias(f"w{i}") for i, w in enumerate(words)]
-        some = index.where(" OR ".join(["startswith(term, '%s')" % words[-1], *["term = '%s'" % w for w in words[:-1]]]))
+        any_hit = hit(len(words) - 1, words[-1])
+        for i, w in enumerate(words[:-1]):
+            any_hit = any_hit | hit(i, w)
+        some = index.where(any_hit)
         return some.groupBy("id").agg(*flags).where(" AND ".join(f"w{i} = 1" for i in range(len(words)))).select("id")
     out = None
     for i, w in enumerate(words):
@@ -206,23 +303,42 @@ def corrected(answer_for, suggestion: str | None, query: str) -> tuple[DataFrame
     return answer, suggestion if better["rows"] and (better["best"] or 0) < (state["best"] or NONE) else None
 
 
-def hits(keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(pos, key, idx) of known keys in the caller's order, repeats dropped."""
+def hits(keys: DataFrame, nodes: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """(pos, key, idx) of known keys in the caller's order, repeats and broken keys dropped."""
     first = keys.groupBy("key").agg(F.min("pos").alias("pos"))
+    if broken is not None:
+        first = first.join(broken.select("key").distinct(), "key", "left_anti")
     return first.join(nodes.select("key", "idx"), "key").select("pos", "key", "idx")
 
 
 def boost(uses: Column, days: Column) -> Column:
-    """Recency times frequency of a remembered choice."""
-    r = F.pow(F.lit(2.0), -days / HALF_LIFE)
+    """Recency times frequency of a remembered choice; a date to come counts as now."""
+    r = F.pow(F.lit(2.0), -F.greatest(days, F.lit(0)) / HALF_LIFE)
     return F.least(uses, F.lit(USES)) * 14 * r + 40 * r
 
 
+#: Fixed value: choices that are remembered.
+REMEMBERED = 200
+
+
+def remembered(uses: DataFrame, most: int = REMEMBERED) -> DataFrame:
+    """The ``most`` choices (key, uses, days) worth most, with their ``boost``."""
+    return uses.withColumn("boost", boost(F.col("uses"), F.col("days"))).orderBy(F.desc("boost"), "key").limit(most)
+
+
 def random_pool(nodes: DataFrame, pictured: DataFrame) -> DataFrame:
     """Named nodes with a picture of their own, by id."""
     return nodes.where("name IS NOT NULL").join(pictured.select("idx"), "idx", "left_semi").select("idx")
 
 
+def fact_pool(facts: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Facts that may be drawn by lot: with a young end, that has ended, with a
+    picture (drawn: accepted_id), primary, not a node of the tree itself, extinct."""
+    young = F.coalesce("lla_drawn", "lla")
+    some = facts.where(young.isNotNull() & (young > 0.0117) & F.col("is_primary") & (F.col("walk") != 0) & (F.col("is_extant") == False))  # noqa: E712
+    return some.join(drawn.select("accepted_id").distinct(), "accepted_id", "left_semi").select("fact")
+
+
 def pick(pool: DataFrame, taken: DataFrame, roll: float) -> DataFrame:
     """The pool row at ``floor(roll * n)`` once taken rows are left out."""
     left = pool.join(taken, "idx", "left_anti")

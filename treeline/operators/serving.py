@@ -26,8 +26,23 @@ def segment_facts(facts: DataFrame, chain: DataFrame) -> DataFrame:
     return top.withColumn("n", F.row_number().over(Window.orderBy(*order, "fact")).cast("long")).crossJoin(F.broadcast(total)).select("total", "n", "fact", "name")  # one row
 
 
-def fact_detail(facts: DataFrame, fact: int, entries: DataFrame) -> DataFrame:
-    return facts.where(F.col("fact") == fact).join(entries.withColumnRenamed("id", "attach"), "attach", "left")
+def fact_detail(facts: DataFrame, fact: int, entries: DataFrame, credits: DataFrame | None = None) -> DataFrame:
+    """One fact with the entry it attaches to and the credit of its picture (accepted_id, credit)."""
+    out = facts.where(F.col("fact") == fact).join(entries.withColumnRenamed("id", "attach"), "attach", "left")
+    return out if credits is None else out.join(credits, "accepted_id", "left")
+
+
+def node_detail(nodes: DataFrame, asked: DataFrame, synonyms: DataFrame, names: DataFrame, pages: DataFrame, credits: DataFrame, parents: DataFrame, spread: DataFrame) -> DataFrame:
+    """Everything about the asked nodes (id): name, parent's name, synonyms and common
+    names in order, page id, picture credit, and where an undated node lies between
+    dates. Names of one node are few; asked ids are a request's."""
+    some = nodes.join(F.broadcast(asked.select("id").distinct()), "id", "left_semi")
+    lists = lambda df, order, name: df.join(some.select("id"), "id", "left_semi").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(*order, "name"))), lambda x: x["name"]), "|").alias(name))
+    up = parents.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"))
+    out = some.join(up, "parent", "left").join(lists(synonyms, [], "synonyms"), "id", "left").join(lists(names, ["usage_rank"], "names"), "id", "left")
+    for other in (pages, credits, spread):
+        out = out.join(other, "id", "left")
+    return out.withColumn("synonyms", F.coalesce("synonyms", F.lit(""))).withColumn("names", F.coalesce("names", F.lit("")))
 
 
 def lookup(pages: DataFrame, qid: str) -> DataFrame:
@@ -35,9 +50,15 @@ def lookup(pages: DataFrame, qid: str) -> DataFrame:
     return pages.where(F.col("qid") == qid).agg(F.min("idx").alias("idx"))
 
 
-def about(tables: dict[str, DataFrame]) -> DataFrame:
-    """(name, rows) of every table."""
+def about(tables: dict[str, DataFrame], tiers: DataFrame | None = None, phases: list[tuple[str, bool]] = (), features: dict[str, bool] | None = None) -> DataFrame:
+    """(name, rows): rows of every table, nodes of every tier, and for phases and
+    features 1 if they passed or are there."""
     parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("name"), "rows") for n, df in sorted(tables.items())]
+    if tiers is not None:
+        parts.append(tiers.groupBy(F.concat(F.lit("tier "), F.col("tier").cast("string")).alias("name")).agg(F.count("*").alias("rows")))
+    told = [(f"phase {n}", int(ok)) for n, ok in phases] + [(f"feature {n}", int(ok)) for n, ok in (features or {}).items()]
+    if told:
+        parts.append(parts[0].sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', {k}L)" for n, k in told) + " AS t(name, rows)"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -50,8 +71,15 @@ def view_state(url: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(raw, ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
 
 
-def suggestions(recent: DataFrame, curated: DataFrame) -> DataFrame:
-    """(band, pos, key): recents, then curated rows that aren't among them."""
+#: Fixed value: letters from which on a query is run.
+LEAST_QUERY = 2
+
+
+def suggestions(recent: DataFrame, curated: DataFrame, query: str = "") -> DataFrame:
+    """(band, pos, key): recents, then curated rows that aren't among them; nothing
+    once there is a query to run."""
+    if len(query.strip()) >= LEAST_QUERY:
+        recent, curated = recent.limit(0), curated.limit(0)
     a = recent.select(F.lit(0).cast("long").alias("band"), "pos", "key")
     return a.unionByName(curated.join(recent.select("key"), "key", "left_anti").select(F.lit(1).cast("long").alias("band"), "pos", "key"))
 
@@ -81,3 +109,16 @@ def focus(induced: DataFrame, tree: DataFrame, focused: int) -> DataFrame:
     """(id, dimmed): rendered nodes off the focused node's path are dimmed."""
     line = tree.where(F.col("id") == focused).select(F.explode("lineage").alias("id")).withColumn("on", F.lit(True))
     return induced.join(line, "id", "left").select("id", F.coalesce(~F.col("on"), F.lit(True)).alias("dimmed"))
+
+
+def curated(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(list, pos, key, idx): ordered key lists (list, keys) with the nodes they name; unknown keys are left out."""
+    each = lists.select("list", F.posexplode("keys").alias("pos", "key"))
+    return each.join(nodes.select("key", "idx"), "key").select("list", F.col("pos").cast("long").alias("pos"), "key", "idx")
+
+
+def selection_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(key, change): 'added', 'removed' or 'kept' between two selections; an empty
+    selection after one with keys is a clearing, all removed."""
+    j = before.select("key").distinct().withColumn("was", F.lit(True)).join(after.select("key").distinct().withColumn("now", F.lit(True)), "key", "full")
+    return j.select("key", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("kept").alias("change"))

@@ -164,5 +164,73 @@ def ticks(low: float, high: float, count: int, gap: float, scale) -> list[float]
 
 
 def figure(age: Column) -> Column:
-    """An age as text: 'present', or with as many decimals as its size deserves."""
-    return F.when(age.isNull(), None).when(age < PRESENT, F.lit("present")).when(age >= 100, F.format_string("%.0f", age)).when(age >= 10, F.format_string("%.1f", age)).otherwise(F.format_string("%.2f", age))
+    """An age as text: 'present', with one decimal under ten, without from there on."""
+    return F.when(age.isNull(), None).when(age < PRESENT, F.lit("present")).when(age >= 10, F.format_string("%.0f", F.round(age))).otherwise(F.format_string("%.1f", F.round(age, 1)))
+
+
+def gap(distance: Column) -> Column:
+    """A distance in time as text: never 'present', a tenth at least."""
+    return F.when(distance.isNull(), None).when(distance < 0.1, F.lit("under 0.1 Ma")).when(distance < 10, F.format_string("%.1f Ma", F.round(distance, 1))).otherwise(F.format_string("%.0f Ma", F.round(distance)))
+
+
+def oklch(lab: list[Column]) -> list[Column]:
+    """Lightness, chroma and hue in degrees, 0 to 360."""
+    hue = F.degrees(F.atan2(lab[2], lab[1]))
+    return [lab[0], F.hypot(lab[1], lab[2]), F.when(hue < 0, hue + 360).otherwise(hue)]
+
+
+def sibling_drift(scale: DataFrame, most: int = 64) -> DataFrame:
+    """(parent, drift): how far the distances of dimmed siblings are from ``DIM_K``
+    times the plain ones, at most. scale: (id, parent, l, a, b, dl, da, db). Siblings
+    of a scale are few; over ``most`` the pairs of neighbours by id are compared."""
+    w = Window.partitionBy("parent").orderBy("id")
+    n = scale.withColumn("n", F.count("*").over(Window.partitionBy("parent"))).withColumn("k", F.row_number().over(w))
+    apart = F.when(F.col("n") > most, 1).otherwise(F.col("n") - 1)
+    near = n.select("parent", F.col("id").alias("id2"), *[F.col(c).alias(f"{c}2") for c in ("l", "a", "b", "dl", "da", "db")], F.col("k").alias("k2"))
+    steps = n.withColumn("k2", F.explode(F.when(F.col("k") < F.col("n"), F.sequence(F.col("k") + 1, F.least(F.col("k") + apart, F.col("n")))).otherwise(F.array().cast("array<int>"))))
+    j = steps.join(near, ["parent", "k2"])
+    d = lambda x, y, z: F.sqrt((F.col(x) - F.col(f"{x}2")) ** 2 + (F.col(y) - F.col(f"{y}2")) ** 2 + (F.col(z) - F.col(f"{z}2")) ** 2)
+    return j.groupBy("parent").agg(F.round(F.max(F.abs(d("dl", "da", "db") - DIM_K * d("l", "a", "b"))), 6).alias("drift"))
+
+
+def index_maps(scale: DataFrame) -> DataFrame:
+    """(kind, key, ids): the children of each interval, the intervals of each rank,
+    and the roots, oldest first."""
+    told = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("begin")).alias("b"), "id"))), lambda x: x["id"].cast("string"))
+    ids = F.array_join(told, ",").alias("ids")
+    part = lambda df, kind, key: df.groupBy(key.cast("string").alias("key")).agg(ids).select(F.lit(kind).alias("kind"), "key", "ids")
+    return part(scale.where("parent IS NOT NULL"), "children", F.col("parent")).unionByName(part(scale, "rank", F.col("rank"))).unionByName(part(scale.where("parent IS NULL"), "roots", F.lit("")))
+
+
+def scale_gates(scale: DataFrame, ranks: list[str]) -> DataFrame:
+    """(rule, violations): intervals without a known parent, with a rank not finer
+    than their parent's, that end before they begin, or that leave their parent; and
+    places that are no permutation of 1..n. scale: (id, parent, rank, begin, end, place)."""
+    order = F.create_map(*[x for i, r in enumerate(ranks) for x in (F.lit(r), F.lit(i))])
+    up = scale.select(F.col("id").alias("parent"), order[F.col("rank")].alias("p_rank"), F.col("begin").alias("p_begin"), F.col("end").alias("p_end"))
+    j = scale.withColumn("own", order[F.col("rank")]).join(up, "parent", "left")
+    rules = {
+        "parent_known": F.col("parent").isNotNull() & F.col("p_begin").isNull(),
+        "rank_finer": F.col("p_rank") >= F.col("own"),
+        "begin_older": F.col("begin") < F.col("end"),
+        "inside_parent": (F.col("begin") > F.col("p_begin") + 1e-9) | (F.col("end") < F.col("p_end") - 1e-9),
+    }
+    got = j.agg(*[F.count_if(c).alias(n) for n, c in rules.items()], (F.count("*") - F.count_distinct(F.when(F.col("place") >= 1, F.col("place")))).alias("lost"), (F.max("place") - F.count("*")).alias("beyond"))
+    rows = [F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules] + [F.struct(F.lit("place_permutation").alias("rule"), (F.col("lost") + F.greatest("beyond", F.lit(0))).alias("violations"))]
+    return got.select(F.inline(F.array(*rows)))
+
+
+def tick_rows(axes: DataFrame) -> DataFrame:
+    """(axis, value): ``ticks`` of every axis (axis, low, high, count, gap, oldest) on the symmetric-log scale."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                top = math.log10(max(r.oldest, KNEE * 1.000001) / KNEE)
+                place = lambda x, top=top: x / KNEE * LINEAR_SHARE if x <= KNEE else LINEAR_SHARE + math.log10(x / KNEE) / top * (1 - LINEAR_SHARE)
+                rows += [(r.axis, float(v)) for v in ticks(r.low, r.high, int(r.count_), r.gap, place)]
+            yield pd.DataFrame(rows, columns=["axis", "value"])
+
+    return axes.withColumnRenamed("count", "count_").mapInPandas(run, "axis long, value double")

@@ -43,9 +43,15 @@ def _(s, d):
     return trees.profile(tree(s, d), measured(s, d))
 
 
-@query("tree_invariants", "SELECT r AS rule, CAST(0 AS BIGINT) AS violations FROM (VALUES ('parent_before_child'), ('inside_parent'), ('depth_step'), ('one_root'), ('tip_is_leaf')) v(r)")
+@query("tree_invariants", f"""{DUCK_TREE}, x AS (SELECT id, parent, CASE WHEN id % 50 = 3 THEN idx + 7 ELSE idx END AS idx, CASE WHEN id % 70 = 4 THEN depth + 1 ELSE depth END AS depth, idx + CASE WHEN id % 90 = 6 THEN 3 ELSE 0 END + size AS stop, child_count, CASE WHEN id % 40 = 9 THEN 2 ELSE tip_count END AS tip_count FROM m),
+ j AS (SELECT x.*, p.idx AS pi, p.stop AS ps, p.depth AS pd FROM x LEFT JOIN x p ON p.id = x.parent)
+ SELECT 'parent_before_child' AS rule, count(*) FILTER (pi >= idx) AS violations FROM j UNION ALL SELECT 'inside_parent', count(*) FILTER (stop > ps) FROM j UNION ALL SELECT 'depth_step', count(*) FILTER (depth <> pd + 1) FROM j
+ UNION ALL SELECT 'one_root', count(*) FILTER (parent IS NULL AND idx <> 0) FROM j UNION ALL SELECT 'tip_is_leaf', count(*) FILTER (child_count = 0 AND tip_count <> 1) FROM j""")
 def _(s, d):
-    return trees.invariants(tree(s, d), measured(s, d))
+    off = lambda k, r, by: F.when(F.col("id") % k == r, by).otherwise(0)
+    t = tree(s, d).withColumn("idx", F.col("idx") + off(50, 3, 7)).withColumn("depth", F.col("depth") + off(70, 4, 1))
+    m = measured(s, d).withColumn("subtree_out", F.col("subtree_out") + off(90, 6, 3)).withColumn("tip_count", F.when(F.col("id") % 40 == 9, 2).otherwise(F.col("tip_count")))
+    return trees.invariants(t, m)
 
 
 FORWARD = "SELECT p_partkey AS old, (p_partkey * 7 + 3) % 400 AS new FROM {part} WHERE p_partkey < 300"
@@ -178,9 +184,12 @@ def _(s, d):
     return paths.fork_names(rows(s, d, BRANCHES))
 
 
-@query("nested_selection", f"{DUCK_TREE}, {SEL} SELECT sel.id, arg_min(c.anc, c.hops) AS within FROM sel JOIN c ON c.id = sel.id AND c.hops > 0 JOIN sel s2 ON s2.id = c.anc GROUP BY sel.id")
+NESTED = i.CHOSEN + f" UNION ALL SELECT {4 * T} + o_orderkey FROM {{{{orders}}}} WHERE o_custkey % 97 = 5".replace("{{", "{").replace("}}", "}")
+
+
+@query("nested_selection", f"{DUCK_TREE}, sel AS (SELECT DISTINCT x.id FROM ({duck(NESTED)}) x JOIN t ON x.id = t.id) SELECT sel.id, arg_min(c.anc, c.hops) AS within FROM sel JOIN c ON c.id = sel.id AND c.hops > 0 JOIN sel s2 ON s2.id = c.anc GROUP BY sel.id")
 def _(s, d):
-    return paths.nested(tree(s, d), rows(s, d, i.CHOSEN))
+    return paths.nested(tree(s, d), rows(s, d, NESTED))
 
 
 @query("fact_places", f"""{INDUCED}, hid AS (SELECT c.anc AS attach, ind.id AS lower FROM ind JOIN c ON c.id = ind.id AND c.hops > 0 AND c.hops < ind.h)
@@ -213,12 +222,24 @@ def _clades(s, d):
     return ours.select("id", "tip", "depth"), theirs.select("id", "tip", "depth")
 
 
-@query("clade_congruence", f"""{DUCK_TREE}, o AS (SELECT c.anc AS id, c.id AS tip FROM c JOIN t ON t.id = c.id WHERE t.rank = 'customer'), sg AS ({duck(i.SEGMENTS)}),
- g AS (SELECT id, id AS anc, parent AS nxt FROM sg WHERE id >= {3 * T} AND id < {4 * T} UNION ALL SELECT g.id, sg.id, sg.parent FROM g JOIN sg ON g.nxt = sg.id),
- n1 AS (SELECT id, count(*) AS n FROM o GROUP BY id HAVING count(*) >= 2), n2 AS (SELECT anc, count(*) AS n FROM g GROUP BY anc), b AS (SELECT o.id, g.anc, count(*) AS k FROM o JOIN g ON g.id = o.tip GROUP BY ALL)
- SELECT n1.id, CASE WHEN bool_or(b.k = n1.n AND b.k = n2.n) THEN 'identical' WHEN bool_or(b.k < n1.n AND b.k < n2.n) THEN 'conflict' ELSE 'subset' END AS class FROM n1 JOIN b ON b.id = n1.id JOIN n2 ON n2.anc = b.anc GROUP BY n1.id""")
+#: The customers under segments within nations: a second topology whose nodes are matched with ours.
+OTHER_TREE = f"""
+SELECT CAST(0 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent
+UNION ALL SELECT {5 * T} + n_nationkey, CAST(0 AS BIGINT) FROM {{nation}}
+UNION ALL SELECT DISTINCT {6 * T} + c_nationkey * 1000 + c_custkey % 7 % 4, {5 * T} + c_nationkey FROM {{customer}} WHERE c_nationkey % 5 <> 4 OR c_custkey % 2 = 0
+UNION ALL SELECT {3 * T} + c_custkey, CASE WHEN c_nationkey % 5 <> 4 OR c_custkey % 2 = 0 THEN {6 * T} + c_nationkey * 1000 + c_custkey % 7 % 4 ELSE {5 * T} + (c_nationkey + 1) % 25 END FROM {{customer}}"""
+#: World, nations (one in four with its neighbour, one in three with the whole) and customers.
+MATCHED = f"SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS other UNION ALL SELECT {2 * T} + n_nationkey, CASE WHEN n_nationkey % 4 = 1 THEN {5 * T} + (n_nationkey + 1) % 25 WHEN n_nationkey % 3 = 1 THEN CAST(0 AS BIGINT) ELSE {5 * T} + n_nationkey END FROM {{nation}} UNION ALL SELECT {3 * T} + c_custkey, {3 * T} + c_custkey FROM {{customer}}"
+
+
+@query("clade_congruence", f"""{DUCK_TREE}, ot AS ({duck(OTHER_TREE)}), mt AS ({duck(MATCHED)}), oc AS (SELECT id, id AS anc, parent AS nxt FROM ot UNION ALL SELECT oc.id, ot.id, ot.parent FROM oc JOIN ot ON oc.nxt = ot.id),
+ tips AS (SELECT m.id FROM m JOIN ot USING (id) WHERE m.child_count = 0 AND m.id NOT IN (SELECT parent FROM ot WHERE parent IS NOT NULL)), o AS (SELECT c.anc AS id, c.id AS tip FROM c JOIN tips ON tips.id = c.id), g AS (SELECT oc.anc AS other, oc.id AS tip FROM oc JOIN tips ON tips.id = oc.id),
+ n2 AS (SELECT other, count(*) AS n FROM g GROUP BY other), x AS (SELECT mt.id, mt.other, count(*) AS shared, count(g.tip) AS inside FROM mt JOIN o ON o.id = mt.id LEFT JOIN g ON g.other = mt.other AND g.tip = o.tip GROUP BY ALL)
+ SELECT x.id, x.other, x.shared, CASE WHEN inside = shared AND n2.n = shared THEN 'identical' WHEN inside = shared THEN 'subset' ELSE 'conflict' END AS class FROM x LEFT JOIN n2 USING (other) WHERE shared >= 2""")
 def _(s, d):
-    return ages.congruence(*_clades(s, d)).select("id", "class")
+    theirs = i._once(s, d, "other_tree", lambda: trees.preorder(trees.lineages(rows(s, d, OTHER_TREE))))
+    leaf = lambda t: t.join(t.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct().withColumn("_k", F.lit(True)), "id", "left").withColumn("is_tip", F.col("_k").isNull())
+    return ages.congruence(leaf(tree(s, d)), leaf(theirs), rows(s, d, MATCHED))
 
 
 @query("clade_comparison", f"""{DUCK_TREE}, sg AS ({duck(i.SEGMENTS)}), g AS (SELECT id, id AS anc, parent AS nxt FROM sg WHERE id >= {3 * T} AND id < {4 * T} UNION ALL SELECT g.id, sg.id, sg.parent FROM g JOIN sg ON g.nxt = sg.id),
@@ -308,8 +329,8 @@ def _drawn(s, d):
     return i._once(s, d, "drawn", lambda: propagate.nearest_drawn(full(s, d), rows(s, d, i.SEEDS)))
 
 
-@query("propagate_nearest", f"""{DUCK_TREE}, {EX} SELECT dr.id, sd.asset, dr.source, dr.clade, dr.climb, CASE WHEN dr.id = dr.source THEN 'exact' WHEN EXISTS (SELECT 1 FROM c WHERE c.id = dr.id AND c.anc = dr.source) THEN 'ancestor'
- WHEN EXISTS (SELECT 1 FROM c WHERE c.id = dr.source AND c.anc = dr.id) THEN 'descendant' ELSE 'relative' END AS method FROM dr JOIN sd ON sd.id = dr.source""")
+@query("propagate_nearest", f"""{DUCK_TREE}, {EX} SELECT t.id, sd.asset, dr.source, dr.clade, dr.climb, CASE WHEN dr.id IS NULL THEN 'none' WHEN dr.id = dr.source THEN 'exact' WHEN EXISTS (SELECT 1 FROM c WHERE c.id = dr.id AND c.anc = dr.source) THEN 'ancestor'
+ WHEN EXISTS (SELECT 1 FROM c WHERE c.id = dr.source AND c.anc = dr.id) THEN 'descendant' ELSE 'relative' END AS method FROM t LEFT JOIN dr ON dr.id = t.id LEFT JOIN sd ON sd.id = dr.source""")
 def _(s, d):
     return _drawn(s, d)
 
@@ -382,7 +403,7 @@ def _(s, d):
     return layout.grafts(f, a)
 
 
-@query("lane_rows", f"""WITH r AS (SELECT attach, name, row_number() OVER (PARTITION BY attach ORDER BY n_occs DESC, fact) AS k FROM ({duck(i.FACTS)}))
- SELECT attach, count(*) FILTER (k <= 8) AS shown, count(*) AS total, coalesce(string_agg(name, ', ' ORDER BY k) FILTER (k <= 8), '') AS placed, coalesce(string_agg(name, ', ' ORDER BY k) FILTER (k BETWEEN 9 AND 13), '') AS listed FROM r GROUP BY attach""")
+@query("lane_rows", f"""WITH f AS (SELECT attach, name, fact % 3 <> 0 AS dated, n_occs, fact FROM ({duck(i.FACTS)})), r AS (SELECT *, row_number() OVER (PARTITION BY attach, dated ORDER BY n_occs DESC, fact) AS k FROM f)
+ SELECT attach, count(*) FILTER (NOT dated OR k <= 8) AS shown, count(*) AS total, coalesce(string_agg(name, ', ' ORDER BY k) FILTER (dated AND k <= 8), '') AS placed, coalesce(string_agg(name, ', ' ORDER BY k) FILTER (NOT dated AND k <= 5), '') || CASE WHEN count(*) FILTER (NOT dated AND k > 5) > 0 THEN ' and ' || count(*) FILTER (NOT dated AND k > 5) || ' more' ELSE '' END AS listed FROM r GROUP BY attach""")
 def _(s, d):
-    return layout.lane(rows(s, d, i.FACTS), "attach", [F.desc("n_occs"), "fact"])
+    return layout.lane(rows(s, d, i.FACTS), "attach", [F.desc("n_occs"), "fact"], F.col("fact") % 3 != 0)

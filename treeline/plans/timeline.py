@@ -118,7 +118,7 @@ def _(s, d):
     return timescale.tiling(t)
 
 
-@query("age_figures", "SELECT id, CASE WHEN a < 0.05 THEN 'present' WHEN a >= 100 THEN printf('%.0f', a) WHEN a >= 10 THEN printf('%.1f', a) ELSE printf('%.2f', a) END AS shown FROM (SELECT p_partkey AS id, p_partkey % 33 * p_partkey % 9 / 4.0 + CASE WHEN p_partkey % 3 = 0 THEN 0.13 ELSE 0 END AS a FROM part)")
+@query("age_figures", "SELECT id, CASE WHEN a < 0.05 THEN 'present' WHEN a >= 10 THEN printf('%.0f', round(a)) ELSE printf('%.1f', round(a, 1)) END AS shown FROM (SELECT p_partkey AS id, p_partkey % 33 * p_partkey % 9 / 4.0 + CASE WHEN p_partkey % 3 = 0 THEN 0.13 ELSE 0 END AS a FROM part)")
 def _(s, d):
     p = rows(s, d, "SELECT p_partkey AS id, CAST(p_partkey % 33 * p_partkey % 9 / 4.0 + CASE WHEN p_partkey % 3 = 0 THEN 0.13 ELSE 0 END AS DOUBLE) AS a FROM {part}")
     return p.select("id", timescale.figure(F.col("a")).alias("shown"))

@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("treeline.shared.dir", None)
     if not base:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="treeline-")
         spark.conf.set("treeline.shared.dir", base)
     return base

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import materialise
+
 
 def piped(spark: SparkSession, path: str, columns: list[str], key: str) -> DataFrame:
     """Tab-pipe-tab text; rows with too few fields or a key that isn't an integer are skipped."""
@@ -37,7 +39,7 @@ def headed(spark: SparkSession, path: str, schema: str, tri_state: dict[str, tup
 def fixed_fields(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     r"""Headerless TSV (gzip read whole, then dealt out) with \N nulls: rows and malformed rows."""
     df = spark.read.csv(path, sep="\t", nullValue="\\N", schema=schema + ", _bad string", mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", quote="")
-    df = df.repartition(spark.sparkContext.defaultParallelism)
+    df = materialise(df.repartition(spark.sparkContext.defaultParallelism))
     return df.where("_bad IS NULL").drop("_bad"), df.where("_bad IS NOT NULL").select("_bad")
 
 
@@ -68,6 +70,20 @@ def zipped(spark: SparkSession, path: str, member: str, schema: str) -> DataFram
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+def pages(spark: SparkSession, folder: str, schema: str, key: str) -> DataFrame:
+    """Replay of a crawl's page files (page_*.jsonl): a key's last page wins, torn lines are ignored."""
+    return checkpoint_lines(spark, f"{folder}/page_*.jsonl", schema, key)
+
+
+def plain_ids(df: DataFrame, key: str) -> DataFrame:
+    """The rows, unless a key is a compound one ('accepted#synonym'), which would
+    lead to the accepted row: that is an error."""
+    n = df.where(F.contains(key, F.lit("#"))).count()
+    if n:
+        raise ValueError(f"{n} rows carry a compound id in {key}")
+    return df
+
+
 def array_file(content: bytes) -> np.ndarray:
     """One-dimensional little-endian .npy (versions 1 to 3) of a plain number type."""
     if content[:6] != b"\x93NUMPY":
@@ -121,3 +137,21 @@ def flat_items(items: DataFrame) -> DataFrame:
     """Nested API items (uuid, _links struct with arrays of href/title) to records with all external ids."""
     ids = F.transform("_links.resolvedExternalIds", lambda x: F.regexp_extract(x["href"], r"resolve/([^?]+)", 1))
     return items.select("uuid", F.col("_links.specificNode.title").alias("name"), F.array_distinct(F.filter(ids, lambda x: x != "")).alias("external_ids"))
+
+
+def covered(rows: DataFrame, plan: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by..., size, got, complete): whether each planned shard's distinct keys are
+    all there. Rows may come from overlapping shards."""
+    got = None
+    for level in range(1, len(by) + 1):
+        some = rows.groupBy(*by[:level]).agg(F.count_distinct(key).alias("got")).select(*[F.col(b) if b in by[:level] else F.lit(None).cast("string").alias(b) for b in by], "got")
+        got = some if got is None else got.unionByName(some)
+    same = [plan[b].eqNullSafe(got[b]) for b in by]
+    j = plan.join(got, same, "left").select(*[plan[b] for b in by], "size", F.coalesce("got", F.lit(0)).alias("got"))
+    return j.withColumn("complete", F.col("got") == F.col("size"))
+
+
+def distinct_keys(rows: DataFrame, key: str) -> DataFrame:
+    """One row a key; which one doesn't depend on the order of the input."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")

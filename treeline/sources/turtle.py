@@ -15,7 +15,20 @@ _TOKEN = re.compile(
     r"|(?P<type>\^\^)|(?P<num>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<blank>_:[\w-]+)|(?P<name>[\w-]*:[\w.%-]*[\w%-]|[\w-]*:|[A-Za-z]+)|(?P<mark>[.;,\[\]()])",
     re.S,
 )
-_ESCAPE = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\"}
+_ESCAPE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "'": "'", '"': '"', "\\": "\\"}
+
+
+def _plain(text: str) -> str:
+    """A literal without escapes; unknown ones are an error."""
+
+    def one(m: re.Match) -> str:
+        if m[1]:
+            return chr(int(m[1][1:], 16))
+        if m[2] not in _ESCAPE:
+            raise ValueError(f"unknown escape \\{m[2]}")
+        return _ESCAPE[m[2]]
+
+    return re.sub(r"\\(?:(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})|(.))", one, text, flags=re.S)
 
 
 def _tokens(text: str) -> list[tuple[str, str]]:
@@ -91,7 +104,7 @@ class _Parser:
             self.take()
             return " ".join(items), "list", None, None
         if kind in ("text", "long"):
-            body = re.sub(r"\\(.)", lambda m: _ESCAPE.get(m[1], m[1]), value[3:-3] if kind == "long" else value[1:-1], flags=re.S)
+            body = _plain(value[3:-3] if kind == "long" else value[1:-1])
             if self.look()[0] == "lang":
                 return body, "literal", self.take()[1][1:], None
             if self.look()[0] == "type":

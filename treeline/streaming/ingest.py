@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 #: Kinds, and caps of a batch and of its fields.
 KINDS = ("search", "add", "tree")
@@ -34,6 +35,42 @@ def dual_sink(events: DataFrame, table: str, log: str, checkpoint: str):
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+#: Events of a posted batch, seconds after its first event.
+POSTED, WAIT = 32, 3.0
+
+
+def batches(times: list[float], most: int = POSTED, wait: float = WAIT) -> list[int]:
+    """Batch number of each of a session's ordered events: a batch goes out with its
+    ``most``-th event, or ``wait`` seconds after its first."""
+    out: list[int] = []
+    number, first, held = -1, 0.0, most
+    for t in times:
+        if held >= most or t - first > wait:
+            number, first, held = number + 1, t, 0
+        held += 1
+        out.append(number)
+    return out
+
+
+def posted(events: DataFrame, most: int = POSTED, wait: float = WAIT) -> DataFrame:
+    """(session, event_id, burst, batch): what is posted together. A pause longer
+    than ``wait`` always ends a batch, so each burst is cut by itself."""
+    import pandas as pd
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session").orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = events.select("session", "event_id", "ts", at.alias("at")).withColumn("fresh", F.coalesce(F.col("at") - F.lag("at").over(w) > wait * 1_000_000, F.lit(True)).cast("long"))
+    bursts = e.withColumn("burst", F.sum("fresh").over(w))
+
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["at", "event_id"])
+        return pd.DataFrame({"session": key[0], "event_id": g["event_id"], "burst": key[1], "batch": batches([x / 1e6 for x in g["at"]], most, wait)})
+
+    kind = events.schema["session"].dataType.simpleString()
+    return bursts.groupBy("session", "burst").applyInPandas(run, f"session {kind}, event_id long, burst long, batch long")
+
+
 def last_cause(changes: DataFrame) -> DataFrame:
     """Each change with the cause of the last mutator up to it."""
     from pyspark.sql import Window
@@ -52,3 +89,81 @@ def release_plan(queue: DataFrame, seconds: float) -> DataFrame:
     n = first.withColumn("n", F.row_number().over(w) - 1)
     slack = F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.col("n") * seconds).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return n.select("session", "key", F.round(slack + F.col("n") * seconds, 6).alias("release"))
+
+
+class DrawQueue:
+    """First in, first out: the head is drawn once its data has arrived and nothing
+    is being drawn; an interruption draws all that waits at once."""
+
+    def __init__(self, queue=(), arrived=(), drawing: bool = False):
+        self.queue, self.arrived, self.drawing = list(queue), set(arrived), drawing
+
+    def hear(self, kind: str, key: str | None) -> list[str]:
+        """Keys released by 'ask' or 'arrive' of a key, 'done', or 'flush'."""
+        if kind == "ask" and key not in self.queue:
+            self.queue.append(key)
+        elif kind == "arrive":
+            self.arrived.add(key)
+        elif kind == "done":
+            self.drawing = False
+        elif kind == "flush":
+            out, self.queue, self.drawing = self.queue, [], False
+            return out
+        if self.queue and not self.drawing and self.queue[0] in self.arrived:
+            self.drawing = True
+            return [self.queue.pop(0)]
+        return []
+
+
+def plan(keys: list[str], reduced: bool = False) -> tuple[list[str], list[str]]:
+    """Keys drawn with the opening and those that queue: the first alone, unless
+    motion is reduced or there are fewer than two."""
+    return (list(keys), []) if reduced or len(keys) < 2 else (keys[:1], keys[1:])
+
+
+class QueueProcessor(StatefulProcessor):
+    """The stream form: rows (session, ts, n, kind, key) wait for the watermark and
+    are heard in order; the queue, what arrived and whether something is drawn are
+    one value state."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("queue", "queue array<string>, arrived array<string>, drawing boolean")
+        self.waiting = handle.getListState("waiting", "at double, n long, kind string, key string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for g in rows:
+            for r in g.itertuples():
+                self.waiting.appendValue((r.ts.timestamp(), int(r.n), r.kind, r.key))
+        self._set_timer()
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        mark = timerValues.getCurrentWatermarkInMs() / 1000
+        queue = DrawQueue(*self.state.get()) if self.state.exists() else DrawQueue()
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2]) if self.waiting.exists() else []
+        out = [(r[0], k) for r in rows if r[0] < mark for k in queue.hear(r[2], r[3])]
+        self.state.update((queue.queue, sorted(queue.arrived), queue.drawing))
+        later = [r for r in rows if r[0] >= mark]
+        self.waiting.put(later) if later else self.waiting.clear()
+        self._set_timer()
+        if out:
+            yield pd.DataFrame({"session": [key[0]] * len(out), "ts": pd.to_datetime([round(t * 1e6) for t, _ in out], unit="us"), "key": [k for _, k in out]})
+
+    def _set_timer(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        due = [r[0] for r in self.waiting.get()] if self.waiting.exists() else []
+        if due:
+            self.handle.registerTimer(int(min(due) * 1000) + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_draws(events: DataFrame, late: str = "15 seconds") -> DataFrame:
+    """Released keys of a stream of queue events; needs the RocksDB state store."""
+    kind = events.schema["session"].dataType.simpleString()
+    return events.withWatermark("ts", late).groupBy("session").transformWithStateInPandas(QueueProcessor(), f"session {kind}, ts timestamp, key string", "Append", "EventTime")
