@@ -7,9 +7,10 @@ hashed word vectors over all its words, and a few figures.  A bidirectional LSTM
 reads a page's blocks in order and a logistic layer over both states and the
 input classifies every block; kept blocks are joined by line feeds.
 
-The labeller is trained on at most ``PAGES`` pages of the table (those with the
-lowest hash; a bounded sample), labelled by what their markup says, and on
-generated page skeletons that combine the same tokens in other orders.
+The labeller is trained on at most ``PAGES`` pages of the table (those whose key's
+hash is lowest; a bounded sample), labelled by what their markup says, on half of
+them again without the tokens that say so, and on generated pages whose truth is
+known: many name their parts, many have classes that say nothing, some mislead.
 
 Defined cases: null and empty html give the empty text; repeated rows are each
 extracted; an empty table gives an empty result; scanning takes linear time and
@@ -56,7 +57,9 @@ TAG = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 
-PAGES, MADE = 300, 500
+PAGES, MADE = 300, 700
+#: Marks main text of generated pages (a private-use character).
+TRUE = "\ue000"
 TOKENS, PATH, WORDS, FIGURES, HIDDEN = 1024, 16, 8, 5, 12
 EPOCHS, BATCH, WINDOW = 14, 32, 64
 
@@ -311,40 +314,59 @@ class Labeller:
                     v -= 0.02 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
 
 
-def skeletons(words: list[str], count: int, seed: int = 6) -> list[str]:
-    """Generated pages: main text and its surroundings in many combinations."""
+def skeletons(words: list[str], count: int, seed: int = 6, neutral: float = 0.4, misleading: float = 0.05) -> list[str]:
+    """Generated pages: main text and its surroundings in many combinations, every
+    piece of main text behind a ``TRUE`` mark.  Of ``neutral`` pages the classes and
+    ids say nothing, and no element names the parts, so text, links and neighbours
+    must tell them; of ``misleading`` pages main text stands in a container whose
+    class names its surroundings."""
     rng = np.random.default_rng(seed)
     words = words or ["text"]
     other = sorted(OTHER - {"hidden"})
     tags = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
+    silent = False
 
     def prose(low: int, high: int) -> str:
         return " ".join(words[i] for i in rng.integers(0, len(words), rng.integers(low, high))).capitalize() + ("." if rng.random() < 0.8 else "")
 
+    def some_class() -> str:
+        return "".join(chr(97 + k) for k in rng.integers(0, 26, 5))
+
     def around() -> str:
         t = other[rng.integers(0, len(other))]
-        if t in tags and rng.random() < 0.7:
+        if silent:
+            tag = ("div", "section", "ul", "div", "p")[rng.integers(0, 5)]
+            start, end = f'<{tag} class="{some_class()}">', f"</{tag}>"
+        elif t in tags and rng.random() < 0.7:
             start, end = f"<{t}>", f"</{t}>"
         else:
             tag = ("div", "section", "ul", "div", "p")[rng.integers(0, 5)]
             start, end = f'<{tag} {"class" if rng.random() < 0.7 else "id"}="{t}{"-box" if rng.random() < 0.3 else ""}">', f"</{tag}>"
-        if rng.random() < 0.4:
-            inner = "<ul>" * (tag_free := "<ul" not in start) + "".join(f'<li><a href="/">{prose(1, 4)}</a></li>' for _ in range(rng.integers(1, 6))) + "</ul>" * tag_free
+        if rng.random() < (0.9 if silent else 0.4):
+            inner = "<ul>" * (tag_free := "<ul" not in start) + "".join(f'<li><a href="/">{prose(1, 4).rstrip(".")}</a></li>' for _ in range(rng.integers(2 if silent else 1, 6))) + "</ul>" * tag_free
         else:
             shape = "{}" if start.startswith("<p") else ("<p>{}</p>", "{}", "<div>{}</div>", "<h2>{}</h2>")[rng.integers(0, 4)]
-            inner = "".join(shape.format(prose(2, 40)) for _ in range(rng.integers(1, 4)))
+            inner = "".join(shape.format(prose(1, 6).rstrip(".") if silent else prose(2, 40)) for _ in range(rng.integers(1, 4)))
         return start + inner + end
 
     def text() -> str:
         kinds = ["<p>{}</p>"] * 6 + ["<h1>{}</h1>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<p>{}<br>", "<table><tr><td>{}</td></tr></table>", "<p><b>{}", "<p><a href='#'>{}</a></p>", "<div>{}</div>", "<pre>{}</pre>"]
-        return kinds[rng.integers(0, len(kinds))].format(prose(1, 60))
+        return kinds[rng.integers(0, 6 if silent else len(kinds))].format(TRUE + prose(12 if silent else 1, 60))
 
     pages = []
     for _ in range(count):
+        kind = rng.random()
+        silent = kind < neutral
+        misled = not silent and kind < neutral + misleading
         body = [around() for _ in range(rng.integers(0, 4))]
-        main = "".join(around() if rng.random() < 0.15 else text() for _ in range(rng.integers(1, 14)))
+        main = "".join(around() if rng.random() < 0.15 and not silent else text() for _ in range(rng.integers(2 if silent else 1, 14)))
         style = rng.integers(0, 5)
         frame = ["<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", "<div class='content'>{}</div>", "{}"][style]
+        if silent:
+            style, frame = 4, ("<div class='" + some_class() + "'>{}</div>", "{}")[rng.integers(0, 2)]
+        elif misled:
+            style, frame = 0, "<article><div class='" + ("promo", "banner", "social", "related")[rng.integers(0, 4)] + "-story'>{}</div></article>"
+            main = "".join(f"<p>{TRUE}{prose(15, 60)}</p>" for _ in range(rng.integers(3, 9)))
         after = [around() for _ in range(rng.integers(0, 4))]
         if style < 3 and rng.random() < 0.3:
             after.append(f"<div class='box'><p>{prose(2, 20)}</p></div>")
@@ -352,21 +374,31 @@ def skeletons(words: list[str], count: int, seed: int = 6) -> list[str]:
     return pages
 
 
+def labelled(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], np.ndarray]:
+    """Blocks of a generated page and whether each is main text."""
+    found = blocks(page)
+    return [(p, t.replace(TRUE, ""), n) for p, t, n in found], np.array([TRUE in t for _, t, _ in found], dtype=np.float32)
+
+
 def train(pages: list[str]) -> Labeller:
-    """Fit on a bounded sample of real pages and on generated ones."""
+    """Fit on a bounded sample of real pages, labelled by their markup, the same
+    without the tokens that label them, and generated pages, whose truth is known."""
     scanned = [b for b in map(blocks, pages) if b]
     words = sorted({w for b in scanned[:40] for _, t, _ in b for w in t.split()[:50]})[:2000]
-    scanned += [b for b in map(blocks, skeletons(words, MADE)) if b]
+    told = [(b, told_by_markup([p for p, _, _ in b])) for b in scanned]
+    plain = [([(tuple(t for t in p if t not in MAIN and t not in OTHER), text, n) for p, text, n in b], y) for b, y in told[::2]]
+    made = [x for x in map(labelled, skeletons(words, MADE)) if x[0]]
     encoder = Encoder()
-    data = [([encoder.path(p) for p, _, _ in b], encoder.figures(b), told_by_markup([p for p, _, _ in b])) for b in scanned]
     net = Labeller()
-    net.fit(data)
+    net.fit([([encoder.path(p) for p, _, _ in b], encoder.figures(b), y) for b, y in [*told, *plain, *made]])
     return net
 
 
 def main_text(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """Every row of ``pages`` without html, with ``text`` and ``n_chars`` added."""
-    few = pages.where(F.col(html).isNotNull()).select(html, F.xxhash64(key, html).alias("h")).orderBy("h").limit(PAGES).collect()
+    place = F.xxhash64(F.col(key))
+    last = pages.where(F.col(html).isNotNull()).select(place.alias("h")).orderBy("h").limit(PAGES).agg(F.max("h")).first()[0]  # a bound first, so that only the chosen pages travel
+    few = pages.where(F.col(html).isNotNull() & (place <= F.lit(last))).select(html).limit(PAGES).collect() if last is not None else []
     net = train([r[html] for r in few])
     inner = pages.select(F.coalesce(F.col(html), F.lit("")).alias("_html"), F.struct(*[c for c in pages.columns if c != html and c.lower() not in ("text", "n_chars")]).alias("_row"))
     schema = inner.select("_row").withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
