@@ -12,9 +12,11 @@ query vectors the true neighbours are found by brute force over all entries, and
 the share is the least that finds ``AIM`` of them.  So clustered data visits few
 entries, and data without structure as many as the recall needs.
 
-Queries meet entries by (first centroid, entry chunk, query chunk); chunk numbers
-follow the counts, so no group grows with the input.  Within a group the entries
-of visited cells are reranked on the original vectors in double precision.
+Entries stand on shelves of about ``CHUNK``, each of a few first centroids (a large
+one has several shelves).  A query goes once to every shelf with a cell it visits,
+and a shelf only to the parts of the queries that visit it; shelves and parts follow
+the counts, so no group grows with the input.  Within a group the entries of visited
+cells are reranked on the original vectors in double precision.
 
 Defined cases: vectors that are null, empty, zero, of another length than most,
 or that hold null or non-finite components take no part; ties go to the smaller
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read, tidy
+from .common import materialise, read, small, tidy
 
 NEAR = 20
 TRAIN, PROBES, AIM = 20_000, 96, 0.95
@@ -191,6 +193,27 @@ def _calibrated(index: MultiIndex, table: DataFrame, probes: list[bytes]) -> int
     return need[min(len(need) - 1, int(AIM * len(need)))] if need else 1
 
 
+def _shelves(counts: np.ndarray) -> tuple[list[int], list[int]]:
+    """First shelf of each first centroid, and over how many shelves its entries are
+    dealt: centroids share shelves of about ``CHUNK`` entries, large ones have several."""
+    base, spread, held = [], [], 0
+    shelf = 0
+    for n in counts.tolist():
+        if n > CHUNK:
+            if held:
+                shelf, held = shelf + 1, 0
+            base.append(shelf)
+            spread.append(-(-n // CHUNK))
+            shelf += spread[-1]
+            continue
+        if held and held + n > CHUNK:
+            shelf, held = shelf + 1, 0
+        base.append(shelf)
+        spread.append(1)
+        held += n
+    return base, spread
+
+
 def nearest(rows: DataFrame, asks: Column, key: str = "vec_id", vector: str = "embedding", near: int = NEAR) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``asks``
     holds, a condition on the long column ``id``."""
@@ -227,7 +250,7 @@ def nearest(rows: DataFrame, asks: Column, key: str = "vec_id", vector: str = "e
     if not probes:
         return spark.createDataFrame([], schema)
     index.goal = _calibrated(index, table, probes)
-    chunks = np.maximum(1, -(-index.count.sum(axis=1) // CHUNK)).tolist()
+    base, spread = _shelves(index.count.sum(axis=1))
     parts = max(1, -(-total // CHUNK))
 
     @tidy
@@ -236,13 +259,16 @@ def nearest(rows: DataFrame, asks: Column, key: str = "vec_id", vector: str = "e
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 one, two = index.sums(_matrix(b.column("v")))
-                out = [(i, limit, c, e) for i in range(b.num_rows) for limit, used in [index.limit(one[i], two[i])] for c in used for e in range(chunks[c])]
-                pick, limits, c1, chunk = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(pick)), pa.array(limits), pa.array(c1, pa.int32()), pa.array(chunk, pa.int32()), b.column("part").take(pa.array(pick))], ["v", "limit", "c1", "chunk", "part"])
+                told = [index.limit(one[i], two[i]) for i in range(b.num_rows)]
+                out = [(i, limit, s) for i, (limit, used) in enumerate(told) for s in sorted({base[c] + e for c in used for e in range(spread[c])})]
+                pick, limits, shelf = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column("v").take(pa.array(pick)), pa.array(limits), pa.array(shelf, pa.int32()), b.column("part").take(pa.array(pick))], ["v", "limit", "shelf", "part"])
 
-    routes = wanted.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")).mapInArrow(routed, "v binary, limit double, c1 int, chunk int, part int")
-    spread = F.get(F.array(*[F.lit(c) for c in chunks]), F.col("c1"))
-    shelves = table.withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(1)), spread).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = wanted.repartition(min(-(-total // 64), 4 * spark.sparkContext.defaultParallelism), "v")  # one small file else
+    routes = materialise(dealt.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int")).mapInArrow(routed, "v binary, limit double, shelf int, part int"))
+    visited = small(materialise(routes.select("shelf", "part").distinct()))
+    at = lambda list_: F.get(F.array(*map(F.lit, list_)), F.col("c1"))
+    shelves = table.withColumn("shelf", (at(base) + F.pmod(F.xxhash64("v", F.lit(1)), at(spread))).cast("int")).join(visited, "shelf")
 
     def rerank(group: tuple, shelf: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
@@ -258,7 +284,7 @@ def nearest(rows: DataFrame, asks: Column, key: str = "vec_id", vector: str = "e
                 out.append(pa.table({"v": asked.column("v").take(pa.array(r + at)).combine_chunks(), "id": found, "score": exact}))
         return pa.concat_tables(out) if out else pa.table({"v": pa.array([], pa.binary()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    by = ["c1", "chunk", "part"]
+    by = ["shelf", "part"]
     partial = shelves.groupBy(*by).cogroup(routes.groupBy(*by)).applyInArrow(rerank, "v binary, id long, score double")
     order = [F.desc("score"), "id"]
     best = materialise(partial.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(*order))).where(F.col("r") <= near + 1).drop("r"))
