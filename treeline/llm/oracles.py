@@ -26,14 +26,14 @@ d AS (SELECT *, CAST(len(ln) AS BIGINT) AS nl, CAST(len(ln) - len(list_distinct(
 v AS (SELECT *, CASE WHEN n > 0 THEN sym * 1000 // n END AS v1, CASE WHEN nl > 0 THEN dup * 1000 // nl END AS v2, CASE WHEN n > 0 THEN up * 1000 // chars END AS v3, CASE WHEN n > 0 THEN chars * 10 // n END AS v4 FROM d),
 u AS (SELECT lang, source, 1 AS k, v1 AS x FROM v UNION ALL SELECT lang, source, 2, v2 FROM v UNION ALL SELECT lang, source, 3, v3 FROM v UNION ALL SELECT lang, source, 4, v4 FROM v),
 h AS (SELECT lang, source, k, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS b, count(*) AS c FROM u WHERE x IS NOT NULL GROUP BY ALL),
-f1 AS (SELECT lang, source, k, b, sum(c) OVER (PARTITION BY lang, source, k ORDER BY b) AS upto, sum(c) OVER (PARTITION BY lang, source, k) AS total FROM h),
-g1 AS (SELECT lang, source, k, max(total) AS total, min(b) FILTER (upto * 100 >= total * 50) AS mid, min(b) FILTER (upto * 100 >= total * 10) AS low FROM f1 GROUP BY ALL),
 h2 AS (SELECT lang, k, b, sum(c) AS c FROM h GROUP BY ALL),
-f2 AS (SELECT lang, k, b, sum(c) OVER (PARTITION BY lang, k ORDER BY b) AS upto, sum(c) OVER (PARTITION BY lang, k) AS total FROM h2),
-g2 AS (SELECT lang, k, min(b) FILTER (upto * 100 >= total * 50) AS mid, min(b) FILTER (upto * 100 >= total * 10) AS low FROM f2 GROUP BY ALL),
+t2 AS (SELECT lang, k, b, c, sum(c) OVER (PARTITION BY lang, k) AS total FROM h2),
 sl AS (SELECT * FROM (VALUES (1, 200), (2, 450), (3, 300), (4, 60)) x(k, slack)),
-lim AS (SELECT g1.lang, g1.source, g1.k, CASE WHEN g1.total >= 50 THEN g1.mid + greatest(slack, 8 * (g1.mid - g1.low)) ELSE g2.mid + greatest(slack, 8 * (g2.mid - g2.low)) END AS top
- FROM g1 JOIN g2 ON g1.k = g2.k AND g1.lang IS NOT DISTINCT FROM g2.lang JOIN sl ON sl.k = g1.k),
+bl AS (SELECT p.lang, p.source, p.k, t2.b, CAST(coalesce(h.c, 0) AS HUGEINT) * t2.total + 50 * t2.c AS w FROM (SELECT DISTINCT lang, source, k FROM h) p JOIN t2 ON t2.k = p.k AND t2.lang IS NOT DISTINCT FROM p.lang
+ LEFT JOIN h ON h.k = p.k AND h.b = t2.b AND h.lang IS NOT DISTINCT FROM p.lang AND h.source IS NOT DISTINCT FROM p.source),
+f1 AS (SELECT lang, source, k, b, sum(w) OVER (PARTITION BY lang, source, k ORDER BY b) AS upto, sum(w) OVER (PARTITION BY lang, source, k) AS total FROM bl),
+g1 AS (SELECT lang, source, k, min(b) FILTER (upto * 100 >= total * 50) AS mid, min(b) FILTER (upto * 100 >= total * 10) AS low FROM f1 GROUP BY ALL),
+lim AS (SELECT g1.lang, g1.source, g1.k, g1.mid + greatest(slack, 8 * (g1.mid - g1.low)) AS top FROM g1 JOIN sl ON sl.k = g1.k),
 wide AS (SELECT lang, source, max(top) FILTER (k = 1) AS m1, max(top) FILTER (k = 2) AS m2, max(top) FILTER (k = 3) AS m3, max(top) FILTER (k = 4) AS m4 FROM lim GROUP BY ALL)
 SELECT doc_id, n AS n_words, chars AS word_chars, sym AS n_symbols, dup AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words, n < 10 OR rep * 100 > n * 20 AS base_failed,
  NOT (n < 10 OR rep * 100 > n * 20) AND NOT (coalesce(v1 > m1, false) OR coalesce(v2 > m2, false) OR coalesce(v3 > m3, false) OR coalesce(v4 > m4, false)) AS kept

@@ -6,8 +6,10 @@ significant bits, so a quantile is at most 1/32 off), whose counts add up.  The
 sketches of a language's sources merge into the language's sketch.  A threshold
 is ``median + max(slack, spread * (median - p10))``: it uses only the lower half
 of a distribution, so up to half of a source may be junk without moving it.
-Sources with fewer than ``MIN_ROWS`` documents use their language's sketch.  The
-thresholds are joined back to the documents and decide ``kept``.
+A source's sketch is blended with ``PRIOR`` documents that are spread as its
+language's are, so a small source follows its language and a large one itself, with
+no step between.  The thresholds are joined back to the documents and decide
+``kept``.
 
 Defined cases: null text is the empty text (no words, base fails); null ``lang``
 and ``source`` form a group of their own; repeated rows are judged alike; an
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, bind, materialise, read, small
 
-MIN_ROWS = 50
+PRIOR = 50
 SPREAD = 8
 #: statistic -> least distance between median and threshold (permille, or tenths of a character for word_len).
 SLACK = {"symbols": 200, "dup_lines": 450, "upper": 300, "word_len": 60}
@@ -86,16 +88,16 @@ def _count(text: Column, pattern: str) -> Column:
     return F.size(F.split(text, pattern, -1)).cast("long") - 1
 
 
-def features(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def features(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", carry: list[str] | None = None, repeats: bool = True) -> DataFrame:
     """Statistics of every document, with the carried columns (default: all) in a
     struct ``row``."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
     words = F.when(body.rlike(r"[^ \t-\r]"), F.split(F.trim(body, F.lit(SPACE)), r"[ \t-\r]+")).otherwise(F.array().cast("array<string>"))
-    counted = bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), _repeat_words(w).alias("rep")))
+    counted = bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), (_repeat_words(w) if repeats else F.lit(None).cast("long")).alias("rep")))
     row = [c for c in (docs.columns if carry is None else carry) if c.lower() not in MADE]
     shaped = docs.select(
-        F.struct(*row).alias("row"), F.col(lang).alias("q_lang"), F.col(source).alias("q_source"),
+        (F.struct(*row) if row else F.lit(None)).alias("row"), F.col(lang).alias("q_lang"), F.col(source).alias("q_source"),
         counted.alias("w"), _count(body, f"[{SYMBOLS}]").alias("n_symbols"), _count(body, "[A-Z]").alias("n_upper"),
         bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
     )
@@ -129,55 +131,57 @@ def sketches(shaped: DataFrame) -> DataFrame:
     )
 
 
-def _fence(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows and threshold of each sketch of ``keys`` + stat."""
-    by = ", ".join([*keys, "stat"])
-    run = sketch.groupBy(*keys, "stat", "bucket").agg(F.sum("n").alias("n")).selectExpr(
-        *keys, "stat", "bucket",
-        f"sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto",
-        f"sum(n) OVER (PARTITION BY {by}) AS total",
-    )
-    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket")))
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
-    return run.groupBy(*keys, "stat").agg(F.max("total").alias("total"), at(50).alias("mid"), at(10).alias("low")).select(
-        *keys, "stat", "total",
-        (F.col("mid") + F.greatest(slack[F.col("stat")], SPREAD * (F.col("mid") - F.col("low")))).alias("limit"),
-    )
+def blended(sketch: DataFrame) -> DataFrame:
+    """(lang, source, stat, bucket, w): each source's sketch, times its language's
+    rows, plus ``PRIOR`` times the language's sketch: integers in the proportions of
+    the source's documents and ``PRIOR`` more of its language."""
+    long = lambda c: c.cast("decimal(38,0)")
+    wide = sketch.groupBy("lang", "stat", "bucket").agg(F.sum("n").alias("n_wide")).selectExpr("lang AS of", "stat AS kind", "bucket AS cut", "n_wide", "sum(n_wide) OVER (PARTITION BY lang, stat) AS rows")
+    pairs = sketch.select("lang", "source", "stat").distinct()
+    each = pairs.join(wide, F.col("lang").eqNullSafe(F.col("of")) & (F.col("stat") == F.col("kind"))).drop("of", "kind")
+    own = sketch.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("stat").alias("k"), F.col("bucket").alias("b"), F.col("n").alias("n_own"))
+    same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("stat") == F.col("k")) & (F.col("cut") == F.col("b"))
+    w = long(F.coalesce("n_own", F.lit(0))) * long(F.col("rows")).cast("decimal(18,0)") + PRIOR * long(F.col("n_wide")).cast("decimal(18,0)")
+    return each.join(own, same, "left").select("lang", "source", "stat", F.col("cut").alias("bucket"), long(w).alias("w"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, max_<stat>...), from the source's sketch or its language's."""
-    own = _fence(sketch, ["lang", "source"]).alias("s")
-    wide = _fence(sketch, ["lang"]).select(F.col("lang").alias("of"), F.col("stat").alias("kind"), F.col("limit").alias("wide"))
-    both = own.join(wide, F.col("s.lang").eqNullSafe(F.col("of")) & (F.col("s.stat") == F.col("kind")))
-    pick = F.when(F.col("total") >= MIN_ROWS, F.col("limit")).otherwise(F.col("wide"))
-    return both.groupBy(F.col("s.lang").alias("t_lang"), F.col("s.source").alias("t_source")).agg(
-        *[F.max(F.when(F.col("stat") == n, pick)).alias(f"max_{n}") for n in SLACK]
-    )
+    """(t_lang, t_source, max_<stat>...), from the blended sketches."""
+    by = "lang, source, stat"
+    run = blended(sketch).selectExpr("lang", "source", "stat", "bucket", f"sum(w) OVER (PARTITION BY {by} ORDER BY bucket) AS upto", f"sum(w) OVER (PARTITION BY {by}) AS total")
+    at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket")))
+    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])
+    fence = run.groupBy("lang", "source", "stat").agg(at(50).alias("mid"), at(10).alias("low")).withColumn("limit", F.col("mid") + F.greatest(slack[F.col("stat")], SPREAD * (F.col("mid") - F.col("low"))))
+    return fence.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*[F.max(F.when(F.col("stat") == n, F.col("limit"))).alias(f"max_{n}") for n in SLACK])
 
 
 def quality_rules(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """Add the base statistics, ``base_failed`` and ``kept`` to every document.
 
-    The statistics are computed once and written with the documents.
+    The documents are read twice, once for the sketches (without the repeated
+    windows, which no sketch needs) and once to be judged, so that no copy of them
+    is stored.
     """
-    return judge(materialise(features(docs, lang, source, text)))
+    return judge(features(docs, lang, source, text), features(docs, lang, source, text, carry=[], repeats=False))
 
 
-def judge(shaped: DataFrame) -> DataFrame:
-    limits = small(materialise(thresholds(sketches(shaped))))
+def judge(shaped: DataFrame, counted: DataFrame) -> DataFrame:
+    """Documents with their verdict; thresholds from ``counted``."""
+    limits = small(materialise(thresholds(materialise(sketches(counted)))))
     failed = F.expr("w.n < 10 OR w.rep * 100 > w.n * 20")
-    stats = shaped.select("*", *[c.alias(f"v_{n}") for n, c in _statistics().items()])
+    stats = shaped.select("*", F.struct(*[c.alias(n) for n, c in _statistics().items()], failed.alias("failed")).alias("v"))
     joined = stats.join(limits, F.col("q_lang").eqNullSafe(F.col("t_lang")) & F.col("q_source").eqNullSafe(F.col("t_source")), "left")
     within = F.lit(True)
     for n in SLACK:
-        within = within & ~F.coalesce(F.col(f"v_{n}") > F.col(f"max_{n}"), F.lit(False))
+        within = within & ~F.coalesce(F.col(f"v.{n}") > F.col(f"max_{n}"), F.lit(False))
+    kept = F.when(F.col("v.failed"), F.lit(False)).otherwise(within)  # one condition, which stays above the join and the statistics
     return joined.select(
         "row.*", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", F.col("lines.dup").alias("n_dup_lines"),
-        F.col("w.rep").alias("n_repeat_words"), failed.alias("base_failed"), (~failed & within).alias("kept"),
+        F.col("w.rep").alias("n_repeat_words"), F.col("v.failed").alias("base_failed"), kept.alias("kept"),
     )
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return judge(materialise(features(docs, carry=["doc_id"])))
+    shaped = materialise(features(docs, carry=["doc_id"]))  # figures and ids only
+    return judge(shaped, shaped)
