@@ -309,7 +309,7 @@ def across(group: DataFrame, nodes: DataFrame, sets_of, percent: int, write: Scr
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; ids are longs."""
     write = Scratch(docs.sparkSession)
-    every = materialise(sketch(docs, key, text, shingle))
+    every = write(sketch(docs, key, text, shingle))
     sets = every.where("n > 0")
     copies = write(sets.groupBy("digest").agg(F.min("id").alias("head")))
     firsts = copies.select(F.col("head").alias("id"), "digest")
@@ -334,8 +334,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         label = components(links.unionByName(more), write)
 
     rep = materialise(copies.join(label, copies["head"] == label["id"], "left").select("digest", F.coalesce("label", "head").alias("least")))
+    told = materialise(every.select("id", "n", "digest"))
     write.drop()
-    out = every.select("id", "n", "digest").join(rep, "digest", "left")
+    out = told.join(rep, "digest", "left")
     component = F.when(F.col("n") > 0, F.coalesce("least", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -325,7 +325,7 @@ def detect(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     """Candidates of every document, with the carried columns (default: all) in ``row``."""
     body = F.coalesce(F.col(text), F.lit(""))
     kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ADDED]
-    return docs.select(F.struct(*kept).alias("row"), bind(body, _candidates).alias("candidates"))
+    return docs.select((F.struct(*kept) if kept else F.lit(None)).alias("row"), bind(body, _candidates).alias("candidates"))
 
 
 ADDED = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redactions")
@@ -335,12 +335,10 @@ def _is(number: int):
     return lambda x: x["kind"] == number
 
 
-def select(found: DataFrame) -> DataFrame:
-    """Choose redactions among (materialised) candidates: base ones and those
-    whose boosted score reaches the calibrated threshold."""
-    trees, limits = learn(found)
-    c = F.col("candidates")
-    base = F.filter(c, lambda x: x["base"])
+def select(found: DataFrame, model: tuple[Trees, list[float]]) -> DataFrame:
+    """Choose redactions among candidates: base ones and those whose boosted score
+    reaches the calibrated threshold."""
+    trees, limits = model
 
     def chosen(x: Column) -> Column:
         ok = F.lit(False)
@@ -350,19 +348,31 @@ def select(found: DataFrame) -> DataFrame:
         return ok
 
     apart = lambda x, y: (x["e"] <= y["s"]) | (y["e"] <= x["s"])
-    extra = F.array_sort(F.filter(_clear_of_base(c), chosen))
-    empty = F.slice(c, F.lit(1), F.lit(0))
-    clear = F.aggregate(extra, empty, lambda t, x: F.when(F.exists(t, lambda y: ~apart(x, y)), t).otherwise(F.concat(t, F.array(x))))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-    both = found.select("row", base.alias("base"), F.array_sort(F.concat(base, F.when(F.exists(c, lambda x: ~x["base"]), clear).otherwise(empty))).alias("redactions"))
-    counts = [F.size(F.filter("base", _is(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(COUNTED)]
-    return both.select("row.*", *counts, F.sha2(told(F.array_sort("base")), 256).alias("base_sha256"), told(F.col("redactions")).alias("spans"), "redactions")
+
+    def picked(c: Column) -> Column:
+        """(base, redactions) of a bound array of candidates."""
+        extra = F.array_sort(F.filter(_clear_of_base(c), chosen))
+        empty = F.slice(c, F.lit(1), F.lit(0))
+        clear = bind(extra, lambda x: F.aggregate(x, empty, lambda t, y: F.when(F.exists(t, lambda z: ~apart(z, y)), t).otherwise(F.concat(t, F.array(y)))))
+        base = F.array_sort(F.filter(c, lambda x: x["base"]))
+        return F.struct(base.alias("base"), F.array_sort(F.concat(F.filter(c, lambda x: x["base"]), F.when(F.exists(c, lambda x: ~x["base"]), clear).otherwise(empty))).alias("redactions"))
+
+    def figures(b: Column) -> Column:
+        counts = [F.size(F.filter(b["base"], _is(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(COUNTED)]
+        return F.struct(*counts, F.sha2(told(b["base"]), 256).alias("base_sha256"), told(b["redactions"]).alias("spans"), b["redactions"].alias("redactions"))
+
+    made = found.select("row", bind(F.col("candidates"), lambda c: bind(picked(c), figures)).alias("made"))
+    return made.select("row.*", "made.*")
 
 
 def pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Every document with its counts, spans and chosen ``redactions``."""
-    return select(materialise(detect(docs, text)))
+    """Every document with its counts, spans and chosen ``redactions``.
+
+    Candidates are found twice, once to be counted and once to be chosen from, so
+    that no copy of the documents is stored."""
+    return select(detect(docs, text), learn(detect(docs, text, carry=[])))
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
@@ -387,4 +397,5 @@ def redact(found: DataFrame, text: str = "text") -> DataFrame:
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return select(materialise(detect(docs, carry=["doc_id"]))).drop("redactions")
+    found = materialise(detect(docs, carry=["doc_id"]))  # ids and candidates only
+    return select(found, learn(found)).drop("redactions")
