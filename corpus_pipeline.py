@@ -16,31 +16,71 @@ from treeline.llm.common import crc_mod, materialise, read, small
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``, others kept aside in one struct, where no
+    operator's own columns can meet them."""
+    rest = [c for c in docs.columns if c not in COLUMNS]
+    return docs.select(*COLUMNS, F.struct(*rest).alias("_rest")) if rest else docs
+
+
+def _like(found: DataFrame, docs: DataFrame) -> DataFrame:
+    rest = ["_rest.*"] if "_rest" in found.columns else []
+    return found.select(*COLUMNS, *rest).select(*docs.columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what passes the base rules and the adaptive thresholds."""
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    """Keep what passes the base rules and the adaptive thresholds.
+
+    Null, empty and short texts fail and go; repeated rows are judged alike; null
+    ``lang`` and ``source`` are groups of their own; other columns pass through
+    whatever their names; an empty table stays empty.
+    """
+    return _like(quality.quality_rules(_plain(docs)).where("kept"), docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the classifier, trained on the labelled rows outside the held-out fifth, scores under its threshold."""
-    scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return scored.where(F.col("score") < 0.5).select(*docs.columns)
+    """Keep what the classifier, trained on the labelled rows outside the held-out
+    fifth, scores under its threshold.
+
+    Null and empty texts have the score of a text without words; repeated rows and
+    equal texts are judged alike; without labels all stay; other columns pass
+    through whatever their names; an empty table stays empty.
+    """
+    plain = _plain(docs)
+    scored = toxicity.toxicity(plain, read(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return _like(scored.where(F.col("score") < 0.5), docs)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    found = neardup.near_duplicates(docs, shingle=5, percent=80)
+    """Keep the first document of each group of near duplicates (five-word shingles,
+    similarity 0.8).
+
+    Texts without words stay; of equal texts under different ids the least id
+    stays; rows that repeat one id stay together; rows without an id stay; other
+    columns pass through whatever their names; an empty table stays empty.
+    """
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
     gone = materialise(found.where("NOT kept").select("doc_id").distinct())
     return docs.join(small(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind in brackets."""
-    return pii.redact(pii.pii(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Replace personal data by its kind in brackets and count the characters anew.
+
+    Null texts stay null, with a null count; texts without personal data stay as
+    they are; repeated rows are treated alike; other columns pass through whatever
+    their names; an empty table stays empty.
+    """
+    clean = pii.redact(pii.pii(_plain(docs))).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _like(clean, docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in sequences."""
+    """Pieces of at most 2048 tokens with their places in sequences.
+
+    Null and empty texts are one piece of the end id; repeated rows are packed each;
+    other columns are not read; an empty table gives no pieces.
+    """
     import public_tokenizers
 
     return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
