@@ -160,7 +160,7 @@ def attach(facts: DataFrame, resolved: DataFrame, root: int = 0, hops: int = 64)
         rest = j.where("idx IS NULL")
         stop = F.col("parent_id").isNull() | F.array_contains("seen", F.col("parent_id"))
         ended.append(fallback(rest.where(stop), F.when(F.col("parent_id").isNull(), F.col("walk")).otherwise(F.size("seen"))))
-        state = materialise(rest.where(~stop).select("id", F.col("parent_id").alias("at"), (F.col("walk") + 1).alias("walk"), F.concat("seen", F.array("parent_id")).alias("seen")))
+        state = rest.where(~stop).select("id", F.col("parent_id").alias("at"), (F.col("walk") + 1).alias("walk"), F.concat("seen", F.array("parent_id")).alias("seen"))  # of the written table
         if state.isEmpty():
             break
     else:

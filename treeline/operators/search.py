@@ -90,13 +90,11 @@ def corpus(nodes: DataFrame, synonyms: DataFrame, aliases: DataFrame, broken: Da
     """All names (idx, kind, name), later corpora without what earlier ones said."""
     sci = nodes.where("name IS NOT NULL").select("idx", F.lit(0).cast("long").alias("kind"), "name")
     abbr = sci.select("idx", F.lit(1).cast("long").alias("kind"), abbreviation(F.col("name")).alias("name")).where("name IS NOT NULL")
-    out = sci.unionByName(abbr)
+    rest = sci.unionByName(abbr)
     for kind, rows in ((2, synonyms), (3, aliases), (4, broken), (5, second)):
-        named = rows.where("name IS NOT NULL").select("idx", F.lit(kind).cast("long").alias("kind"), "name")
-        said = out.select("idx", F.lower("name").alias("low")).distinct()
-        fresh = named.withColumn("low", F.lower("name")).join(said, ["idx", "low"], "left_anti").dropDuplicates(["idx", "low"]).drop("low")
-        out = out.unionByName(fresh)
-    return out
+        rest = rest.unionByName(rows.where("name IS NOT NULL").select("idx", F.lit(kind).cast("long").alias("kind"), "name"))
+    said = F.row_number().over(Window.partitionBy("idx", F.lower("name")).orderBy("kind", "name"))
+    return rest.withColumn("_said", said).where("kind <= 1 OR _said = 1").drop("_said")
 
 
 def rank_score(tips: Column, has_image: Column, measured: Column, n_names: Column) -> Column:

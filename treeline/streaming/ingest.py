@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from .settle import cut
+
 #: Kinds, and caps of a batch and of its fields.
 KINDS = ("search", "add", "tree")
 BODY, EVENTS, SUBJECT, TREE, CAUSE, SESSION = 8192, 32, 128, 1024, 16, 64
@@ -39,36 +41,52 @@ def dual_sink(events: DataFrame, table: str, log: str, checkpoint: str):
 POSTED, WAIT = 32, 3.0
 
 
-def batches(times: list[float], most: int = POSTED, wait: float = WAIT) -> list[int]:
-    """Batch number of each of a session's ordered events: a batch goes out with its
-    ``most``-th event, or ``wait`` seconds after its first."""
-    out: list[int] = []
-    number, first, held = -1, 0.0, most
-    for t in times:
-        if held >= most or t - first > wait:
+def batching(rows, most: int = POSTED, wait: float = WAIT):
+    """rows (session, time, ...), in order within each session that comes whole ->
+    (burst, batch) of each: a batch goes out with its ``most``-th event, or ``wait``
+    seconds after its first; a pause longer than that starts a burst."""
+    session, last, first, held, burst, number = None, 0.0, 0.0, 0, 0, 0
+    for own, t, *_ in rows:
+        if own != session:
+            session, burst, number, first, held = own, 1, 0, t, 0
+        elif t - last > wait:
+            burst, number, first, held = burst + 1, 0, t, 0
+        elif held >= most or t - first > wait:
             number, first, held = number + 1, t, 0
-        held += 1
-        out.append(number)
-    return out
+        held, last = held + 1, t
+        yield burst, number
+
+
+def batches(times: list[float], most: int = POSTED, wait: float = WAIT) -> list[int]:
+    """Number of the batch of each of a session's ordered events."""
+    keys = list(batching(((0, t) for t in times), most, wait))
+    order = {k: n for n, k in enumerate(dict.fromkeys(keys))}
+    return [order[k] for k in keys]
 
 
 def posted(events: DataFrame, most: int = POSTED, wait: float = WAIT) -> DataFrame:
-    """(session, event_id, burst, batch): what is posted together. A pause longer
-    than ``wait`` always ends a batch, so each burst is cut by itself."""
+    """(session, event_id, burst, batch): what is posted together. A task reads whole
+    sessions in order, a row at a time."""
     import pandas as pd
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("session").orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    e = events.select("session", "event_id", "ts", at.alias("at")).withColumn("fresh", F.coalesce(F.col("at") - F.lag("at").over(w) > wait * 1_000_000, F.lit(True)).cast("long"))
-    bursts = e.withColumn("burst", F.sum("fresh").over(w))
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    rows = events.where("session IS NOT NULL").select("session", at, "event_id").repartition("session").sortWithinPartitions("session", "at", "event_id")
+
+    def run(frames):
+        ids: list = []
+
+        def each():
+            for f in frames:
+                for s, t, e in zip(f["session"], f["at"], f["event_id"], strict=True):
+                    ids.append((s, e))
+                    yield s, t / 1e6
 
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["at", "event_id"])
-        return pd.DataFrame({"session": key[0], "event_id": g["event_id"], "burst": key[1], "batch": batches([x / 1e6 for x in g["at"]], most, wait)})
+        for part in cut(batching(each(), most, wait)):
+            told, ids[:] = ids[: len(part)], ids[len(part) :]
+            yield pd.DataFrame({"session": [x[0] for x in told], "event_id": [x[1] for x in told], "burst": [x[0] for x in part], "batch": [x[1] for x in part]})
 
     kind = events.schema["session"].dataType.simpleString()
-    return bursts.groupBy("session", "burst").applyInPandas(run, f"session {kind}, event_id long, burst long, batch long")
+    return rows.mapInPandas(run, f"session {kind}, event_id long, burst long, batch long")
 
 
 def last_cause(changes: DataFrame) -> DataFrame:

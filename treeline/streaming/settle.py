@@ -14,6 +14,7 @@ within it settle as the batch twin says.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,46 +27,58 @@ from ..operators.events import set_key
 IDLE_QUERY, IDLE_TREE, LEAST, LATE = 1.5, 2.0, 2, "15 seconds"
 
 
-def settle_words(rows: list[tuple[float, str]], idle: float = IDLE_QUERY) -> list[tuple[float, str]]:
-    """(time, query) of what a session's ordered input settles to."""
-    out: list[tuple[float, str]] = []
-    standing, at = "", 0.0
+def settling(rows: Iterator[tuple], idle: float = IDLE_QUERY) -> Iterator[tuple]:
+    """rows (session, time, text), in order within each session that comes whole ->
+    (session, time, query) of what each settles to."""
+    session, standing, at, emitted = None, "", 0.0, ""
 
-    def emit() -> None:
-        if standing and (not out or out[-1][1] != standing):
-            out.append((at, standing))
+    def due() -> list[tuple]:
+        nonlocal emitted
+        if not standing or standing == emitted:
+            return []
+        emitted = standing
+        return [(session, at, standing)]
 
-    for t, text in rows:
+    for own, t, text in rows:
+        if own != session:
+            yield from due()
+            session, standing, emitted = own, "", ""
         text = text.strip()
         if len(text) < LEAST:
             continue
         if standing and (t - at > idle or not (text.startswith(standing) or standing.startswith(text))):
-            emit()
+            yield from due()
             standing = text
         elif len(text) >= len(standing):
             standing = text
         at = t
-    emit()
-    return out
+    yield from due()
+
+
+def settle_words(rows: list[tuple[float, str]], idle: float = IDLE_QUERY) -> list[tuple[float, str]]:
+    """(time, query) of what one session's ordered input settles to."""
+    return [(t, q) for _, t, q in settling(((0, t, text) for t, text in rows), idle)]
 
 
 def settled_queries(events: DataFrame, idle: float = IDLE_QUERY) -> DataFrame:
-    """Batch twin: (session, ts, query).  Input further apart than ``idle`` never
-    merges, so each burst is settled by itself, whatever a session's length."""
-    w = Window.partitionBy("session").orderBy("ts", "subject")
-    heard = events.select("session", "ts", F.trim("subject").alias("subject")).where(F.length("subject") >= LEAST)
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    bursts = heard.withColumn("fresh", F.coalesce(gap > idle * 1_000_000, F.lit(True)).cast("long")).withColumn("burst", F.sum("fresh").over(w))
-
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "subject"])
-        got = settle_words(list(zip([x.timestamp() for x in g["ts"]], g["subject"], strict=True)), idle)
-        return pd.DataFrame({"session": [key[0]] * len(got), "ts": pd.to_datetime([round(t * 1e6) for t, _ in got], unit="us"), "n": range(len(got)), "query": [q for _, q in got]})
+    """Batch twin: (session, ts, query). A task reads whole sessions in order, a row
+    at a time, so a session's length doesn't matter to its memory."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    heard = events.where("subject IS NOT NULL AND session IS NOT NULL").select("session", at, "subject").repartition("session").sortWithinPartitions("session", "at", "subject")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((s, t / 1e6, q) for f in frames for s, t, q in zip(f["session"], f["at"], f["subject"], strict=True))
+        for part in cut(settling(rows, idle)):
+            yield pd.DataFrame({"session": [x[0] for x in part], "ts": pd.to_datetime([round(x[1] * 1e6) for x in part], unit="us"), "query": [x[2] for x in part]})
 
     kind = events.schema["session"].dataType.simpleString()
-    got = bursts.groupBy("session", "burst").applyInPandas(run, f"session {kind}, ts timestamp_ntz, n long, query string")
-    before = F.lag("query").over(Window.partitionBy("session").orderBy("ts", "n"))
-    return got.withColumn("before", before).where("before IS NULL OR before <> query").select("session", "ts", "query")
+    return heard.mapInPandas(run, f"session {kind}, ts timestamp_ntz, query string")
+
+
+def cut(rows: Iterator, size: int = 10_000) -> Iterator[list]:
+    """Lists of at most ``size`` rows."""
+    while part := list(islice(rows, size)):
+        yield part
 
 
 def settled_trees(events: DataFrame, idle: float = IDLE_TREE) -> DataFrame:
