@@ -54,8 +54,23 @@ def set_key(keys: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(keys)), ",")
 
 
+def plural(n: int, word: str) -> str:
+    return f"{n:,} {word}{'' if n == 1 else 's'}"
+
+
 def report(overall: dict, subjects: list[tuple]) -> str:
     """Plain-text report of collected (bounded) results."""
     note = "" if overall["worst"] in (None, 1) else f" (sampled, up to 1 in {overall['worst']})"
     lines = [f"{overall['weighted']} event{'s' * (overall['weighted'] != 1)} in {overall['sessions']} session{'s' * (overall['sessions'] != 1)}{note}"]
     return "\n".join(lines + [f"{n:>8}  {s}" for s, n in subjects])
+
+
+def report_page(overall: dict, tables: dict[str, list[tuple]]) -> str:
+    """The same as an HTML page: a heading, the sampling note where rows stand for
+    more than one event, and a table for each named list of (subject, weight)."""
+    from html import escape
+
+    note = "" if overall["worst"] in (None, 1) else f"<p>Sampled: a stored row stands for up to {overall['worst']:,} events.</p>"
+    rows = lambda some: "".join(f"<tr><td>{escape(str(s))}</td><td>{n:,}</td></tr>" for s, n in some) or "<tr><td>none</td></tr>"
+    body = "".join(f"<h2>{escape(name)}</h2><table>{rows(some)}</table>" for name, some in tables.items())
+    return f"<!doctype html><title>Report</title><h1>{plural(overall['weighted'] or 0, 'event')} in {plural(overall['sessions'] or 0, 'session')}</h1>{note}{body}"

@@ -17,6 +17,13 @@ def path_to_root(tree: DataFrame, chosen: DataFrame) -> DataFrame:
     return own.select("id", F.posexplode(F.reverse("lineage")).alias("step", "anc")).withColumn("step", F.col("step").cast("long"))
 
 
+def is_above(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v, above): whether u is v or above it, by intervals; pairs of unknown nodes have no row."""
+    at = tree.select("id", "idx", "size")
+    j = pairs.join(at.select(F.col("id").alias("u"), F.col("idx").alias("_u"), F.col("size").alias("_s")), "u").join(at.select(F.col("id").alias("v"), F.col("idx").alias("_v")), "v")
+    return j.select("u", "v", ((F.col("_u") <= F.col("_v")) & (F.col("_v") < F.col("_u") + F.col("_s"))).alias("above"))
+
+
 def common_ancestor(tree: DataFrame, chosen: DataFrame, group: str) -> DataFrame:
     """(group, mrca): the deepest node that is above or is every chosen node of a group."""
     picked = chosen.select(group, "id").distinct()

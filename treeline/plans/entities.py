@@ -249,7 +249,13 @@ def _decorated(s, d):
     return search.decorate(bands, p)
 
 
-@query("search_decorated", None)
+@query("search_decorated", f"""WITH {NUM}, bs AS (SELECT idx, kind, name, string_split(lower(name), ' ') AS w, CASE kind WHEN 0 THEN 6 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 3 END AS strength FROM num WHERE kind <> 4),
+ bb AS (SELECT *, CASE WHEN lower(name) = 'small' THEN 0 WHEN list_contains(['small', 'smalls', 'smalles'], w[-1]) THEN 1 WHEN len(list_intersect(w, ['small', 'smalls', 'smalles'])) > 0 THEN 2 WHEN len(list_filter(w, lambda x: starts_with(x, 'small'))) > 0 THEN 3 ELSE 4 END AS b FROM bs),
+ be AS (SELECT idx, min(b) AS band, min(b) FILTER (kind = 0) AS own, arg_min(name, (b, -strength, name)) AS matched FROM bb WHERE b < 4 GROUP BY idx),
+ de AS (SELECT be.*, p_size AS tips, p_partkey % 9 = 0 AS denotes, band = 0 AND coalesce(own, 4) <> 0 AND p_partkey % 9 <> 0 AS lone, p_partkey % 4 < 2 AND p_size <= 1 AS tiny, p_partkey % 3 <> 0 AS far FROM be JOIN part ON p_partkey = idx),
+ sp AS (SELECT *, CASE WHEN lone AND tiny THEN 1 ELSE band END AS step, lone AND NOT tiny AND far AS open FROM de), lg AS (SELECT max(tips) FILTER (step = 1) AS largest FROM sp),
+ fi AS (SELECT idx, CAST(CASE WHEN open AND tips * 100 < coalesce(largest, 0) THEN 1 ELSE step END AS BIGINT) AS band, matched, tips, denotes FROM sp, lg)
+ SELECT idx, band, matched FROM fi JOIN sc USING (idx) ORDER BY band, denotes DESC, score DESC, tips DESC, idx % 5 = 0 DESC, idx % 7 = 0 DESC, idx % 2 = 0 DESC, matched, idx LIMIT 50""")
 def _(s, d):
     out = _decorated(s, d).join(_scores(s, d), "idx").withColumns({"tier": F.lit(0), "is_broken": F.lit(False), "has_image": F.col("idx") % 5 == 0, "measured": F.col("idx") % 7 == 0, "has_alias": F.col("idx") % 2 == 0, "name": F.col("matched"), "kind": F.lit(0)})
     return out.orderBy(*search.result_order()).limit(50).select("idx", "band", "matched")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import ages, layout, paths, propagate
@@ -74,9 +76,7 @@ PAIRS = f"SELECT {2 * T} + n_nationkey AS u, {3 * T} + n_nationkey * 11 AS v FRO
 
 @query("is_ancestor_pairs", f"{DUCK_TREE} SELECT q.u, q.v, exists(SELECT 1 FROM c WHERE c.id = q.v AND c.anc = q.u) AS above FROM ({duck(PAIRS)}) q WHERE q.v IN (SELECT id FROM t)")
 def _(s, d):
-    t = tree(s, d)
-    j = rows(s, d, PAIRS).join(t.select(F.col("id").alias("u"), F.col("idx").alias("ui"), F.col("size").alias("us")), "u").join(t.select(F.col("id").alias("v"), F.col("idx").alias("vi")), "v")
-    return j.select("u", "v", ((F.col("ui") <= F.col("vi")) & (F.col("vi") < F.col("ui") + F.col("us"))).alias("above"))
+    return paths.is_above(tree(s, d), rows(s, d, PAIRS))
 
 
 GROUPS = f"SELECT c_custkey % 40 AS grp, {3 * T} + c_custkey AS id FROM {{customer}}"
@@ -182,11 +182,16 @@ def _(s, d):
     return paths.place_of(rows(s, d, i.FACTS).select("fact", "attach"), paths.induced_subtree(tree(s, d), rows(s, d, i.CHOSEN)))
 
 
-@query("add_delta", None)
+#: The same tree of the odd ids only, under other names.
+INDUCED_ODD = re.sub(r"\b(sel|k|up|top|marked|forks|ren|near|ind)\b", r"\1_odd", INDUCED.removeprefix(DUCK_TREE)).replace("JOIN t ON x.id = t.id)", "JOIN t ON x.id = t.id WHERE x.id % 2 = 1)")
+
+
+@query("add_delta", f"""{INDUCED}{INDUCED_ODD}, st AS (SELECT ind.id, ind.anc, ind.id IN (SELECT id FROM ind_odd) AS was FROM ind), ch AS (SELECT id, anc AS flare, CAST(1 AS BIGINT) AS wave FROM st WHERE NOT was
+ UNION ALL SELECT ch.id, st.anc, ch.wave + 1 FROM ch JOIN st ON st.id = ch.flare WHERE NOT st.was) SELECT id, arg_max(coalesce(flare, -1), wave) AS flare, max(wave) AS wave FROM ch GROUP BY id""")
 def _(s, d):
     sel = rows(s, d, i.CHOSEN)
     before = paths.induced_subtree(tree(s, d), sel.where(F.col("id") % 2 == 1))
-    return paths.added(before, paths.induced_subtree(tree(s, d), sel))
+    return paths.added(before, paths.induced_subtree(tree(s, d), sel)).withColumn("flare", F.coalesce("flare", F.lit(-1)))
 
 
 # ------------------------------------------------------------------ ages
