@@ -43,6 +43,16 @@ def test_newick_details():
             parsed(bad)
 
 
+def test_newick_files(spark, tmp_path):
+    t = built(spark, [None, 0, 1, 1, 0, 4])
+    up = t.select(F.col("id").alias("parent"), F.col("subtree_out").alias("p_out"))
+    t = t.withColumn("label", F.concat(F.lit("n"), F.col("id").cast("string"))).join(up, "parent", "left").withColumn("is_last", F.col("subtree_out") == F.col("p_out"))
+    newick.save(t, str(tmp_path / "t"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*")))
+    assert "".join(text.split()) == newick.write(t).first()["value"] == "((n2,n3)n1,(n5)n4)n0;"
+    assert [(r[1], r[2]) for r in parsed(text)] == [(None, "n0"), (0, "n1"), (1, "n2"), (1, "n3"), (0, "n4"), (4, "n5")]
+
+
 def test_numbers_against_naive(spark):
     rng = random.Random(5)
     parents = [None] + [rng.randrange(0, i) for i in range(1, 120)]

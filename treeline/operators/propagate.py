@@ -131,8 +131,9 @@ def young_ends(facts: DataFrame) -> DataFrame:
     for level in range(deepest if deepest is not None else -1, -1, -1):
         rows = t.where(F.col("level") == level)
         if below is not None:
-            kids = below.where("sub_min IS NOT NULL").groupBy("parent_id").agg(F.min(F.struct("sub_min", "id", "sub_lea")).alias("m"), F.collect_list(F.struct("sub_min", "sub_at")).alias("ends"))
-            kids = kids.select(F.col("parent_id").alias("of"), F.col("m.sub_min").alias("end"), F.col("m.sub_lea").alias("end_lea"), F.aggregate(F.filter("ends", lambda x: x["sub_min"] == F.col("m.sub_min")), F.lit(0).cast("long"), lambda a, x: a + x["sub_at"]).alias("n_at"))
+            ends = below.where("sub_min IS NOT NULL").groupBy("parent_id", "sub_min").agg(F.sum("sub_at").alias("n_at"), F.min(F.struct("id", "sub_lea")).alias("first"))  # per end first, so no parent gathers its children
+            kids = ends.groupBy(F.col("parent_id").alias("of")).agg(F.min("sub_min").alias("end"), F.min_by(F.struct("n_at", "first"), "sub_min").alias("m"))
+            kids = kids.select("of", "end", F.col("m.first.sub_lea").alias("end_lea"), F.col("m.n_at").alias("n_at"))
             rows = rows.join(kids, F.col("id") == F.col("of"), "left").drop("of")
         else:
             rows = rows.selectExpr("*", "CAST(NULL AS DOUBLE) AS end", "CAST(NULL AS DOUBLE) AS end_lea", "CAST(NULL AS BIGINT) AS n_at")

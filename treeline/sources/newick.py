@@ -25,7 +25,7 @@ def parse(text: str) -> Iterator[tuple]:
         return len(parent) - 1
 
     current: int | None = None
-    for token in _TOKEN.findall(text.strip()):
+    for token in _TOKEN.findall(re.sub(r"[\r\n]", "", text).strip()):
         if done and token.strip():
             raise ValueError("text after the end of the tree")
         if token == "(":
@@ -94,11 +94,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.sql("SELECT n.* FROM _newick_text, LATERAL newick(value) n")
 
 
-def write(tree: DataFrame) -> DataFrame:
-    """One row ``value``: the Newick text of a numbered tree (idx, subtree_out,
-    depth, label). Every node contributes what stands before and after it; a sort
-    by place in the text joins them."""
+def fragments(tree: DataFrame) -> DataFrame:
+    """(a, b, c, value): what every node of a numbered tree (idx, subtree_out, depth,
+    label, child_count, is_last) puts before and after its subtree; in the order of
+    (a, b, c) the values are the Newick text."""
     t = tree.select("idx", "depth", "label", "child_count", "subtree_out", "is_last")
-    before = t.select(F.struct(F.col("idx").alias("a"), F.lit(0).alias("b"), F.col("depth").alias("c")).alias("k"), F.when(F.col("child_count") > 0, F.lit("(")).otherwise("").alias("s"))
-    after = t.select(F.struct(F.col("subtree_out").alias("a"), F.lit(-1).alias("b"), (-F.col("depth")).alias("c")).alias("k"), F.concat(F.when(F.col("child_count") > 0, F.lit(")")).otherwise(""), F.coalesce("label", F.lit("")), F.when(F.col("depth") == 0, ";").when(F.col("is_last"), "").otherwise(",")).alias("s"))
-    return before.unionByName(after).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "").alias("value"))
+    before = t.where("child_count > 0").select(F.col("idx").alias("a"), F.lit(0).cast("long").alias("b"), F.col("depth").alias("c"), F.lit("(").alias("value"))
+    end = F.when(F.col("depth") == 0, ";").when(F.col("is_last"), "").otherwise(",")
+    after = t.select(F.col("subtree_out").alias("a"), F.lit(-1).cast("long").alias("b"), (-F.col("depth")).alias("c"), F.concat(F.when(F.col("child_count") > 0, F.lit(")")).otherwise(""), F.coalesce("label", F.lit("")), end).alias("value"))
+    return before.unionByName(after)
+
+
+def save(tree: DataFrame, path: str) -> None:
+    """Write the text of a tree of any size: files in order, a node's fragment a
+    line; readers of the format skip the line ends."""
+    order = ["a", "b", "c"]
+    fragments(tree).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
+def write(tree: DataFrame) -> DataFrame:
+    """One row ``value`` for a small tree, such as a selection's; ``save`` writes large ones."""
+    parts = F.array_sort(F.collect_list(F.struct("a", "b", "c", "value")))
+    return fragments(tree).agg(F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("value"))
