@@ -80,7 +80,14 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Rows of an Arrow batch; Spark's default of 10,000 holds tens of megabytes of text several times over.
+ARROW_ROWS = 2_000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; a session that has Spark's default Arrow batches gets smaller ones."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
