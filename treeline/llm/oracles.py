@@ -38,3 +38,39 @@ wide AS (SELECT lang, source, max(top) FILTER (k = 1) AS m1, max(top) FILTER (k
 SELECT doc_id, n AS n_words, chars AS word_chars, sym AS n_symbols, dup AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words, n < 10 OR rep * 100 > n * 20 AS base_failed,
  NOT (n < 10 OR rep * 100 > n * 20) AND NOT (coalesce(v1 > m1, false) OR coalesce(v2 > m2, false) OR coalesce(v3 > m3, false) OR coalesce(v4 > m4, false)) AS kept
 FROM v LEFT JOIN wide ON v.lang IS NOT DISTINCT FROM wide.lang AND v.source IS NOT DISTINCT FROM wide.source"""
+
+
+def _nearest(entries: str) -> str:
+    """Of each part its nearest entry, and its squared distance times 64 plus that entry."""
+    return f"""SELECT p.r, p.part, any_value(p.x) AS x, min(64 * list_sum(list_transform(list_zip(p.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + e.entry) AS m
+ FROM p JOIN {entries} e ON e.part = p.part GROUP BY p.r, p.part"""
+
+
+def _moved(entries: str, assigned: str) -> str:
+    return f"""SELECT e.part, e.entry, coalesce(n.x, e.x) AS x FROM {entries} e LEFT JOIN (SELECT part, entry, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY j) AS x FROM
+ (SELECT part, entry, j, sum(v) AS s, count(*) AS c FROM (SELECT part, m % 64 AS entry, unnest(range(1, len(x) + 1)) AS j, unnest(x) AS v FROM {assigned}) GROUP BY part, entry, j)
+ GROUP BY part, entry) n ON n.part = e.part AND n.entry = e.entry"""
+
+
+OP11 = f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT len(v) AS n FROM k WHERE len(v) > 0 AND len(v) % 16 = 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+o AS (SELECT vec_id, label, v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r FROM k JOIN n ON len(v) = n),
+p AS (SELECT r, part, list_slice(v, part * len(v) // 16 + 1, (part + 1) * len(v) // 16) AS x FROM o CROSS JOIN range(16) t(part)),
+e0 AS (SELECT part, r - 1 AS entry, x FROM p WHERE r <= 64),
+a0 AS ({_nearest("e0")}),
+e1 AS ({_moved("e0", "a0")}),
+a1 AS ({_nearest("e1")}),
+e2 AS ({_moved("e1", "a1")}),
+a2 AS ({_nearest("e2")}),
+c AS (SELECT r, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS sha FROM e2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM o JOIN c ON c.r = o.r CROSS JOIN h"""
+
+OP13 = r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS a, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT doc_id, t, a, CAST(len(a) AS BIGINT) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS h FROM u),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS i, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS j,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+s AS (SELECT *, array_to_string(list_slice(a, 1, i), '') AS p, array_to_string(list_slice(a, i + 1, j), '') AS m, array_to_string(list_slice(a, j + 1, n), '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM s"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import oracles
 from .ann import op6_ann
 from .bytebpe import op10_byte_bpe
+from .fim import op13_fill_in_middle
 from .html_text import op2_html_text
 from .language_model import op5_lm_scores
 from .neardup import op4_near_duplicates
@@ -13,6 +14,7 @@ from .pii import op1_pii
 from .quality import op3_quality_rules
 from .tokens import op7_token_counts
 from .toxicity import op8_toxicity
+from .vector_codes import op11_vector_codes
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -25,5 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": oracles.OP3, "op4_near_duplicates": oracles.OP4}
+ORACLES: dict[str, str] = {"op3_quality_rules": oracles.OP3, "op4_near_duplicates": oracles.OP4, "op11_vector_codes": oracles.OP11, "op13_fill_in_middle": oracles.OP13}
