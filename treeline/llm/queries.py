@@ -12,6 +12,7 @@ from .neardup import op4_near_duplicates
 from .packing import op9_packing
 from .pii import op1_pii
 from .quality import op3_quality_rules
+from .subword import op12_quality_classifier
 from .tokens import op7_token_counts
 from .toxicity import op8_toxicity
 from .vector_codes import op11_vector_codes
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_vector_codes": op11_vector_codes,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {"op3_quality_rules": oracles.OP3, "op4_near_duplicates": oracles.OP4, "op11_vector_codes": oracles.OP11, "op13_fill_in_middle": oracles.OP13}
