@@ -8,8 +8,8 @@ unary), about a byte a line.  The index is joined back to the documents' ids by
 digest, every document selects its two seeded line ends from the list, and the
 output is put together by string functions.
 
-Texts cross one shuffle, those of a task's equal documents once.  A text of more
-than ``HOT`` documents stands in one copy per ``HOT`` of them, its documents dealt
+Texts cross one shuffle, those of a task's equal documents once; lists and cuts
+are shuffled without them.  A text of more than ``HOT`` documents stands in one copy per ``HOT`` of them, its documents dealt
 over the copies, so that no task holds a large group; those copies are at most a
 ``HOT``-th of the texts.
 
@@ -22,15 +22,13 @@ it replaces); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read, slices, small, tidy
+from .common import materialise, read, small
 
 #: Documents of one text to a copy of its index entry.
 HOT = 128
@@ -94,18 +92,16 @@ def line_ends(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _listed(index: DataFrame) -> DataFrame:
-    """index: (key, text, ...) with the number of lines and their packed ends."""
-    schema = index.select("*", F.lit(0).cast("long").alias("n"), F.lit(b"").alias("ends")).schema
+def _packed_ends(texts: pa.Array) -> pa.Array:
+    return pa.array([EliasFano.pack(e) for e in line_ends(texts)], pa.binary())
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            ends = line_ends(b.column("text"))
-            packed = pa.array([EliasFano.pack(e) for e in ends], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(e) for e in ends], pa.int64()), packed], [*b.schema.names, "n", "ends"])
 
-    return index.mapInArrow(run, schema)
+def _listed(index: DataFrame) -> DataFrame:
+    """index: (_key, text, ...) with the number of lines and their packed ends."""
+    text = F.col("text")
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    tail = (text != "") & ~F.endswith(text, F.lit("\n"))
+    return index.withColumns({"n": breaks.cast("long") + tail.cast("long"), "ends": F.arrow_udf(_packed_ends, "binary")(text)})
 
 
 def _select(ends: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
@@ -148,11 +144,12 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", see
     part = F.pmod(F.xxhash64(F.col(f"_row.{key}")), F.col("_parts")).cast("int")
     ids = row.select("_row", "_null", "_key").join(large, F.col("_key") == F.col("_hot"), "left").select("_row", "_null", "_key", part.alias("_part"))
     index = distinct_texts(row)
-    few = _listed(index.where(F.col("copies") <= hot).drop("copies"))
-    many = _listed(index.where(F.col("copies") > hot))
-    spread = many.select("_key", "text", "n", "ends", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("copies") / hot) - 1).cast("int"))).alias("_part"))
-    back = ids.where("_part IS NULL").drop("_part").join(few, "_key").unionByName(ids.where("_part IS NOT NULL").join(spread, ["_key", "_part"]).drop("_part"))
-    return _cut(back, f"_row.{key}", seed, rate, spm).select(*_restored(docs, rest, text), *ADDED)
+    few, many = index.where(F.col("copies") <= hot).drop("copies"), _listed(index.where(F.col("copies") > hot))
+    own = _chosen(ids.where("_part IS NULL").drop("_part").join(_listed(few).drop("text"), "_key"), f"_row.{key}", seed)
+    spread = many.withColumn("_part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("copies") / hot) - 1).cast("int")))).drop("copies")
+    shared = _chosen(ids.where("_part IS NOT NULL").join(spread, ["_key", "_part"]), f"_row.{key}", seed)
+    cuts = own.join(few, "_key").unionByName(shared.drop("_part"))  # the texts of few stay where they were grouped
+    return _put_together(cuts, f"_row.{key}", seed, rate, spm).select(*_restored(docs, rest, text), *ADDED)
 
 
 def _restored(docs: DataFrame, rest: list[str], text: str) -> list[Column]:
@@ -162,14 +159,18 @@ def _restored(docs: DataFrame, rest: list[str], text: str) -> list[Column]:
     return [own[c] for c in docs.columns if c in own]
 
 
-def _cut(back: DataFrame, key: str, seed: int, rate: int, spm: int) -> DataFrame:
+def _chosen(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """The two seeded ends, selected from the packed list."""
+    draws = rows.withColumns({"_a": _draw(seed, key, 1) % (F.col("n") + 1), "_b": _draw(seed, key, 2) % (F.col("n") + 1)})
+    selected = F.pandas_udf(_select, "long")
+    return draws.withColumns({"_a": selected("ends", "n", F.least("_a", "_b")), "_b": selected("ends", "n", F.greatest("_a", "_b"))}).drop("ends")
+
+
+def _put_together(ends: DataFrame, key: str, seed: int, rate: int, spm: int) -> DataFrame:
     bare = (F.col("text") == "") | (_draw(seed, key, 3) % 100 >= rate)
     for s in SENTINELS:
         bare = bare | F.contains("text", F.lit(s))
-    drawn = back.withColumn("_a", _draw(seed, key, 1) % (F.col("n") + 1)).withColumn("_b", _draw(seed, key, 2) % (F.col("n") + 1))
-    form = F.when(bare, "plain").when(_draw(seed, key, 4) % 100 < spm, "spm").otherwise("psm")
-    selected = F.pandas_udf(_select, "long")
-    ends = drawn.withColumn("form", form).withColumns({"_a": selected("ends", "n", F.least("_a", "_b")), "_b": selected("ends", "n", F.greatest("_a", "_b"))})
+    ends = ends.withColumn("form", F.when(bare, "plain").when(_draw(seed, key, 4) % 100 < spm, "spm").otherwise("psm"))
     piece = [F.substr("text", F.lit(1), F.col("_a").cast("int")), F.substr("text", (F.col("_a") + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")), F.substr("text", (F.col("_b") + 1).cast("int"))]
     prefix, middle, suffix = piece
     p, s, m = map(F.lit, SENTINELS)
