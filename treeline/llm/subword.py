@@ -38,6 +38,7 @@ BITS, DIM, GRAMS, STEPS, BATCH, RATE = 18, 8, (3, 4), 500, 32, 4.0
 LIMIT = 10.0  # no learned number leaves +-LIMIT, so that few or contradicting labels stay finite
 CUT = 0.7
 CACHE = 200_000
+BLOCK = 20_000  # words whose features are found at a time
 AGAIN = 0  # the bucket of the mark for a repeated word; no other feature has it
 
 
@@ -108,8 +109,10 @@ class Model:
     def of_words(self, words: list[str]) -> np.ndarray:
         """(sum of weights, number of features) of each word."""
         new = self.seen.new_of(set(words))
-        bucket, offsets = features(new)
-        self.seen |= zip(new, zip(segment_sum(self.weight[bucket], offsets).tolist(), np.diff(offsets).tolist(), strict=True), strict=True)
+        for at in range(0, len(new), BLOCK):
+            part = new[at : at + BLOCK]
+            bucket, offsets = features(part)
+            self.seen |= zip(part, zip(segment_sum(self.weight[bucket], offsets).tolist(), np.diff(offsets).tolist(), strict=True), strict=True)
         return np.array([self.seen[w] for w in words], dtype=float).reshape(-1, 2)
 
     def logits(self, texts: pa.Array) -> np.ndarray:
@@ -162,19 +165,26 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((top[0] + top[-1]) / 2)
 
 
+def _compact(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of many words in blocks, which bounds what it needs at a time."""
+    parts = [features(words.slice(k, BLOCK).to_pylist()) for k in range(0, len(words), BLOCK)]
+    sizes = [np.diff(at) for _, at in parts]
+    return np.concatenate([b.astype(np.int32) for b, _ in parts] or [np.zeros(0, np.int32)]), np.cumsum(np.concatenate([[0], *sizes]))
+
+
 def train(texts: list[str | None], labels: np.ndarray, held: np.ndarray) -> Model | None:
     """held: rows kept out of the fit, for the cut."""
     labels = np.asarray(labels, np.int64)
     if len(set(labels[~held].tolist())) < 2:
         return None
     words, codes, offsets = words_of(pa.array(texts, pa.string()), lower=False)
-    bucket, at = features(words.to_pylist())
+    bucket, at = _compact(words)
     again, bags = repeats(codes, offsets), []
     for i in np.flatnonzero(~held):
         own, times = np.unique(codes[offsets[i] : offsets[i + 1]], return_counts=True)
         size = at[own + 1] - at[own]
         flat = np.repeat(at[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        found, back = np.unique(np.append(bucket[flat], AGAIN), return_inverse=True)
+        found, back = np.unique(np.append(bucket[flat], np.int32(AGAIN)), return_inverse=True)
         count = np.bincount(back, np.append(np.repeat(times, size), again[i]))
         bags.append((found[count > 0], count[count > 0].astype(np.float32)))
     model = fit(bags, labels[~held])
