@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline import catalogue
-from treeline.functions import highlights
+from treeline.functions import lit
 from treeline.operators import ages, gates, paths, propagate, resolve, search, spelling, timescale
 from treeline.operators import tree as trees
 from treeline.plans import hierarchy
@@ -146,7 +146,7 @@ def naive_young_ends(facts):
 def test_young_ends_of_the_whole_table(spark, tmp_path):
     spark.range(12_500).selectExpr("id AS p_partkey", "id * 7919 % 50 + 1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     facts = [r.asDict() for r in hierarchy.rows(spark, str(tmp_path), hierarchy.ENDS).collect()]
-    got = hierarchy.QUERIES["young_ends_whole"](spark, str(tmp_path)).collect()
+    got = hierarchy.QUERIES["young_ends"](spark, str(tmp_path)).collect()
     assert len(got) == len(facts) == 12_500 and max(f["level"] for f in facts) == 4
     assert {r["id"]: (r["identified"], r["end_occs"], r["lla_drawn"], r["lea_drawn"], r["clamped"]) for r in got} == naive_young_ends(facts)
 
@@ -172,12 +172,12 @@ def test_sibling_distance_against_all_pairs(spark):
 
 @pytest.mark.parametrize(("name", "cut"), [("forward_closure", "p_partkey < 300"), ("mrca", "c_custkey % 5 = 1"), ("seed_cascade", "c_custkey % 7 = 0"), ("rank_fallback", "p_partkey % 40 = 1"), ("homonym_agreement", "c_custkey % 60 = 7"), ("sibling_colours", "id < 150"), ("young_ends", "BETWEEN 1 AND 999")])
 def test_whole_inputs(name, cut):
-    assert cut not in catalogue.ORACLES[name] and catalogue.QUERIES[name] is catalogue.QUERIES[f"{name}_whole"]
+    assert cut not in catalogue.ORACLES[name] and name in catalogue.QUERIES
 
 
 def test_forwards_of_the_whole_table(spark, tmp_path):
     spark.range(1000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
-    got = {r["old"]: r["new"] for r in hierarchy.QUERIES["forward_closure_whole"](spark, str(tmp_path)).collect()}
+    got = {r["old"]: r["new"] for r in hierarchy.QUERIES["forward_closure"](spark, str(tmp_path)).collect()}
     want = {}
     for old in range(1000):
         seen = [old]
@@ -226,12 +226,38 @@ def test_gates(spark, tmp_path):
     assert set(out.failures) == {"phase_p", "report_readable"}
 
 
+def test_banded_distance(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abch") for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    pairs = [(a, b, c) for a, b, c in zip(words, words[1:], [1, 2] * 200, strict=False)]
+    pairs += [(a, a[:k] + a[k + 1 : k + 2] + a[k : k + 1] + a[k + 2 :], c) for a, k, c in zip(words, [0, 1, 2, 3] * 100, [1, 2] * 200, strict=True)]
+    df = spark.createDataFrame(pairs, "a string, b string, cap int")
+    got = df.select("cap", spelling.osa(F.col("a"), F.col("b")).alias("full"), spelling.within(F.col("a"), F.col("b"), F.col("cap")).alias("banded")).collect()
+    assert all(r["banded"] == r["full"] if r["full"] <= r["cap"] else r["banded"] > r["cap"] for r in got) and sum(r["full"] <= r["cap"] for r in got) > 100
+
+
+def test_lengths_four_apart_are_corrected(spark):
+    idx = spelling.index(spark.createDataFrame([("phosphorescence",)], "name string"))
+    asked = spark.createDataFrame([("fosforescnc",)], "word string")
+    assert [tuple(r) for r in spelling.correct_words(asked, idx).collect()] == [("fosforescnc", "phosphorescence")]
+
+
+def test_drift_over_many_siblings(spark):
+    rng = random.Random(1)
+    rows = [(i, 0, *(rng.random() for _ in range(6))) for i in range(200)] + [(1000, 1, *[0.5] * 6), (2000, 2, *[0.5] * 6), (2001, 2, *[0.5] * 6)]
+    got = {r["parent"]: r["drift"] for r in timescale.sibling_drift(spark.createDataFrame(rows, "id long, parent long, l double, a double, b double, dl double, da double, db double")).collect()}
+    own = [r[2:] for r in rows[:200]]
+    dist = lambda x, y: sum((p - q) ** 2 for p, q in zip(x, y, strict=True)) ** 0.5
+    want = max(abs(dist(x[3:], y[3:]) - timescale.DIM_K * dist(x[:3], y[:3])) for x in own for y in own)
+    assert got == {0: round(want, 6), 2: 0.0}
+
+
 def test_turtle_and_figures(spark):
     text = '@prefix g: <http://g/> .\ng:a a g:Age ; g:label "Erste"@de , "First"@en ; g:note """long "text" here""" ; g:begin [ g:value 538.8 ; g:error "0.6"^^g:d ] .'
     got = list(turtle.parse(text))
     assert ("http://g/a", turtle.TYPE, "http://g/Age", "iri", None, None) in got and ("_:b1", "http://g/value", "538.8", "number", None, None) in got
     assert any(r[2] == 'long "text" here' for r in got)
-    assert highlights("Sharks and shark", "shark") == [(0, 6), (11, 16)]
+    assert spark.range(1).select(lit(F.lit("Sharks and shark"), F.lit("shark")).alias("r")).first()["r"] == "0-6,11-16"
     assert timescale.ticks(0, 100, 5, 5, lambda x: x)[:3] == [0, 10, 20]
 
 

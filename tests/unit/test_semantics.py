@@ -1,10 +1,12 @@
 """Rules on small inputs with answers worked by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from treeline import phases
-from treeline.functions import forms, fuzzy, highlights, match
+from treeline.functions import fuzzy, lit
 from treeline.operators import ages, gates, layout, names, paths, propagate, resolve, search, serving
 from treeline.operators import tree as trees
 from treeline.streaming import ingest
@@ -43,10 +45,39 @@ def test_fuzzy(spark, query, name, score, ranges):
     assert (row["score"], row["ranges"]) == (score, ranges)
 
 
-def test_match_parts():
-    assert match("hom", "h_o_m")[0] == 10 + (10 - 1) + (10 - 1)
-    assert forms("go") == ["go"] and forms("butterfly") == ["butterfly", "butterflys", "butterflyes", "butterflies"]
-    assert highlights("swallowtail butterflies", "butterfly") == [(12, 23)] and highlights("goes", "go") == [(0, 2)] and highlights("x", " ") == []
+def test_match_parts(spark):
+    assert spark.range(1).select(fuzzy(F.lit("h_o_m"), F.lit("hom")).alias("m")).first()["m"]["score"] == 10 + (10 - 1) + (10 - 1)
+    pairs = [("swallowtail butterflies", "butterfly", "12-23"), ("goes", "go", "0-2"), ("x", " ", ""), ("Banana", "an", "1-5"), ("Homo sapiens", "homo sapiens", "0-4,5-12"), ("a-b-c", "abc", ""), ("aaa", "aa", "0-2"), ("Bamboo sharks", "shark", "7-13"), (None, "x", ""), ("x.*(y", ".*(", "1-4")]
+    got = spark.createDataFrame(pairs, "n string, q string, r string").select(lit("n", "q").alias("told"), "r").collect()
+    assert all(r["told"] == r["r"] for r in got)
+    assert spark.sql("SELECT fuzzy('Homo sapiens', 'HOMO').score AS s, match_band('Tyrannosaurus rex', 'rex') AS b, lit('Sharks', 'shark') AS l").first() == (1700.0, 1, "0-6")
+
+
+def plain_match(name, query):
+    """The rule letter by letter: streaks, starts and gaps."""
+    h, n = name.lower(), query.lower()
+    starts = lambda k: k == 0 or h[k - 1] in " ._-"
+    if n in h:
+        k = h.index(n)
+        return 1000 - k + 300 * starts(k) + 400 * (k == 0)
+    places = []
+    for c in n:
+        k = h.find(c, places[-1] + 1 if places else 0)
+        if k < 0:
+            return None
+        places.append(k)
+    total, streak = 0, 0
+    for i, k in enumerate(places):
+        streak = streak + 1 if i and k == places[i - 1] + 1 else 0
+        total += 12 + 4 * streak if streak else (10 if starts(k) else 2) - min(k - (places[i - 1] + 1 if i else 0), 12)
+    return total - len(h) // 12
+
+
+def test_fuzzy_equals_the_rule(spark):
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abc .-") for _ in range(rng.randint(1, 40))), "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))) for _ in range(400)]
+    got = spark.createDataFrame(pairs, "n string, q string").select("n", "q", fuzzy("n", "q").alias("m")).collect()
+    assert all((r["m"]["score"] if r["m"] else None) == plain_match(r["n"], r["q"]) for r in got)
 
 
 def test_folding(spark):

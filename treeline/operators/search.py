@@ -13,23 +13,12 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bands of a match.
-EXACT, HEAD, TOKEN, PREFIX, NONE = 0, 1, 2, 3, 4
-#: Rank words that a name's head steps over.
-RANK_WORDS = (
-    "family families order orders genus genera class classes phylum phyla kingdom division tribe subfamily superfamily suborder infraorder subgenus subclass superorder section series"
-    " group groups clade complex species subspecies taxon taxa"
-).split()
+from ..functions import EXACT, HEAD, NONE, TOKEN, match_band
+
 #: Search limits.
 LIMIT, MOST, WEAK_ROWS, SIZE_RATIO, HALF_LIFE, USES = 20, 50, 8, 100, 21.0, 12
 
 
-def tokens(name: Column) -> Column:
-    """Lower-cased words, split at white space, outer non-alphanumerics stripped."""
-    cut = F.transform(F.split(F.lower(F.trim(name)), r"\s+"), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(cut, lambda t: t != "")
-
-
 def folded(text: str) -> str:
     """Lower case without diacritics."""
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
@@ -62,30 +51,6 @@ def abbreviation(name: Column) -> Column:
     return F.when(ok, F.array_join(F.concat(heads, F.slice(w, F.size(w), F.lit(1))), " "))
 
 
-def same_plural(a: Column, b: Column) -> Column:
-    """Equal up to a plural s, es or y -> ies; both of three letters or more."""
-    rule = (a == F.concat(b, F.lit("s"))) | (b == F.concat(a, F.lit("s"))) | (a == F.concat(b, F.lit("es"))) | (b == F.concat(a, F.lit("es")))
-    ies = lambda x, y: F.endswith(x, F.lit("y")) & (y == F.regexp_replace(x, "y$", "ies"))
-    return (a == b) | ((F.length(a) >= 3) & (F.length(b) >= 3) & (rule | ies(a, b) | ies(b, a)))
-
-
-def match_band(name: Column, query: Column) -> Column:
-    """0 exact, 1 on the head word, 2 on whole words, 3 by a prefix of the last
-    query word, 4 none."""
-    n, q = tokens(name), tokens(query)
-    head = F.size(F.array_except(n, F.array(*[F.lit(w) for w in RANK_WORDS])))
-    last = F.when(head == 0, F.size(n)).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(n)), F.lit(0), lambda t, i: F.when(F.element_at(n, i).isin(RANK_WORDS), t).otherwise(i)))
-    starts = F.when(F.size(n) >= F.size(q), F.sequence(F.lit(0), F.size(n) - F.size(q))).otherwise(F.array().cast("array<int>"))
-
-    def kind(s: Column) -> Column:
-        whole = F.forall(F.sequence(F.lit(1), F.size(q)), lambda j: same_plural(F.element_at(n, s + j), F.element_at(q, j)))
-        part = F.forall(F.sequence(F.lit(1), F.size(q)), lambda j: F.when(j < F.size(q), same_plural(F.element_at(n, s + j), F.element_at(q, j))).otherwise(F.startswith(F.element_at(n, s + j), F.element_at(q, j))))
-        return F.when(whole & (s + F.size(q) == last), HEAD).when(whole, TOKEN).when(part, PREFIX).otherwise(NONE)
-
-    best = F.array_min(F.concat(F.transform(starts, kind), F.array(F.lit(NONE))))
-    return F.when((F.size(q) == 0) | name.isNull(), NONE).when(F.lower(F.trim(name)) == F.lower(F.trim(query)), EXACT).otherwise(best)
-
-
 def corpus(nodes: DataFrame, synonyms: DataFrame, aliases: DataFrame, broken: DataFrame, second: DataFrame) -> DataFrame:
     """All names (idx, kind, name), later corpora without what earlier ones said."""
     sci = nodes.where("name IS NOT NULL").select("idx", F.lit(0).cast("long").alias("kind"), "name")

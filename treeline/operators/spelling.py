@@ -50,6 +50,37 @@ def osa(a: Column, b: Column) -> Column:
     return F.when(la == 0, lb).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(la, F.lit(1))), start, row, lambda t: F.element_at(t["last"], -1)))
 
 
+def within(a: Column, b: Column, cap: Column) -> Column:
+    """``osa`` where it is at most ``cap`` (1 or 2), else more than ``cap``.
+
+    Only the 2 * cap + 1 cells about the diagonal are made: cell k of row i stands
+    for the first i letters of a and the first i - cap + k of b.  A row without
+    a cell up to the cap ends the work; the rows after it are passed over.
+    """
+    la, lb, far = F.length(a), F.length(b), cap + 1
+    letter = lambda s, i: F.substring(s, i, F.lit(1))
+    inside = lambda j: (j >= 0) & (j <= lb)
+    first = F.transform(F.sequence(F.lit(0), 2 * cap), lambda k: F.when(inside(k - cap), F.least(k - cap, far)).otherwise(far))
+    start = F.struct(first.alias("back"), first.alias("last"))
+
+    def row(t: Column, i: Column) -> Column:
+        def cell(made: Column, k: Column) -> Column:
+            j = i - cap + k
+            same = letter(a, i) == letter(b, j)
+            above = F.coalesce(F.get(t["last"], k + 1), far) + 1
+            left = F.coalesce(F.get(made, F.size(made) - 1), far) + 1
+            base = F.least(above, left, F.get(t["last"], k) + F.when(same, 0).otherwise(1))
+            swap = (i > 1) & (j > 1) & (letter(a, i) == letter(b, j - 1)) & (letter(a, i - 1) == letter(b, j))
+            value = F.when(j == 0, i).when(swap, F.least(base, F.get(t["back"], k) + 1)).otherwise(base)
+            return F.concat(made, F.array(F.when(inside(j), F.least(value, far)).otherwise(far)))
+
+        now = F.aggregate(F.sequence(F.lit(0), 2 * cap), F.array().cast("array<int>"), cell)
+        return F.when(F.array_min(t["last"]) > cap, t).otherwise(F.struct(t["last"].alias("back"), now.alias("last")))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.greatest(la, F.lit(1))), start, row, lambda t: F.get(t["last"], lb - la + cap))
+    return F.when(la == 0, lb).when(F.abs(la - lb) > cap, far).otherwise(end)
+
+
 def correct_words(asked: DataFrame, idx: DataFrame) -> DataFrame:
     """(word, fixed): known, short and unmatched words have no row; the nearest
     indexed word of the same key within the cap, then most frequent, shortest."""
@@ -57,7 +88,7 @@ def correct_words(asked: DataFrame, idx: DataFrame) -> DataFrame:
     new = asked.select("word").distinct().where(F.length("word") >= CORRECTED).join(idx.select("word"), "word", "left_anti")
     near = new.withColumn("key", phonetic(F.col("word"))).join(idx.select("key", F.col("word").alias("other"), "n"), "key")
     fold = lambda c: F.regexp_replace(c, "ph", "f")
-    some = near.where(F.abs(F.length("word") - F.length("other")) <= 3).withColumn("d", osa(fold(F.col("word")), fold(F.col("other")))).where(F.col("d") <= cap)
+    some = near.withColumn("d", within(fold(F.col("word")), fold(F.col("other")), cap)).where(F.col("d") <= cap)
     return some.groupBy("word").agg(F.min(F.struct("d", (-F.col("n")).alias("m"), F.length("other").alias("l"), "other")).alias("b")).select("word", F.col("b.other").alias("fixed"))
 
 

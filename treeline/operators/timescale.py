@@ -179,16 +179,15 @@ def oklch(lab: list[Column]) -> list[Column]:
     return [lab[0], F.hypot(lab[1], lab[2]), F.when(hue < 0, hue + 360).otherwise(hue)]
 
 
-def sibling_drift(scale: DataFrame, most: int = 64) -> DataFrame:
+def sibling_drift(scale: DataFrame) -> DataFrame:
     """(parent, drift): how far the distances of dimmed siblings are from ``DIM_K``
-    times the plain ones, at most. scale: (id, parent, l, a, b, dl, da, db). Siblings
-    of a scale are few; over ``most`` the pairs of neighbours by id are compared."""
-    w = Window.partitionBy("parent").orderBy("id")
-    n = scale.withColumn("n", F.count("*").over(Window.partitionBy("parent"))).withColumn("k", F.row_number().over(w))
-    apart = F.when(F.col("n") > most, 1).otherwise(F.col("n") - 1)
-    near = n.select("parent", F.col("id").alias("id2"), *[F.col(c).alias(f"{c}2") for c in ("l", "a", "b", "dl", "da", "db")], F.col("k").alias("k2"))
-    steps = n.withColumn("k2", F.explode(F.when(F.col("k") < F.col("n"), F.sequence(F.col("k") + 1, F.least(F.col("k") + apart, F.col("n")))).otherwise(F.array().cast("array<int>"))))
-    j = steps.join(near, ["parent", "k2"])
+    times the plain ones, at most, over every two siblings (parents with two or
+    more). scale: (id, parent, l, a, b, dl, da, db). Siblings of one colour count
+    once; what two tell is reduced to their parent's maximum where it is made."""
+    colours = ["l", "a", "b", "dl", "da", "db"]
+    several = scale.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select("parent")
+    own = scale.join(several, "parent", "left_semi").select("parent", *colours).distinct()
+    j = own.join(own.select("parent", *[F.col(c).alias(f"{c}2") for c in colours]), "parent")
     d = lambda x, y, z: F.sqrt((F.col(x) - F.col(f"{x}2")) ** 2 + (F.col(y) - F.col(f"{y}2")) ** 2 + (F.col(z) - F.col(f"{z}2")) ** 2)
     return j.groupBy("parent").agg(F.round(F.max(F.abs(d("dl", "da", "db") - DIM_K * d("l", "a", "b"))), 6).alias("drift"))
 

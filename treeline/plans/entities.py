@@ -342,7 +342,7 @@ def _(s, d):
 @query("spelling_correct", f"""WITH wd AS (SELECT DISTINCT p_type, unnest(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS word FROM part), ix AS (SELECT word, count(DISTINCT p_type) AS n, replace(word, 'ph', 'f') AS x FROM wd WHERE length(word) >= 4 GROUP BY word), ky AS (SELECT word, n, {KEYED} AS key FROM ix),
  wr AS (SELECT DISTINCT word[1] || regexp_replace(word[2:], '^([^aeiou]*)[aeiou]', '\\1y') AS bad FROM ix WHERE length(word) >= 6 UNION SELECT DISTINCT word[1] || regexp_replace(word[2:], '^([^aeiou]*)([aeiou])', '\\1\\2\\2') FROM ix WHERE length(word) >= 6),
  nw AS (SELECT bad, {KEYED} AS key FROM (SELECT bad, replace(bad, 'ph', 'f') AS x FROM wr) WHERE bad NOT IN (SELECT word FROM ix)),
- nr AS (SELECT nw.bad, ky.word, ky.n, damerau_levenshtein(replace(nw.bad, 'ph', 'f'), replace(ky.word, 'ph', 'f')) AS d FROM nw JOIN ky USING (key) WHERE abs(length(nw.bad) - length(ky.word)) <= 3),
+ nr AS (SELECT nw.bad, ky.word, ky.n, damerau_levenshtein(replace(nw.bad, 'ph', 'f'), replace(ky.word, 'ph', 'f')) AS d FROM nw JOIN ky USING (key)),
  bs AS (SELECT bad, word FROM (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY d, n DESC, length(word), word) AS k FROM nr WHERE d <= CASE WHEN length(bad) >= 10 THEN 2 ELSE 1 END) WHERE k = 1)
  SELECT bad || ' steel' AS query, word || ' steel' AS fixed FROM bs""")
 def _(s, d):
@@ -454,8 +454,3 @@ def _(s, d):
 def _(s, d):
     w = rows(s, d, "SELECT event_id AS pos, concat('k', event_id % 40) AS key FROM {events}")
     return serving.enqueue(w, w.where("key IN ('k1', 'k2')"), w.where("key = 'k3'"))
-
-
-#: Other names of three queries, from when they also had a form over part of their rows.
-for _name in ("seed_cascade", "rank_fallback", "homonym_agreement"):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

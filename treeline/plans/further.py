@@ -447,11 +447,11 @@ def _(s, d):
     return _lab(s, d).select("id", (F.round(light, 5) + 0.0).alias("l"), F.round(chroma, 5).alias("c"), F.when(chroma > 0.001, F.round(hue, 2)).otherwise(0.0).alias("h"))
 
 
-@query("sibling_drift", f"""WITH {OK_SQL}, k AS (SELECT id, id // 10 AS parent, l, a, b, least(greatest(0.32 + (l - 0.72) * 0.22, 0.24), 0.40) AS dl, a * CASE WHEN sqrt(a * a + b * b) > 0 THEN least(sqrt(a * a + b * b), 0.06) / sqrt(a * a + b * b) ELSE 0 END AS da, b * CASE WHEN sqrt(a * a + b * b) > 0 THEN least(sqrt(a * a + b * b), 0.06) / sqrt(a * a + b * b) ELSE 0 END AS db FROM ok)
+@query("sibling_drift", f"""WITH {OK_SQL}, k AS (SELECT id, id // 200 AS parent, l, a, b, least(greatest(0.32 + (l - 0.72) * 0.22, 0.24), 0.40) AS dl, a * CASE WHEN sqrt(a * a + b * b) > 0 THEN least(sqrt(a * a + b * b), 0.06) / sqrt(a * a + b * b) ELSE 0 END AS da, b * CASE WHEN sqrt(a * a + b * b) > 0 THEN least(sqrt(a * a + b * b), 0.06) / sqrt(a * a + b * b) ELSE 0 END AS db FROM ok)
  SELECT CAST(x.parent AS BIGINT) AS parent, round(max(abs(sqrt((x.dl - y.dl) ** 2 + (x.da - y.da) ** 2 + (x.db - y.db) ** 2) - 0.22 * sqrt((x.l - y.l) ** 2 + (x.a - y.a) ** 2 + (x.b - y.b) ** 2))), 6) AS drift FROM k x JOIN k y ON x.parent = y.parent AND x.id < y.id GROUP BY x.parent""")
 def _(s, d):
     dim = timescale.dim([F.col(c) for c in "lab"])
-    c = _lab(s, d).withColumn("parent", F.expr("id div 10"))
+    c = _lab(s, d).withColumn("parent", F.expr("id div 200"))
     return timescale.sibling_drift(c.select("id", "parent", "l", "a", "b", dim[0].alias("dl"), dim[1].alias("da"), dim[2].alias("db")))
 
 

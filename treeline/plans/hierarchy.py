@@ -387,8 +387,3 @@ def _(s, d):
  SELECT attach, count(*) FILTER (NOT dated OR k <= 8) AS shown, count(*) AS total, coalesce(string_agg(name, ', ' ORDER BY k) FILTER (dated AND k <= 8), '') AS placed, coalesce(string_agg(name, ', ' ORDER BY k) FILTER (NOT dated AND k <= 5), '') || CASE WHEN count(*) FILTER (NOT dated AND k > 5) > 0 THEN ' and ' || count(*) FILTER (NOT dated AND k > 5) || ' more' ELSE '' END AS listed FROM r GROUP BY attach""")
 def _(s, d):
     return layout.lane(rows(s, d, i.FACTS), "attach", [F.desc("n_occs"), "fact"], F.col("fact") % 3 != 0)
-
-
-#: Other names of three queries, from when they also had a form over part of their rows.
-for _name in ("forward_closure", "mrca", "young_ends"):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

@@ -249,7 +249,3 @@ def _(s, d):
     t = s.sql("SELECT t.* FROM _turtle_extract, LATERAL turtle(value) t")
     ns = "http://x.example/"
     return turtle.one(t, ns + "label", "label", "en").join(turtle.bounds(t, ns + "begin", ns + "value", ns + "error", "begin"), "subject").select("subject", "label", "begin")
-
-
-#: Another name, from when the query also had a form over part of its rows.
-QUERIES["sibling_colours_whole"], ORACLES["sibling_colours_whole"] = QUERIES["sibling_colours"], ORACLES["sibling_colours"]
