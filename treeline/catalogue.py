@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import entities, further, hierarchy, timeline
+from .plans import entities, further, hierarchy, served, timeline
 
-QUERIES: dict = hierarchy.QUERIES | entities.QUERIES | timeline.QUERIES | further.QUERIES
-ORACLES: dict[str, str] = hierarchy.ORACLES | entities.ORACLES | timeline.ORACLES | further.ORACLES
+QUERIES: dict = hierarchy.QUERIES | entities.QUERIES | timeline.QUERIES | further.QUERIES | served.QUERIES
+ORACLES: dict[str, str] = hierarchy.ORACLES | entities.ORACLES | timeline.ORACLES | further.ORACLES | served.ORACLES

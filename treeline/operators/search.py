@@ -78,7 +78,7 @@ def signals(nodes: DataFrame, images: DataFrame | None = None, tiers: DataFrame
 
 
 #: Rows that a prefix scan keeps for each spelling, broken names that an answer explains.
-PER_SPELLING, EXPLAINED = 60, 2
+PER_SPELLING, EXPLAINED = 128, 2
 
 
 def spellings(query: str) -> list[str]:

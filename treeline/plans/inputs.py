@@ -6,11 +6,13 @@ table), so that a query's operators and its oracle start from the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tree as trees
-from ..runtime import materialise
+from ..runtime import materialise, shared_dir
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 T = 1_000_000_000_000
@@ -63,7 +65,7 @@ SELECT DISTINCT year(o_orderdate) * 100 AS id, CAST(NULL AS BIGINT) AS parent, '
 UNION ALL SELECT DISTINCT year(o_orderdate) * 100 + 20 + quarter(o_orderdate), year(o_orderdate) * 100, 'quarter', CAST((1999 - year(o_orderdate)) * 12 - quarter(o_orderdate) * 3 + 3 AS DOUBLE), CAST((1999 - year(o_orderdate)) * 12 - quarter(o_orderdate) * 3 AS DOUBLE) FROM {orders}
 UNION ALL SELECT DISTINCT year(o_orderdate) * 100 + month(o_orderdate), year(o_orderdate) * 100 + 20 + quarter(o_orderdate), 'month', CAST((1999 - year(o_orderdate)) * 12 - month(o_orderdate) + 1 AS DOUBLE), CAST((1999 - year(o_orderdate)) * 12 - month(o_orderdate) AS DOUBLE) FROM {orders}"""
 
-_made: dict[tuple, DataFrame] = {}
+_made: dict[tuple, DataFrame | str] = {}
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -81,6 +83,16 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _made[key]
 
 
+def _once_path(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """A folder in the shared place that ``write`` has filled, once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        path = f"{shared_dir(spark)}/treeline-{uuid.uuid4().hex}"
+        write(path)
+        _made[key] = path
+    return _made[key]
+
+
 def _longs(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "bigint", "decimal(20,0)") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
 
