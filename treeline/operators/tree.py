@@ -1,9 +1,11 @@
 """Rooted trees: lineages, closure, preorder numbers, metrics, forwards.
 
-A tree is a table (id, parent, ...); the root's parent is null.  ``lineages``
-joins every id with the array of its ancestors, itself first; everything else is
-one aggregate over the exploded lineages (the closure), so no operator walks the
-tree on the driver and none needs a global sort.
+A tree is a table (id, parent, ...); the root's parent is null.  Sizes, depths and
+positions come from pointer doubling: a round adds what a node's pointer has
+gathered and doubles how far it points, so rounds grow as the logarithm of the
+depth and every table has one row a node.  Once nodes are numbered, sums over
+subtrees are differences of running sums.  ``lineages`` joins every id with the array
+of its ancestors, for selections.  No operator walks the tree on the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import counted, materialise
 
 
 def lineages(tree: DataFrame, most: int = 4096) -> DataFrame:
@@ -34,26 +36,80 @@ def closure(tree: DataFrame) -> DataFrame:
     return tree.select("id", F.posexplode("lineage").alias("hops", "anc")).withColumn("hops", F.col("hops").cast("long"))
 
 
+def doubled(tree: DataFrame, up: str | None, down: str | None = None, most: int = 4096) -> DataFrame:
+    """(id, depth, above, below): the number of proper ancestors, the sum of column
+    ``up`` over a node and its ancestors, and of ``down`` over it and all below it.
+
+    ``jump`` is the ancestor 2^k steps up.  Until it is passed, ``above`` and ``depth``
+    stop short of it, and ``below`` covers what lies less than 2^k steps down; a
+    round joins each with the jump's.  A parent that isn't in the table ends the
+    chain.  Cycles are an error.
+    """
+    zero = F.lit(0).cast("long")
+
+    def step(state: DataFrame) -> DataFrame:
+        far = state.select(F.col("id").alias("_at"), (F.col("depth") + 1).alias("_depth"), F.col("above").alias("_above"), F.col("jump").alias("_jump"))
+        moved = state.join(far, state["jump"] == far["_at"], "left")
+        if down:
+            gathered = state.where("jump IS NOT NULL").groupBy(F.col("jump").alias("_to")).agg(F.sum("below").alias("_below"))
+            moved = moved.join(gathered, moved["id"] == gathered["_to"], "left").withColumn("below", F.col("below") + F.coalesce("_below", zero))
+        more = [(F.col(c) + F.coalesce(f"_{c}", zero)).alias(c) for c in ("depth", "above")]
+        return moved.select("id", F.col("_jump").alias("jump"), *more, "below")
+
+    state, open_ = counted(tree.select("id", F.col("parent").alias("jump"), zero.alias("depth"), *[(F.col(c).cast("long") if c else zero).alias(n) for c, n in ((up, "above"), (down, "below"))]), "jump IS NOT NULL")
+    steps = 1
+    while open_:
+        if steps > most:
+            raise ValueError(f"a chain is longer than {most}; the parents hold a cycle")
+        state, open_ = counted(step(step(state)), "jump IS NOT NULL")  # two steps to a written table
+        steps *= 4
+    return state.drop("jump")
+
+
+def running(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """Add ``before``: the sum of ``value`` over the earlier rows of a row's group, in a
+    total order.  Rows are sorted by ranges of (group, order); a group that spans
+    several ranges, as a large one does, adds the sums of its earlier ranges."""
+    by = [*group, *order]
+    ranged = materialise(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range", *group).agg(F.sum(value).alias("_sum"))
+    whole = Window.partitionBy(*group)
+    spans = sums.withColumn("_n", F.count("*").over(whole)).where("_n > 1")  # at most two groups a range
+    start = spans.select("_range", *group, F.coalesce(F.sum("_sum").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    j = ranged.withColumn("before", own).join(F.broadcast(start), ["_range", *group], "left")
+    return j.withColumn("before", (F.col("before") + F.coalesce("_start", F.lit(0))).cast("long")).drop("_range", "_start")
+
+
 def preorder(tree: DataFrame, key: str = "id") -> DataFrame:
-    """Add ``idx``, ``size``, ``depth``: a node's preorder number is the sum, over
-    itself and its proper ancestors below the root, of one plus the sizes of the
-    earlier siblings (by ``key``)."""
-    pairs = closure(tree)
-    size = pairs.groupBy(F.col("anc").alias("id")).agg(F.count("*").alias("size"))
-    earlier = Window.partitionBy("parent").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    sized = tree.select("id", "parent", key).join(size, "id") if key != "id" else tree.select("id", "parent").join(size, "id")
-    shift = sized.where("parent IS NOT NULL").select(F.col("id").alias("anc"), (F.coalesce(F.sum("size").over(earlier), F.lit(0)) + 1).alias("shift"))
-    idx = pairs.join(shift, "anc", "left").groupBy("id").agg(F.coalesce(F.sum("shift"), F.lit(0)).alias("idx"))
-    return tree.join(idx, "id").join(size, "id").withColumn("depth", (F.size("lineage") - 1).cast("long"))
+    """Add ``idx``, ``size``, ``depth``.
+
+    A node's number is the sum, over itself and its proper ancestors below the root,
+    of one plus the sizes of the earlier siblings (by ``key``), which are running sums
+    by parent; no group of siblings has to fit a task.
+    """
+    measured = doubled(tree.withColumn("_one", F.lit(1)), None, "_one").select("id", "depth", F.col("below").alias("size"))
+    some = tree.select(*dict.fromkeys(["id", "parent", key])).join(measured, "id")
+    sums = running(some.where("parent IS NOT NULL"), ["parent"], list(dict.fromkeys([key, "id"])), "size")
+    shift = some.where("parent IS NULL").select("id", "parent", F.lit(0).alias("_shift")).unionByName(sums.select("id", "parent", (F.col("before") + 1).alias("_shift")))
+    idx = doubled(shift, "_shift").select("id", F.col("above").alias("idx"))
+    return tree.join(idx, "id").join(measured, "id")
+
+
+def subtree_sums(tree: DataFrame, value: str, name: str) -> DataFrame:
+    """(id, name): the sum of ``value`` over each node of a numbered tree and all below it:
+    what a running sum by position gains over the node's interval."""
+    sums = materialise(running(tree.select("id", "idx", "size", F.col(value).cast("long").alias("_value")), [], ["idx"], "_value"))
+    last = sums.select((F.col("idx")).alias("_end"), (F.col("before") + F.col("_value")).alias("_upto"))
+    return sums.join(last, F.col("idx") + F.col("size") - 1 == F.col("_end")).select("id", (F.col("_upto") - F.col("before")).alias(name))
 
 
 def metrics(tree: DataFrame) -> DataFrame:
     """(id, child_count, is_tip, tip_count, subtree_out) of a numbered tree."""
     children = tree.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("child_count"))
-    base = tree.select("id", "idx", "size", "lineage").join(children, "id", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
-    tips = base.where("child_count = 0").select(F.explode("lineage").alias("id")).groupBy("id").agg(F.count("*").alias("tip_count"))
-    out = base.join(tips, "id", "left")
-    return out.select("id", "child_count", (F.col("child_count") == 0).alias("is_tip"), "tip_count", (F.col("idx") + F.col("size")).alias("subtree_out"))
+    base = tree.select("id", "idx", "size").join(children, "id", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+    tips = subtree_sums(base.withColumn("_tip", F.col("child_count") == 0), "_tip", "tip_count")
+    return base.join(tips, "id").select("id", "child_count", (F.col("child_count") == 0).alias("is_tip"), "tip_count", (F.col("idx") + F.col("size")).alias("subtree_out"))
 
 
 def profile(tree: DataFrame, measured: DataFrame) -> DataFrame:

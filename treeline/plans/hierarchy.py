@@ -30,7 +30,7 @@ SEL = f"sel AS (SELECT DISTINCT x.id FROM ({duck(i.CHOSEN)}) x JOIN t ON x.id =
 
 @query("tree_preorder", f"{DUCK_TREE} SELECT id, idx, depth, size FROM m")
 def _(s, d):
-    return tree(s, d).select("id", "idx", "depth", "size")
+    return i.numbered(s, d).select("id", "idx", "depth", "size")
 
 
 @query("tree_metrics", f"{DUCK_TREE} SELECT id, child_count, child_count = 0 AS is_tip, tip_count, idx + size AS subtree_out FROM m")
@@ -42,7 +42,7 @@ def _(s, d):
  round(avg(depth) FILTER (child_count = 0), 6) AS mean_depth, max(depth) FILTER (child_count = 0) AS max_depth, max(child_count) AS max_children,
  count(*) FILTER (child_count = 1) AS unary, count(*) FILTER (child_count > 2) AS polytomies FROM m""")
 def _(s, d):
-    return trees.profile(tree(s, d), measured(s, d))
+    return trees.profile(i.numbered(s, d), measured(s, d))
 
 
 @query("tree_invariants", f"""{DUCK_TREE}, x AS (SELECT id, parent, CASE WHEN id % 50 = 3 THEN idx + 7 ELSE idx END AS idx, CASE WHEN id % 70 = 4 THEN depth + 1 ELSE depth END AS depth, idx + CASE WHEN id % 90 = 6 THEN 3 ELSE 0 END + size AS stop, child_count, CASE WHEN id % 40 = 9 THEN 2 ELSE tip_count END AS tip_count FROM m),

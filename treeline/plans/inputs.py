@@ -97,13 +97,18 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "bigint", "decimal(20,0)") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geographic tree with idx, size and depth; written once."""
+    return _once(spark, sf_dir, "numbered tree", lambda: trees.preorder(_longs(frame(spark, sf_dir, TREE))))
+
+
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The geographic tree with lineage, idx, size and depth; written once."""
-    return _once(spark, sf_dir, "tree", lambda: trees.preorder(trees.lineages(_longs(frame(spark, sf_dir, TREE)))))
+    """The numbered tree with every node's lineage; written once."""
+    return _once(spark, sf_dir, "tree", lambda: trees.lineages(numbered(spark, sf_dir)))
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "measured", lambda: trees.metrics(tree(spark, sf_dir)))
+    return _once(spark, sf_dir, "measured", lambda: trees.metrics(numbered(spark, sf_dir)))
 
 
 def full(spark: SparkSession, sf_dir: str) -> DataFrame:
