@@ -56,12 +56,19 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     similarity 0.8).
 
     Texts without words stay; of equal texts under different ids the least id
-    stays; rows that repeat one id stay together; rows without an id stay; other
-    columns pass through whatever their names; an empty table stays empty.
+    stays; rows that repeat an id and its text stay together; where an id has several
+    texts each is judged by itself, and stands before the ids with one text; rows
+    without an id stay; other columns pass through whatever their names; an empty
+    table stays empty.
     """
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
-    gone = materialise(found.where("NOT kept").select("doc_id").distinct())
-    return docs.join(small(gone, 500_000), "doc_id", "left_anti").select(*docs.columns)
+    plain, mark = _plain(docs), F.xxhash64("text")
+    ids = plain.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_of")).agg(F.min(mark).alias("_low"), F.max(mark).alias("_high"))
+    several = materialise(ids.where("_low <> _high").select("_of"))
+    other = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)) - F.lit(1 << 62)  # below all ids in use
+    keyed = plain.join(small(several), F.col("doc_id") == F.col("_of"), "left").withColumn("_row_id", F.when(F.col("_of").isNotNull(), other).otherwise(F.col("doc_id"))).drop("_of")
+    found = neardup.near_duplicates(keyed.select("_row_id", "text"), key="_row_id", shingle=5, percent=80)
+    gone = materialise(found.where("NOT kept").select(F.col("_row_id").alias("_gone")).distinct())
+    return _like(keyed.join(small(gone, 500_000), F.col("_row_id") == F.col("_gone"), "left_anti"), docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

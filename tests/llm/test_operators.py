@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -173,6 +174,16 @@ def test_html_deep_and_long(spark):
     assert got[1] == 200_000 * 5 - 1 and got[2] in (0, 22)
 
 
+def test_html_nesting_takes_linear_time():
+    for page, want in [("<div>" * 100_000 + "Inner" + "</div>" * 100_000, 1), ("<div>t" * 20_000 + "</q></table></nav>" * 20_000, 20_000), ("".join(f"<div class=c{k}>t" for k in range(10_000)), 10_000)]:
+        start = time.process_time()
+        found = html_text.blocks(page)
+        assert len(found) == want and time.process_time() - start < 5 and max(len(p) for p, _, _ in found) <= html_text.LONGEST
+    assert html_text.blocks("<div><p>a</b></div></div>b<nav>c")[-1] == (("nav",), "c", 0)
+    wide = "".join(f"<div class=c{k}>" for k in range(2_000)) + "<nav>x"
+    assert "nav" in html_text.blocks(wide)[0][0]
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
@@ -626,3 +637,23 @@ def test_toxicity(spark):
     assert sum((out[i] >= 0.5) == (i % 4 == 0) for i in fresh) >= 0.95 * len(fresh)
     assert out[400] == out[401] and out[402] == out[0] and 0 <= min(out.values()) and max(out.values()) <= 1
     assert {r["score"] for r in toxicity.toxicity(df, lab.limit(0), F.lit(True)).collect()} == {0.0}
+
+
+def test_a_language_threshold_has_no_least_number_of_rows():
+    net = toxicity.Network(np.zeros(0, np.int64), np.zeros(0))
+    cut = lambda n: (np.concatenate([np.full(n, 5.0), np.full(n, 4.0), np.full(60, 1.0), np.full(60, -1.0)]), np.array([1, 0] * 0 + [1] * n + [0] * n + [1] * 60 + [0] * 60), np.array([0] * (2 * n) + [1] * 120))
+    found = []
+    for n in (1, 5, 9, 10, 11, 40):
+        z, y, lang = cut(n)
+        net.calibrate(z, y, lang)
+        overall = toxicity._threshold(z, y)
+        assert net.limit[0] == pytest.approx(overall + n / (n + toxicity.PRIOR) * (4.5 - overall))
+        found.append(net.limit[0])
+    assert found == sorted(found)
+
+
+def test_sample_takes_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "b words"), (1, "a words"), (1, "a words"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    texts, y, _ = toxicity.labelled_sample(docs, labels, F.lit(True))
+    assert [len(t) for t in texts] == [2, 1] and y.tolist() == [1, 0]

@@ -128,3 +128,14 @@ def test_odd_rows(spark, sf, name):
     else:
         texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in got}
         assert texts[7][0].endswith("Mail [EMAIL] now.") and texts[7][1] == len(texts[7][0]) and texts[1] == (None, None) and texts[2] == ("", 0)
+
+
+def test_one_id_with_several_texts(spark, sf):
+    """Only the text that is a copy goes, not what shares its id."""
+    prose = "The quick brown fox jumps over the lazy dog and runs far away from here to there."
+    own, more = prose.replace("fox", "cat").upper(), "Another text that nobody else has written before, with words of its own and no copy at all."
+    rows = [(3, prose), (7, prose), (7, more), (8, own), (9, own), (9, own), (None, prose), (5, None), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in STAGES["MinHash near-dedup"](spark, df, sf).collect()), key=str)
+    assert (7, more) in got and sum(t == prose for i, t in got if i) == 1 and [i for i, t in got if t == own] == [8]
+    assert (5, None) in got and (5, "") in got and (None, prose) in got

@@ -61,6 +61,7 @@ PAGES, MADE = 300, 700
 #: Marks main text of generated pages (a private-use character).
 TRUE = "\ue000"
 TOKENS, PATH, WORDS, FIGURES, HIDDEN = 1024, 16, 8, 5, 12
+LONGEST = 1000  # distinct tokens of a path
 EPOCHS, BATCH, WINDOW = 14, 32, 64
 
 
@@ -77,7 +78,16 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def _after_foreign(page: str, at: int, name: str, stack: list[tuple[str, tuple[str, ...]]]) -> int:
+def _grown(path: tuple[str, ...], own: tuple[str, ...]) -> tuple[str, ...]:
+    """A path holds each token once, so that it is as long as its tokens are many, not
+    as its elements are deep; past ``LONGEST`` only tokens that tell parts are added."""
+    new = [t for t in dict.fromkeys(own) if t not in path]
+    if len(path) + len(new) > LONGEST:
+        new = [t for t in new if t in MAIN or t in OTHER]
+    return (*path, *new) if new else path
+
+
+def _after_foreign(page: str, at: int, name: str, around: Counter) -> int:
     """Where a foreign element that is open at ``at`` ends: after its end tag, or
     without one before its parent's end tag or a start tag that can't be in it."""
     opened = Counter([name])
@@ -91,7 +101,7 @@ def _after_foreign(page: str, at: int, name: str, stack: list[tuple[str, tuple[s
                 opened[tag] -= 1
                 if tag == name and not opened[tag]:
                     return at
-            elif tag in INLINE or tag in ("p", "br") or any(tag == open_ for open_, _ in stack):
+            elif tag in INLINE or tag in ("p", "br") or around[tag]:
                 return m.start()
         elif tag in BREAKOUT and not any(opened[x] for x in HOLDS):
             return m.start()
@@ -101,9 +111,14 @@ def _after_foreign(page: str, at: int, name: str, stack: list[tuple[str, tuple[s
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path tokens, text, characters in links) of every leaf block, in order."""
+    """(distinct path tokens, text, characters in links) of every leaf block, in order.
+
+    The time is linear in the page: open names are counted, so an end tag that
+    closes nothing is passed over at once, and each element is popped once.
+    """
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    around: Counter = Counter()
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -133,16 +148,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 parts.append(" ")
             elif name not in INLINE and name not in VOID:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while around[name]:
+                    last, _ = stack.pop()
+                    around[last] -= 1
+                    if last == name:
                         break
         elif name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name in FOREIGN:
             if not m[3].endswith("/"):
-                at = _after_foreign(page, at, name, stack)
+                at = _after_foreign(page, at, name, around)
         elif name == "a":
             in_link += 1
         elif name in VOID:
@@ -154,10 +170,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             flush()
             in_link = 0
             while stack and stack[-1][0] in CLOSES.get(name, ()):
-                stack.pop()
+                around[stack.pop()[0]] -= 1
             if stack and stack[-1][0] == "p" and name not in ("p", "object", "canvas"):
-                stack.pop()
-            stack.append((name, (stack[-1][1] if stack else ()) + _tokens(name, m[3])))
+                around[stack.pop()[0]] -= 1
+            stack.append((name, _grown(stack[-1][1] if stack else (), _tokens(name, m[3]))))
+            around[name] += 1
     parts.append(page[at:])
     flush()
     return out
