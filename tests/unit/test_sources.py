@@ -1,7 +1,9 @@
 """Sources read from small files, escapes and sizes worked by hand."""
 
 import io
+import itertools
 import json
+import random
 import zipfile
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline.operators import gates
-from treeline.sources import tables, turtle
+from treeline.sources import newick, tables, turtle
 
 
 def test_delimited(spark, tmp_path):
@@ -80,3 +82,47 @@ def test_turtle_escapes():
     assert told(r"café \U0001F600 \t \" \\") == 'café 😀 \t " \\'
     with pytest.raises(ValueError, match="unknown escape"):
         told(r"\q")
+
+
+def _random_tree(rng, n):
+    kids: dict = {}
+    for i in range(1, n):
+        kids.setdefault(rng.randrange(max(0, i - rng.choice([1, 3, 50])), i), []).append(i)
+
+    def text(i):
+        label = rng.choice(["", f"n{i}", f"Homo x_ott{i}", f"mrcaott1ott{i}", f"a:b:{i}.5", "q:x", f" sp{i} :1e-3"])
+        return ("(" + ",".join(text(k) for k in kids[i]) + ")" if i in kids else "") + label
+
+    return text(0) + ";"
+
+
+@pytest.fixture
+def short_ranges(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "40")
+    spark.conf.set(names[1], "0")
+    yield
+    for n, v in old.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("nodes,files", [(1, 1), (90, 1), (60, 4)])
+def test_newick_by_ranges(spark, short_ranges, tmp_path, nodes, files):
+    """Ranges of 40 bytes cut labels and brackets anywhere, and files end within them."""
+    rng = random.Random(nodes + files)
+    text = "\n " + _random_tree(rng, nodes)
+    ends = [0, *sorted(rng.sample(range(1, len(text)), files - 1)), len(text)]
+    for i, (a, b) in enumerate(itertools.pairwise(ends)):
+        (tmp_path / f"part-{i}.txt").write_text(text[a:b] + "\n")
+    assert sorted(map(tuple, newick.read(spark, str(tmp_path)).collect())) == list(newick.parse(text))
+
+
+@pytest.mark.parametrize(
+    "text,message",
+    [("((A,B);", "unclosed"), ("(A,B));", "unbalanced"), ("('A name',B)R;", "quoted"), ("A,B;", "unbalanced"), ("", "unclosed tree"), ("(A)(B);", "opening"), ("(A,B);C", "text after"), ("(A,B)", "unclosed tree")],
+)
+def test_newick_by_ranges_refuses(spark, tmp_path, text, message):
+    (tmp_path / "t.txt").write_text(text)
+    with pytest.raises(ValueError, match=message):
+        newick.read(spark, str(tmp_path))

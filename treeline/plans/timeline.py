@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import events, gates, timescale
 from ..operators import tree as trees
+from ..runtime import shared_dir
 from ..sources import newick, turtle
 from ..streaming import ingest, settle
 from . import inputs as i
@@ -226,17 +229,13 @@ def _(s, d):
     return gates.expectations(n, n.where("id < 6").withColumn("v", F.when(F.col("id") == 3, "wrong").otherwise(F.col("v"))), "id", "v")
 
 
-@query("newick_roundtrip", f"{DUCK_TREE}, s AS (SELECT id, parent, rank, row_number() OVER (ORDER BY idx) - 1 AS idx FROM t WHERE depth <= 2) SELECT a.idx, b.idx AS parent, a.rank || '_ott' || a.id AS label, a.id AS ext_id FROM s a LEFT JOIN s b ON b.id = a.parent")
+@query("newick_roundtrip", f"{DUCK_TREE}, s AS (SELECT id, parent, rank, idx FROM t) SELECT a.idx, b.idx AS parent, a.rank || '_ott' || a.id AS label, a.id AS ext_id FROM s a LEFT JOIN s b ON b.id = a.parent")
 def _(s, d):
-    top = full(s, d).where("depth <= 2").select("id", "parent", F.concat_ws("", "rank", F.lit("_ott"), F.col("id").cast("string")).alias("label"), "lineage")
-    t = trees.preorder(top)
-    m = trees.metrics(t)
-    j = t.join(m, "id")
-    up = j.select(F.col("id").alias("parent"), F.col("subtree_out").alias("p_out"))
-    text = newick.write(j.join(up, "parent", "left").withColumn("is_last", F.col("subtree_out") == F.col("p_out")))
-    newick.register(s)
-    text.createOrReplaceTempView("_newick_roundtrip")
-    return s.sql("SELECT n.idx, n.parent, n.label, n.ext_id FROM _newick_roundtrip, LATERAL newick(value) n")
+    t = full(s, d).withColumn("label", F.concat_ws("", "rank", F.lit("_ott"), F.col("id").cast("string")))
+    up = t.select(F.col("id").alias("parent"), F.col("subtree_out").alias("p_out"))
+    path = f"{shared_dir(s)}/treeline-{uuid.uuid4().hex}"
+    newick.save(t.join(up, "parent", "left").withColumn("is_last", F.col("subtree_out") == F.col("p_out")), path)
+    return newick.read(s, path).select("idx", "parent", "label", "ext_id")
 
 
 @query("turtle_extract", "SELECT 'http://x.example/' || n_nationkey AS subject, n_name AS label, CAST(n_nationkey + 0.5 AS DOUBLE) AS begin FROM nation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A counted table of at most so many rows may be broadcast.
@@ -29,12 +29,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def counted(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
-    """``materialise``, and how many rows satisfy a condition, counted as they are written."""
+def observed(df: DataFrame, *figures: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates of the rows, taken as they are written."""
     seen = Observation()
     path = f"{shared_dir(df.sparkSession)}/treeline-{uuid.uuid4().hex}"
-    df.observe(seen, F.count_if(F.expr(condition)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    df.observe(seen, *figures).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def counted(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """``materialise``, and how many rows satisfy a condition, counted as they are written."""
+    out, seen = observed(df, F.count_if(F.expr(condition)).alias("n"))
+    return out, seen["n"]
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
