@@ -438,6 +438,21 @@ def test_lm_counts_every_triple(spark, docs):
     assert got == want
 
 
+def test_lm_means_in_levels(spark, docs, monkeypatch):
+    """Seven shards averaged two at a time in tasks and at once on the driver are one model."""
+    df, _ = docs
+    share = np.full(language_model.Classes(["the", "of"]).size, 1.0)
+    states = []
+    for fan in (2, 64):
+        monkeypatch.setattr(language_model, "FAN", fan)
+        net = language_model.LogBilinear(share / share.sum())
+        shards = language_model.triple_counts(df, "text", language_model.Classes(["the", "of"]), 7)
+        assert shards.count() == 7
+        language_model.fit_all(net, shards, 7)
+        states.append(net.state())
+    assert np.allclose(*states, atol=1e-3)
+
+
 # ---- 6
 
 

@@ -8,12 +8,13 @@ the model's outputs: the ``TOP`` most frequent words, the end token, and
 The model predicts the class of a token from the two tokens before it: its score
 is ``(p1 * R[c1] + p2 * R[c2]) . Q[w] + b[w]``.  It is fitted on the token
 triples of all training documents against noise from the unigram distribution:
-a pass counts the triples of classes, dealt by hash into ``1 + n / SHARD`` shards
-(``SHARDS`` at most, which only then grow); in each of ``EPOCHS`` rounds every shard is
-passed through from the same parameters, and the parameters are averaged by the
-shards' counts.  Shards depend on the counts alone, not on the files.  In a shard
-of over ``WHOLE`` tokens a triple stands once per ``HEAVY`` occurrences, with
-their number as its weight.  Since the score
+a pass counts the triples of classes, which are dealt by hash into ``1 + n / SHARD``
+shards; in each of ``EPOCHS`` rounds every shard is passed through from the same
+parameters, and the parameters are averaged by the shards' counts, ``FAN`` at a
+time in tasks and the last ``FAN`` on the driver.  Shards depend on the counts
+alone, not on the files, and hold about ``SHARD`` tokens each in a corpus of any
+size.  A triple of count c stands ``sqrt(c)`` times, rounded up, in its shard and
+weighs c in all.  Since the score
 is a sum of a part of c1 and a part of c2, one product of two class-by-class
 matrices gives the normaliser of every context, so every token's probability is
 exactly normalised by table look-ups.  A word of an ending class then shares the
@@ -40,12 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash64, materialise, mix64, read, segment_sum, slices, tidy, words_of
+from .common import crc_mod, hash64, materialise, read, segment_sum, slices, tidy, words_of
 
 TOP, ENDINGS, LETTERS = 1_000, 256, 2
 HEAD = 50_000
-SHARD, SHARDS = 1 << 21, 256
-WHOLE, HEAVY = 1 << 20, 16
+SHARD, FAN = 1 << 21, 64
 BUFFER = 1 << 22
 DIM, NOISE, POOL, EPOCHS, BATCH, RATE = 24, 10, 256, 3, 4096, 0.15
 END = ""  # no word is empty
@@ -190,20 +190,16 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def triple_counts(docs: DataFrame, text: str, classes: Classes, shards: int) -> DataFrame:
     """(shard, code, count), written: the distinct class triples of all rows as
-    packed numbers, in one row a shard."""
+    packed numbers, in one row a shard. Counts are summed by code before shards are
+    packed, so a shard gathers its share of the distinct codes and nothing else."""
     v = classes.size
-    names = ["shard", "code", "count"]
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             code, c = merged([x for x, _ in kept], [x for _, x in kept])
             kept.clear()
-            shard = (mix64(code) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            used, start = np.unique(shard[order], return_index=True)
-            parts = np.split(order, start[1:])
-            return pa.RecordBatch.from_arrays([pa.array(used), pa.array([code[p].tobytes() for p in parts], pa.binary()), pa.array([c[p].tobytes() for p in parts], pa.binary())], names)
+            yield from pa.table({"code": code, "c": c}).to_batches(1 << 16)
 
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
@@ -213,21 +209,33 @@ def triple_counts(docs: DataFrame, text: str, classes: Classes, shards: int) ->
             kept.append(np.unique((c2 * v + c1) * v + w, return_counts=True))
             held += len(kept[-1][0])
             if held >= BUFFER:
-                yield flush()
+                yield from flush()
                 held = 0
         if kept:
-            yield flush()
+            yield from flush()
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        code, c = merged(*[[np.frombuffer(x.as_buffer(), np.int64) for x in rows.column(n)] for n in names[1:]])
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([code.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names)
+        rows = rows.sort_by("code")
+        packed = [pa.array([rows.column(n).to_numpy().tobytes()], pa.binary()) for n in ("code", "c")]
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), *packed], ["shard", "code", "count"])
 
-    schema = "shard long, code binary, count binary"
-    return materialise(docs.select(F.col(text).alias("text")).mapInArrow(count, schema).groupBy("shard").applyInArrow(pack, schema))
+    each = docs.select(F.col(text).alias("text")).mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    dealt = each.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), "code", "c")
+    return materialise(dealt.groupBy("shard").applyInArrow(pack, "shard long, code binary, count binary"))
 
 
-def fit_all(net: LogBilinear, shards: DataFrame) -> None:
-    """Fit to all triples: rounds over every shard, then the mean by counts."""
+def mean_state(rows: pa.Table) -> tuple[int, np.ndarray]:
+    """Tokens, and the mean by tokens, of rows (shard, n, state)."""
+    rows = rows.sort_by("shard")
+    n = rows.column("n").to_numpy()
+    total: np.ndarray | float = 0.0
+    for k, state in zip(n / n.sum(), rows.column("state"), strict=True):
+        total = total + k * np.frombuffer(state.as_buffer(), np.float32)
+    return int(n.sum()), total
+
+
+def fit_all(net: LogBilinear, shards: DataFrame, n: int) -> None:
+    """Fit to all triples in ``n`` shards: rounds over every shard, then the mean by counts."""
     v = len(net.share)
 
     @tidy
@@ -236,7 +244,7 @@ def fit_all(net: LogBilinear, shards: DataFrame) -> None:
         for b in batches:
             for shard, code, count in zip(*b.columns, strict=True):
                 code, c = (np.frombuffer(x.as_buffer(), np.int64) for x in (code, count))
-                times = -(-c // HEAVY) if c.sum() > WHOLE else c
+                times = np.ceil(np.sqrt(c)).astype(np.int64)
                 at = np.repeat(np.arange(len(c), dtype=np.int32), times)
                 rows = np.stack([code // (v * v), code // v % v, code % v], axis=1).astype(np.int16)[at]
                 net.restore(start)
@@ -244,13 +252,17 @@ def fit_all(net: LogBilinear, shards: DataFrame) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([net.state().tobytes()], pa.binary())], ["shard", "n", "state"])
                 pa.default_memory_pool().release_unused()
 
+    def mean(key: tuple, rows: pa.Table) -> pa.Table:
+        tokens_, state = mean_state(rows)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([tokens_], pa.int64()), pa.array([state.astype(np.float32).tobytes()], pa.binary())], ["shard", "n", "state"])
+
+    schema = "shard long, n long, state binary"
     for turn in range(EPOCHS):
-        got = shards.mapInArrow(one_round, "shard long, n long, state binary").toArrow().sort_by("shard")
-        n = got.column("n").to_numpy()
-        total = np.zeros(net.state().size)
-        for k, state in zip(n / n.sum(), got.column("state"), strict=True):
-            total += k * np.frombuffer(state.as_buffer(), np.float32)
-        net.restore(total)
+        got, left = shards.mapInArrow(one_round, schema), n
+        while left > FAN:
+            left = -(-left // FAN)
+            got = got.groupBy(F.expr(f"shard div {FAN}").alias("shard")).applyInArrow(mean, schema)
+        net.restore(mean_state(got.toArrow())[1])
 
 
 class Model:
@@ -292,7 +304,8 @@ def learn(docs: DataFrame, usable: Column, key: str, text: str) -> tuple[Model,
     model.net = LogBilinear(share / share.sum())
 
     if n:
-        fit_all(model.net, triple_counts(training, text, classes, 1 + min(n // SHARD, SHARDS - 1)))
+        shards = 1 + n // SHARD
+        fit_all(model.net, triple_counts(training, text, classes, shards), shards)
     return model, counts
 
 
