@@ -47,7 +47,7 @@ TOP, ENDINGS, LETTERS = 1_000, 256, 2
 HEAD = 50_000
 SHARD, FAN = 1 << 21, 64
 BUFFER = 1 << 22
-DIM, NOISE, POOL, EPOCHS, BATCH, RATE = 24, 10, 256, 3, 4096, 0.15
+DIM, NOISE, POOL, EPOCHS, BATCH, STEPS, RATE = 24, 10, 256, 3, 4096, 32, 0.15
 END = ""  # no word is empty
 
 
@@ -81,9 +81,13 @@ class LogBilinear:
         self.speed = {n: np.full_like(getattr(self, n), 1e-3) for n in self.NAMES}
 
     def fit(self, triples: np.ndarray, weight: np.ndarray | None = None, seed: int = 5, epochs: int | None = None) -> None:
-        """triples: (c2, c1, w) rows; weight: how often each stands (once)."""
+        """triples: (c2, c1, w) rows; weight: how often each stands (once). A pass takes
+        ``STEPS`` steps at least, of ``BATCH`` rows at most; a row counts by its weight
+        against the mean weight of all, whichever rows share its batch."""
         rng = np.random.default_rng(seed)
         weight = np.ones(len(triples), np.float32) if weight is None else weight.astype(np.float32)
+        size = min(BATCH, max(1, len(triples) // STEPS))
+        usual = weight.mean(dtype=np.float64) if len(weight) else 1.0
         cum = np.cumsum(self.share)
         log_noise = np.log(NOISE * self.share).astype(np.float32)
 
@@ -99,10 +103,9 @@ class LogBilinear:
 
         for _ in range(EPOCHS if epochs is None else epochs):
             order = rng.permutation(len(triples))
-            for at in range(0, len(triples), BATCH):
-                c2, c1, w = triples[order[at : at + BATCH]].T
-                part = weight[order[at : at + BATCH]]
-                part = part / part.sum()
+            for at in range(0, len(triples), size):
+                c2, c1, w = triples[order[at : at + size]].T
+                part = weight[order[at : at + size]] / np.float32(usual * len(w))
                 noise = np.minimum(np.searchsorted(cum, rng.random(POOL) * cum[-1]), len(cum) - 1)  # shared by the batch
                 r1, r2 = self.context[c1], self.context[c2]
                 hidden = self.position[0] * r1 + self.position[1] * r2
@@ -261,7 +264,7 @@ def fit_all(net: LogBilinear, shards: DataFrame, n: int) -> None:
         got, left = shards.mapInArrow(one_round, schema), n
         while left > FAN:
             left = -(-left // FAN)
-            got = got.groupBy(F.expr(f"shard div {FAN}").alias("shard")).applyInArrow(mean, schema)
+            got = got.groupBy(F.expr(f"shard div {FAN}").alias("mean")).applyInArrow(mean, schema)
         net.restore(mean_state(got.toArrow())[1])
 
 
