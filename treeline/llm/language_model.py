@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash64, materialise, read, segment_sum, slices, tidy, words_of
+from .common import crc_mod, hash64, materialise, mix64, read, segment_sum, slices, tidy, words_of
 
 TOP, ENDINGS, LETTERS = 1_000, 256, 2
 HEAD = 50_000
@@ -98,8 +98,9 @@ class LogBilinear:
 
         def summed(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             order = np.argsort(rows, kind="stable")
-            used, start = np.unique(rows[order], return_index=True)
-            return used, np.add.reduceat(grad[order], start, axis=0)
+            rows = rows[order]
+            start = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+            return rows[start], np.add.reduceat(grad[order], start, axis=0)
 
         for _ in range(EPOCHS if epochs is None else epochs):
             order = rng.permutation(len(triples))
@@ -193,16 +194,25 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def triple_counts(docs: DataFrame, text: str, classes: Classes, shards: int) -> DataFrame:
     """(shard, code, count), written: the distinct class triples of all rows as
-    packed numbers, in one row a shard. Counts are summed by code before shards are
-    packed, so a shard gathers its share of the distinct codes and nothing else."""
+    packed numbers, in one row a shard. A task sends a shard one array for every
+    ``BUFFER`` triples. All arrays together have no more entries than there are
+    tokens and codes are dealt by hash, so with ``1 + n / SHARD`` shards one gathers
+    about ``SHARD`` entries of 16 bytes, however large the corpus."""
     v = classes.size
+    names = ["shard", "code", "count"]
+
+    def packed(shard: np.ndarray, code: list[np.ndarray], c: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *(pa.array([x.tobytes() for x in part], pa.binary()) for part in (code, c))], names)
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             code, c = merged([x for x, _ in kept], [x for _, x in kept])
             kept.clear()
-            yield from pa.table({"code": code, "c": c}).to_batches(1 << 16)
+            shard = (mix64(code) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            used, start = np.unique(shard[order], return_index=True)
+            return packed(used, np.split(code[order], start[1:]), np.split(c[order], start[1:]))
 
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
@@ -212,19 +222,17 @@ def triple_counts(docs: DataFrame, text: str, classes: Classes, shards: int) ->
             kept.append(np.unique((c2 * v + c1) * v + w, return_counts=True))
             held += len(kept[-1][0])
             if held >= BUFFER:
-                yield from flush()
+                yield flush()
                 held = 0
         if kept:
-            yield from flush()
+            yield flush()
 
     def pack(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("code")
-        packed = [pa.array([rows.column(n).to_numpy().tobytes()], pa.binary()) for n in ("code", "c")]
-        return pa.table([pa.array([key[0].as_py()], pa.int64()), *packed], ["shard", "code", "count"])
+        code, c = merged(*[[np.frombuffer(x.as_buffer(), np.int64) for x in rows.column(n)] for n in names[1:]])
+        return pa.Table.from_batches([packed(np.array([key[0].as_py()]), [code], [c])])
 
-    each = docs.select(F.col(text).alias("text")).mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-    dealt = each.select(F.pmod(F.xxhash64("code"), F.lit(shards)).alias("shard"), "code", "c")
-    return materialise(dealt.groupBy("shard").applyInArrow(pack, "shard long, code binary, count binary"))
+    schema = "shard long, code binary, count binary"
+    return materialise(docs.select(F.col(text).alias("text")).mapInArrow(count, schema).groupBy("shard").applyInArrow(pack, schema))
 
 
 def mean_state(rows: pa.Table) -> tuple[int, np.ndarray]:
