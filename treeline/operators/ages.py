@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
-from .tree import closure
+from ..runtime import materialise, split
+from .tree import fold_down, fold_up, in_layers
 
 MEASURED, INTERPOLATED, STRUCTURAL, OCCURRENCE = 0, 1, 2, 3
 PRESENT = 1e-3
@@ -18,13 +18,14 @@ PRESENT = 1e-3
 
 def node_ages(tree: DataFrame, lengths: DataFrame) -> DataFrame:
     """(id, oldest, youngest): greatest and least distance to a tip beneath; equal
-    on an ultrametric tree. lengths: (id, length) of the branch above each node."""
-    pairs = closure(tree)
-    far = pairs.join(lengths.withColumnRenamed("id", "anc"), "anc").groupBy("id").agg(F.sum(F.coalesce("length", F.lit(0.0))).alias("d"))
-    parents = tree.where("parent IS NOT NULL").select(F.col("parent").alias("id")).distinct()
-    tips = far.join(parents, "id", "left_anti").withColumnRenamed("d", "tip_d")
-    below = pairs.join(tips, "id").groupBy(F.col("anc").alias("id")).agg(F.max("tip_d").alias("hi"), F.min("tip_d").alias("lo"))
-    return far.join(below, "id").select("id", (F.col("hi") - F.col("d")).alias("oldest"), (F.col("lo") - F.col("d")).alias("youngest"))
+    on an ultrametric tree. lengths: (id, length) of the branch above each node; a
+    missing one is 0.  Distances from the root go down the tree, those of tips back up."""
+    t = in_layers(tree).select("id", "parent", "child_count", "layer")
+    own = lengths.groupBy("id").agg(F.sum("length").alias("_d")).hint("merge")
+    far = fold_down(t.join(own, "id", "left").withColumn("_d", F.coalesce("_d", F.lit(0.0))), "_d", lambda a, b: a + b)
+    tip = F.when(F.col("child_count") == 0, F.col("_d"))
+    both = fold_up(far.withColumns({"_hi": tip, "_lo": tip}), {"_hi": "max", "_lo": "min"})
+    return both.select("id", (F.col("_hi") - F.col("_d")).alias("oldest"), (F.col("_lo") - F.col("_d")).alias("youngest"))
 
 
 def congruence(ours: DataFrame, theirs: DataFrame, matches: DataFrame, least: int = 2) -> DataFrame:
@@ -34,14 +35,15 @@ def congruence(ours: DataFrame, theirs: DataFrame, matches: DataFrame, least: in
 
     Both trees are numbered in preorder, so a clade is an interval of positions and
     its shared tips lie within it if the first and the last of them do.
-    ours, theirs: (id, idx, size, lineage, is_tip).
+    ours, theirs: (id, parent, idx, size, is_tip).
     """
     pairs = materialise(matches.select("id", "other").distinct())
-    tips = lambda t, name: t.where("is_tip").select(F.col("id").alias(name), F.col("idx").alias(f"at_{name}"), F.col("lineage").alias(f"line_{name}"))
-    shared = materialise(pairs.join(tips(ours, "id"), "id").join(tips(theirs, "other"), "other"))
-    here = shared.select(F.explode("line_id").alias("id"), "at_other").join(pairs.select("id").distinct(), "id", "left_semi")
-    here = here.groupBy("id").agg(F.count("*").alias("shared"), F.min("at_other").alias("first"), F.max("at_other").alias("last")).where(F.col("shared") >= least)
-    there = shared.select(F.explode("line_other").alias("other")).groupBy("other").agg(F.count("*").alias("held"))
+    tips = lambda t, name: t.where("is_tip").select(F.col("id").alias(name), F.col("idx").alias(f"at_{name}"))
+    shared = materialise(pairs.join(tips(ours, "id").hint("merge"), "id").join(tips(theirs, "other").hint("merge"), "other"))
+    mine = shared.groupBy("id").agg(F.count("*").alias("shared"), F.min("at_other").alias("first"), F.max("at_other").alias("last")).hint("merge")
+    above = lambda t, own, how: fold_up(in_layers(t.select("id", "parent")).select("id", "parent", "layer").join(own, "id", "left"), how)
+    here = above(ours, mine, {"shared": "sum", "first": "min", "last": "max"}).select("id", "shared", "first", "last").where(F.col("shared") >= least)
+    there = above(theirs, shared.groupBy(F.col("other").alias("id")).agg(F.count("*").alias("held")).hint("merge"), {"held": "sum"}).select(F.col("id").alias("other"), "held")
     span = theirs.select(F.col("id").alias("other"), "idx", (F.col("idx") + F.col("size")).alias("stop"))
     j = pairs.join(here, "id").join(span, "other").join(there, "other", "left")
     inside = (F.col("first") >= F.col("idx")) & (F.col("last") < F.col("stop"))
@@ -71,7 +73,7 @@ def layout_fill(tree: DataFrame, ages: DataFrame, root_age: float) -> DataFrame:
     undated one placed between the dated node above and what it learned, in
     proportion to the hops.  Levels are at most the depth of the tree.
     """
-    t = materialise(tree.select("id", "parent", "depth").join(ages.select("id", "age"), "id", "left").withColumn("age", F.when(F.col("parent").isNull(), F.coalesce("age", F.lit(float(root_age)))).otherwise(F.col("age"))))
+    t = split(tree.select("id", "parent", "depth").join(ages.select("id", "age").hint("merge"), "id", "left").withColumn("age", F.when(F.col("parent").isNull(), F.coalesce("age", F.lit(float(root_age)))).otherwise(F.col("age"))), "depth")
     deepest = t.agg(F.max("depth")).first()[0]
     if deepest is None:
         return t.select("id", F.col("age").alias("age_layout"), F.lit(False).alias("clamped"))
@@ -115,18 +117,19 @@ def tier_counts(tree: DataFrame, ages: DataFrame, measured: DataFrame) -> DataFr
 def bound_propagation(tree: DataFrame, bounds: DataFrame, ages: DataFrame) -> DataFrame:
     """(id, bound): the oldest youngest-bound of the facts attached at or below a
     node; refused where a dated node lies at or below it. bounds: (id, bound)."""
-    pairs = closure(tree)
-    low = pairs.join(bounds, "id").groupBy("anc").agg(F.max("bound").alias("bound"))
-    dated = pairs.join(ages.where("age IS NOT NULL").select("id"), "id", "left_semi").select("anc").distinct()
-    return low.join(dated, "anc", "left_anti").select(F.col("anc").alias("id"), "bound")
+    own = bounds.groupBy("id").agg(F.max("bound").alias("bound")).hint("merge")
+    dated = ages.where("age IS NOT NULL").select("id", F.lit(1).alias("_dated")).distinct().hint("merge")
+    t = in_layers(tree).select("id", "parent", "layer").join(own, "id", "left").join(dated, "id", "left")
+    return fold_up(t, {"bound": "max", "_dated": "max"}).where("bound IS NOT NULL AND _dated IS NULL").select("id", "bound")
 
 
 def bound_layout(tree: DataFrame, layout: DataFrame, bounds: DataFrame) -> DataFrame:
     """(id, age_layout, short): undated nodes pushed back to their bound and
     clamped again to the least value at or above; ``short`` where that cut it."""
-    pushed = layout.join(bounds, "id", "left").select("id", F.greatest("age_layout", "bound").alias("want"), "bound")
-    least = closure(tree).join(pushed.select(F.col("id").alias("anc"), "want"), "anc").groupBy("id").agg(F.min("want").alias("age_layout"))
-    return pushed.join(least, "id").select("id", "age_layout", F.coalesce(F.col("age_layout") < F.col("bound"), F.lit(False)).alias("short"))
+    pushed = layout.join(bounds.hint("merge"), "id", "left").select("id", F.greatest("age_layout", "bound").alias("age_layout"), "bound").hint("merge")
+    t = in_layers(tree).select("id", "parent", "child_count", "layer").join(pushed, "id", "left")
+    least = fold_down(t.withColumn("_own", F.col("age_layout").isNotNull()), "age_layout", F.least)
+    return least.where("_own").select("id", "age_layout", F.coalesce(F.col("age_layout") < F.col("bound"), F.lit(False)).alias("short"))
 
 
 def occurrence_best(facts: DataFrame, ages: DataFrame) -> DataFrame:
