@@ -6,33 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
-from .tree import closure
+from .tree import fold_down, fold_up, in_layers
 
 #: Thresholds of the young-end rule and of a witness that has ended.
 LEAST_OCCURRENCES, FORM_FLAGS, ENDED = 5, ("I", "F"), 0.0117
 
 
+def _ranked(tree: DataFrame, seeds: DataFrame, *more: str) -> DataFrame:
+    """A layered tree (id, parent, ..., layer) with ``_best``, the best seed at or below each node, and ``_assets``, its own pictures."""
+    own = seeds.groupBy("id").agg(F.collect_list(F.struct("asset") if "asset" in seeds.columns else F.struct(F.lit(None).cast("long").alias("asset"))).alias("_assets")).hint("merge")
+    t = in_layers(tree).select("id", "parent", "child_count", "layer", "tip_count", "depth", *more).join(own, "id", "left")
+    at = F.struct((-F.col("tip_count")).alias("m"), "depth", F.col("id").alias("source"), *more, "_assets")
+    return fold_up(t.withColumn("_best", F.when(F.col("_assets").isNotNull(), at)), {"_best": "min"})
+
+
 def exemplars(tree: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, source): of the seeds at or below a node the one with most tips, then
-    least depth, then least id. tree: (id, tip_count, depth, lineage)."""
-    s = tree.join(seeds.select("id").distinct(), "id").select(F.col("id").alias("source"), "tip_count", "depth", F.explode("lineage").alias("id"))
-    return s.groupBy("id").agg(F.min(F.struct((-F.col("tip_count")).alias("m"), "depth", "source")).alias("b")).select("id", F.col("b.source").alias("source"))
+    least depth, then least id. tree: (id, parent, tip_count, depth)."""
+    return _ranked(tree, seeds.select("id")).where("_best IS NOT NULL").select("id", F.col("_best.source").alias("source"))
 
 
-def nearest_drawn(tree: DataFrame, seeds: DataFrame) -> DataFrame:
+def nearest_drawn(tree: DataFrame, seeds: DataFrame, claims: bool = False) -> DataFrame:
     """(id, asset, source, clade, climb, method): every node's picture: its own,
     else the exemplar of the nearest ancestor-or-self that has one. method is
     exact, ancestor (the source is above), descendant, relative, or none where the
-    tree holds no picture (then all else is null)."""
-    best = exemplars(tree, seeds)
-    near = closure(tree).join(best.withColumnRenamed("id", "anc"), "anc").groupBy("id").agg(F.min_by(F.struct("anc", "source"), "hops").alias("b"), F.min("hops").alias("climb"))
-    own = seeds.select("id", F.lit(True).alias("own"))
-    j = near.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
-    j = j.select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("b.source")).alias("source"), F.when(F.col("own"), F.col("id")).otherwise(F.col("b.anc")).alias("clade"), F.when(F.col("own"), 0).otherwise(F.col("climb")).cast("long").alias("climb"))
-    j = j.join(tree.select("id", "lineage"), "id").join(tree.select(F.col("id").alias("source"), F.col("lineage").alias("s_line")), "source").join(seeds.select(F.col("id").alias("source"), "asset"), "source")
-    method = F.when(F.col("id") == F.col("source"), "exact").when(F.array_contains("lineage", F.col("source")), "ancestor").when(F.array_contains("s_line", F.col("id")), "descendant").otherwise("relative")
-    found = j.select("id", "asset", "source", "clade", "climb", method.alias("method"))
-    return tree.select("id").join(found, "id", "left").withColumn("method", F.coalesce("method", F.lit("none")))
+    tree holds no picture (then all else is null). tree: a numbered one.
+    ``claims`` adds the tips of the clade, ``claim``.
+
+    The best picture goes up the tree and what a node shows comes down; who is above
+    whom is told by intervals."""
+    at = F.col("_best")
+    shown = F.struct(F.lit(0).cast("long").alias("climb"), F.when(at.isNotNull(), F.struct(F.col("id").alias("clade"), F.col("tip_count").alias("claim"), at["source"].alias("source"), at["idx"].alias("idx"), at["size"].alias("size"), at["_assets"].alias("assets"))).alias("of"))
+    near = lambda a, b: F.when(a["of"].isNotNull(), a).otherwise(F.struct((a["climb"] + b["climb"] + 1).alias("climb"), b["of"].alias("of")))
+    j = fold_down(_ranked(tree, seeds, "idx", "size").withColumn("_shown", shown).drop("_best"), "_shown", near)
+    own, of, none = F.col("_assets").isNotNull(), F.col("_shown.of"), F.col("_shown.of").isNull()
+    inside = lambda idx, top, size: (top <= idx) & (idx < top + size)
+    method = F.when(none, "none").when(own | (of["source"] == F.col("id")), "exact").when(inside(F.col("idx"), of["idx"], of["size"]), "ancestor").when(inside(of["idx"], F.col("idx"), F.col("size")), "descendant").otherwise("relative")
+    told = j.select(
+        "id", F.when(own, F.col("_assets")).otherwise(of["assets"]).alias("_of"), F.when(own, F.col("id")).otherwise(of["source"]).alias("source"), F.when(own, F.col("id")).otherwise(of["clade"]).alias("clade"),
+        F.when(own, 0).when(~none, F.col("_shown.climb")).cast("long").alias("climb"), method.alias("method"), F.when(own, F.col("tip_count")).otherwise(of["claim"]).alias("claim"),
+    )
+    out = told.select("id", F.explode_outer("_of").alias("_one"), "source", "clade", "climb", "method", "claim")
+    return out.select("id", F.col("_one.asset").alias("asset"), "source", "clade", "climb", "method", *(["claim"] if claims else []))
 
 
 def climb_counts(drawn: DataFrame) -> DataFrame:
@@ -57,14 +72,16 @@ def informative(asset: Column, clade_tips: Column, most: float = float("inf")) -
 
 def claim_figures(drawn: DataFrame, tree: DataFrame, most: int = 10_000) -> DataFrame:
     """One row: share of nodes whose claim covers at most ``most`` tips, and percentiles."""
-    j = drawn.join(tree.select(F.col("id").alias("clade"), F.col("tip_count").alias("claim")), "clade")
+    j = drawn.where("clade IS NOT NULL") if "claim" in drawn.columns else drawn.join(tree.select(F.col("id").alias("clade"), F.col("tip_count").alias("claim")), "clade")
     q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY claim)").cast("long")
     return j.agg(F.count("*").alias("nodes"), F.round(F.avg(F.when(F.col("claim") <= most, 1.0).otherwise(0.0)), 6).alias("informative"), q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.9).alias("p90"))
 
 
 def asset_order(drawn: DataFrame, tree: DataFrame) -> DataFrame:
     """(asset, covers): pictures with the largest subtree they stand for."""
-    return drawn.join(tree.select(F.col("id").alias("clade"), "tip_count"), "clade").groupBy("asset").agg(F.max("tip_count").alias("covers"))
+    if "claim" in drawn.columns:
+        return drawn.where("clade IS NOT NULL").groupBy("asset").agg(F.max("claim").alias("covers"))
+    return drawn.select("asset", "clade").distinct().join(tree.select(F.col("id").alias("clade"), "tip_count"), "clade").groupBy("asset").agg(F.max("tip_count").alias("covers"))
 
 
 def witness(tree: DataFrame, ages: DataFrame, facts: DataFrame, pictured: DataFrame, near: float = float("inf"), drawn: DataFrame | None = None) -> DataFrame:
