@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import materialise, small
 
 #: Method -> (precedence, confidence); precedence isn't descending confidence.
 METHODS = {
@@ -245,10 +245,10 @@ def seed_passes(nodes: DataFrame, cited: DataFrame, forwards: DataFrame, taxonom
     nodes (ext, node, tips); cited (asset, ext); forwards (old, new); taxonomy (ext,
     parent, name, lineage); titles (asset, title).
     """
-    hit = nodes.select("ext", "node", "tips")
-    to = lambda df, key, name: df.join(hit.select(F.col("ext").alias(key), F.col("node").alias(name), F.col("tips").alias(f"{name}_tips")), key, "left")
-    fwd = forwards.select(F.col("old").alias("ext"), F.col("new").alias("ext2"))
-    up = taxonomy.select("ext", F.col("parent").alias("ext3"))
+    hit = lambda name: nodes.select(F.col("ext").alias("_k"), F.col("node").alias(name), F.col("tips").alias(f"{name}_tips")).hint("merge")
+    to = lambda df, key, name: df.join(hit(name), (F.coalesce(key, "asset") == F.col("_k")) & F.col(key).isNotNull(), "left").drop("_k")  # noqa: E731  rows without a key are spread by asset
+    fwd = forwards.select(F.col("old").alias("ext"), F.col("new").alias("ext2")).hint("merge")
+    up = taxonomy.select("ext", F.col("parent").alias("ext3")).hint("merge")
     tried = to(to(to(cited.select("asset", "ext").distinct().join(fwd, "ext", "left").join(up, "ext", "left"), "ext", "n1"), "ext2", "n2"), "ext3", "n3")
     node = F.coalesce("n1", "n2", F.when(F.col("n3_tips") <= most, F.col("n3")))
     step = F.when(F.col("n1").isNotNull(), 0).when(F.col("n2").isNotNull(), 1).otherwise(2)
@@ -256,14 +256,15 @@ def seed_passes(nodes: DataFrame, cited: DataFrame, forwards: DataFrame, taxonom
 
     words = F.split(F.trim("title"), r"\s+")
     cut = lambda k: F.when(F.size(words) > k, F.array_join(F.slice(words, 1, k), " "))
-    asked = titles.where(F.trim("title") != "").join(by_id.select("asset"), "asset", "left_anti").select("asset", F.posexplode(F.array(F.trim("title"), cut(2), cut(1))).alias("at", "name")).where("name IS NOT NULL")
-    known = asked.join(taxonomy.select("name", F.col("ext").alias("uid")), "name")
-    above = cited.join(taxonomy.select("ext", "lineage"), "ext").select("asset", F.explode("lineage").alias("uid")).distinct().withColumn("meant", F.lit(True))
-    meaning = known.join(above, ["asset", "uid"], "left").groupBy("asset", "at").agg(
-        F.count_distinct("uid").alias("n"), F.min("uid").alias("only"), F.count_distinct(F.when(F.col("meant"), F.col("uid"))).alias("m"), F.min(F.when(F.col("meant"), F.col("uid"))).alias("meant")
-    )
+    asked = titles.where(F.trim("title") != "").join(by_id.select("asset").hint("merge"), "asset", "left_anti").select("asset", F.posexplode(F.array(F.trim("title"), cut(2), cut(1))).alias("at", "name")).where("name IS NOT NULL")
+    asked = materialise(asked)
+    names = taxonomy.groupBy("name").agg(F.count_distinct("ext").alias("n"), F.min("ext").alias("only"))  # no asset meets all taxa of its names
+    above = cited.join(asked.select("asset").hint("merge"), "asset", "left_semi").join(taxonomy.select("ext", "lineage").hint("merge"), "ext").select("asset", F.explode("lineage").alias("uid")).distinct()
+    meant = above.join(taxonomy.select(F.col("ext").alias("uid"), "name").hint("merge"), "uid").join(asked.hint("merge"), ["asset", "name"]).groupBy("asset", "at").agg(F.count_distinct("uid").alias("m"), F.min("uid").alias("meant"))
+    meaning = asked.join(names, "name").join(meant.hint("merge"), ["asset", "at"], "left")
     uid = F.when(F.col("n") == 1, F.col("only")).when(F.col("m") == 1, F.col("meant"))
-    landed = to(to(meaning.select("asset", "at", uid.alias("ext")).join(fwd, "ext", "left"), "ext", "n1"), "ext2", "n2")
+    named = meaning.select("asset", "at", uid.alias("ext"))
+    landed = to(to(named.where("ext IS NOT NULL").join(fwd, "ext", "left").unionByName(named.where("ext IS NULL").withColumn("ext2", F.col("ext"))), "ext", "n1"), "ext2", "n2")
     landed = landed.select("asset", "at", F.col("ext").isNull().alias("refused"), F.coalesce("n1", "n2").alias("node"), F.coalesce("n1_tips", "n2_tips").alias("tips"))
     first = landed.where("refused OR node IS NOT NULL").groupBy("asset").agg(F.min_by(F.struct("node", "tips", "at"), "at").alias("b"))
     by_name = first.where("b.node IS NOT NULL").where((F.col("b.at") == 0) | (F.col("b.tips") <= most)).select("asset", "b.node", F.when(F.col("b.at") == 0, 3).otherwise(4).cast("long").alias("pass"))
