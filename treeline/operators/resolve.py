@@ -113,7 +113,9 @@ def agreed(citations: DataFrame, tree: DataFrame) -> DataFrame:
     """(id, node): a homonym's node, if every citation's nearest ancestor of the
     asked name is the same. citations: (id, name, cited); tree has name, lineage."""
     ups = citations.join(tree.select(F.col("id").alias("cited"), "lineage"), "cited").select("id", "name", "cited", F.posexplode("lineage").alias("hops", "anc"))
-    named = ups.join(tree.select(F.col("id").alias("anc"), F.col("name").alias("a_name")), "anc").where("name = a_name")
+    asked = citations.select(F.col("name").alias("a_name")).distinct()
+    nodes = materialise(tree.select(F.col("id").alias("anc"), F.col("name").alias("a_name")).join(small(asked), "a_name", "left_semi"))
+    named = ups.join(small(nodes), "anc").where("name = a_name")
     nearest = named.groupBy("id", "cited").agg(F.min_by("anc", "hops").alias("anc"))
     return nearest.groupBy("id").agg(F.count_distinct("anc").alias("n"), F.min("anc").alias("node")).where("n = 1").select("id", "node")
 
