@@ -40,7 +40,7 @@ def _(s, d):
 
 @query("subtree_interval", f"{DUCK_TREE} SELECT id, idx FROM m WHERE idx >= (SELECT idx FROM m WHERE id = {2 * T + 9}) AND idx < (SELECT idx + size FROM m WHERE id = {2 * T + 9})")
 def _(s, d):
-    return paths.interval(tree(s, d), 2 * T + 9).select("id", "idx")
+    return paths.interval(i.numbered(s, d), 2 * T + 9).select("id", "idx")
 
 
 BATCH_KEYS = "SELECT concat('k', p_partkey) AS key, (p_partkey * 7) % 61 AS pos FROM {part} WHERE p_partkey <= 60"
@@ -103,7 +103,7 @@ def _(s, d):
  tr AS (SELECT CASE WHEN coalesce(con, false) OR a IS NULL THEN 2 WHEN sub THEN 1 WHEN ident OR a <= 0.001 OR st THEN 0 ELSE 1 END AS tier FROM t LEFT JOIN f USING (id))
  SELECT count(*) AS nodes, count(*) FILTER (tier = 0) AS measured, count(*) FILTER (tier < 2) AS dated, round(count(*) FILTER (tier < 2) / count(*), 6) AS dated_share FROM tr""")
 def _(s, d):
-    return ages.headline(ages.tiers(tree(s, d), rows(s, d, i.MATCHES)))
+    return ages.headline(ages.tiers(i.nodes(s, d), rows(s, d, i.MATCHES)))
 
 
 OLD_BOUNDS = f"SELECT {3 * T} + c_custkey AS id, floor(abs(c_acctbal)) / 2 + 100 AS bound FROM {{customer}} WHERE c_custkey % 3 <> 0"
@@ -112,14 +112,14 @@ REACH_SQL = f"""bo AS ({duck(OLD_BOUNDS)}), rc AS (SELECT bo.id, bo.bound, least
 
 @query("reachable_bounds", f"{LAYOUT}, {REACH_SQL} SELECT id, round(reach, 4) AS reach, round(short, 4) AS short FROM rc")
 def _(s, d):
-    r = ages.reachable(tree(s, d), rows(s, d, OLD_BOUNDS), _layout(s, d))
+    r = ages.reachable(i.nodes(s, d), rows(s, d, OLD_BOUNDS), _layout(s, d))
     return r.select("id", F.round("reach", 4).alias("reach"), F.round("short", 4).alias("short"))
 
 
 @query("reach_figures", f"{LAYOUT}, {REACH_SQL} SELECT count(*) AS bounds, count(*) FILTER (short > 0) AS short, round(median(bound - reach) FILTER (bound > reach), 6) AS median_rest FROM rc")
 def _(s, d):
     b = rows(s, d, OLD_BOUNDS)
-    return ages.reach_figures(ages.reachable(tree(s, d), b, _layout(s, d)), b)
+    return ages.reach_figures(ages.reachable(i.nodes(s, d), b, _layout(s, d)), b)
 
 
 # ------------------------------------------------------------------ resolution
@@ -272,8 +272,7 @@ def _(s, d):
 
 @query("informative_pictures", f"{DUCK_TREE}, {EX} SELECT m.id, sd.asset IS NOT NULL AND (cm.tip_count IS NULL OR cm.tip_count <= 1000) AS shown FROM m LEFT JOIN dr ON dr.id = m.id LEFT JOIN sd ON sd.id = dr.source LEFT JOIN m cm ON cm.id = dr.clade")
 def _(s, d):
-    tips = full(s, d).select(F.col("id").alias("clade"), F.col("tip_count").alias("claim"))
-    return _drawn(s, d).join(tips, "clade", "left").select("id", propagate.informative(F.col("asset"), F.col("claim"), 1000).alias("shown"))
+    return _drawn(s, d).select("id", propagate.informative(F.col("asset"), F.col("claim"), 1000).alias("shown"))
 
 
 WITNESS = f"""{LAYOUT}, fk AS (SELECT m.id, coalesce(a0.age, lay.age_layout) AS aged FROM m JOIN lay USING (id) LEFT JOIN a0 USING (id) WHERE m.tip_count > 1 AND m.id NOT IN (SELECT id FROM ({duck(i.SEEDS)}))), f AS ({duck(i.FACTS)}),
@@ -282,9 +281,9 @@ WITNESS = f"""{LAYOUT}, fk AS (SELECT m.id, coalesce(a0.age, lay.age_layout) AS
 
 
 def _witnesses(s, d):
-    a = tree(s, d).select("id").join(rows(s, d, i.AGES), "id", "left").join(_layout(s, d), "id")
+    a = _layout(s, d).join(rows(s, d, i.AGES).hint("merge"), "id", "left")
     facts = rows(s, d, i.FACTS)
-    return a, propagate.witness(full(s, d), a, facts, rows(s, d, i.SEEDS), 0.2, facts.where("fact % 3 <> 1"))
+    return a, propagate.witness(i.lined(s, d), a, facts, rows(s, d, i.SEEDS), 0.2, facts.where("fact % 3 <> 1"))
 
 
 @query("witness_near", f"{WITNESS} SELECT id, fact, round(gap, 4) AS gap FROM wt")
@@ -496,7 +495,7 @@ ASKED_DETAIL = f"SELECT {2 * T} + n_nationkey AS id FROM {{nation}} WHERE n_nati
  vn AS (SELECT id, string_agg(name, '|' ORDER BY usage_rank, name) AS names FROM (SELECT DISTINCT {2 * T} + c_nationkey AS id, c_mktsegment AS name, length(c_mktsegment) AS usage_rank FROM customer) GROUP BY id)
  SELECT t.id, t.name, t.parent, p.name AS parent_name, coalesce(sy.synonyms, '') AS synonyms, coalesce(vn.names, '') AS names, 'Q' || (t.id % 1000) AS qid, CASE WHEN t.id % 2 = 0 THEN 'by someone' END AS credit FROM a JOIN t ON t.id = a.id LEFT JOIN t p ON p.id = t.parent LEFT JOIN sy ON sy.id = t.id LEFT JOIN vn ON vn.id = t.id""")
 def _(s, d):
-    t = tree(s, d).select("id", "name", "parent")
+    t = i.nodes(s, d).select("id", "name", "parent")
     syn = rows(s, d, f"SELECT {2 * T} + s_nationkey AS id, s_name AS name FROM {{supplier}}")
     ver = rows(s, d, f"SELECT {2 * T} + c_nationkey AS id, c_mktsegment AS name, length(c_mktsegment) AS usage_rank FROM {{customer}}")
     n = rows(s, d, f"SELECT {2 * T} + n_nationkey AS id FROM {{nation}}")
@@ -507,14 +506,14 @@ def _(s, d):
 def _(s, d):
     f = rows(s, d, i.FACTS).select("fact", "name", "attach", F.col("fact").alias("accepted_id"))
     credits = f.select("accepted_id", F.concat(F.lit("credit "), F.col("fact").cast("string")).alias("credit"))
-    return serving.fact_detail(f, 7, tree(s, d).select("id", F.col("name").alias("at_name"), "rank"), credits).drop("accepted_id")
+    return serving.fact_detail(f, 7, i.nodes(s, d).select("id", F.col("name").alias("at_name"), "rank"), credits).drop("accepted_id")
 
 
 @query("about_build", f"""{DUCK_TREE}, f AS (SELECT id, max(other_age) AS a, bool_or(class = 'shared_tip') AS st, bool_or(class = 'identical') AS ident, bool_or(class = 'subset') AS sub, bool_or(class = 'conflict') AS con FROM ({duck(i.MATCHES)}) GROUP BY id),
  tr AS (SELECT CASE WHEN coalesce(con, false) OR a IS NULL THEN 2 WHEN sub THEN 1 WHEN ident OR a <= 0.001 OR st THEN 0 ELSE 1 END AS tier FROM t LEFT JOIN f USING (id))
  SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'tier ' || tier, count(*) FROM tr GROUP BY tier UNION ALL SELECT 'phase tree', 1 UNION ALL SELECT 'feature images', 0""")
 def _(s, d):
-    tiers = ages.tiers(tree(s, d), rows(s, d, i.MATCHES))
+    tiers = ages.tiers(i.nodes(s, d), rows(s, d, i.MATCHES))
     return serving.about({n: table(s, d, n) for n in ("nation", "supplier")}, tiers, [("tree", True)], {"images": False})
 
 
