@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.operators import ages, paths, propagate, resolve
 from treeline.operators import tree as trees
+from treeline.plans import inputs, served
 
 
 def shaped(shape, n, rng):
@@ -113,3 +114,9 @@ def test_names_of_many_taxa_stay_in_proportion(spark):
     got = resolve.seed_passes(nodes9, cited, moved, taxa, titles)
     assert sorted(tuple(r) for r in got.collect()) == [(70, 1, 0), (70, 2, 0), (110, 3, 1)]
     assert "count(distinct ext" in got._jdf.queryExecution().optimizedPlan().toString()  # names are counted before titles meet them
+
+
+def test_time_scale_builds_no_search_tables(spark, sf, monkeypatch):
+    monkeypatch.setattr(inputs, "_made", {})
+    assert served.QUERIES["served_timescale"](spark, sf).count() > 0
+    assert not {name for _, _, name in inputs._made} & {"terms", "hot", "served"}
