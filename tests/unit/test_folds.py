@@ -116,6 +116,20 @@ def test_names_of_many_taxa_stay_in_proportion(spark):
     assert "count(distinct ext" in got._jdf.queryExecution().optimizedPlan().toString()  # names are counted before titles meet them
 
 
+def test_lineages_beside_the_taxonomy(spark):
+    """Names don't travel with the lineages, and of a name's taxa two meet the count of distinct ones."""
+    taxa = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "b"), (4, 1, "c"), (4, 1, "c"), (5, 3, "d")], "ext long, parent long, name string")
+    lines = spark.createDataFrame([(1, [1]), (2, [2, 1]), (3, [3, 2, 1]), (4, [4, 1]), (5, [5, 3, 2, 1])], "ext long, lineage array<long>")
+    nodes = spark.createDataFrame([(2, 20, 5), (4, 40, 500)], "ext long, node long, tips long")
+    cited = spark.createDataFrame([(1, 2), (2, 1), (3, 5)], "asset long, ext long")
+    moved = spark.createDataFrame([(9, 2)], "old long, new long")
+    titles = spark.createDataFrame([(2, "c"), (3, "b"), (4, "b"), (5, "c x"), (6, "c")], "asset long, title string")
+    got = resolve.seed_passes(nodes, cited, moved, taxa, titles, lines=lines)
+    assert sorted(tuple(r) for r in got.collect()) == [(20, 1, 0), (40, 2, 3), (40, 6, 3)]
+    assert sorted(tuple(r) for r in resolve.seed_passes(nodes, cited, moved, taxa.join(lines, "ext"), titles).collect()) == [(20, 1, 0), (40, 2, 3), (40, 6, 3)]
+    assert "array(min(ext" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_time_scale_builds_no_search_tables(spark, sf, monkeypatch):
     monkeypatch.setattr(inputs, "_made", {})
     assert served.QUERIES["served_timescale"](spark, sf).count() > 0

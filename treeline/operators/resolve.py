@@ -236,7 +236,7 @@ LIFT_TIPS = 100
 PASSES = ("cited", "forwarded", "lifted", "named", "shortened")
 
 
-def seed_passes(nodes: DataFrame, cited: DataFrame, forwards: DataFrame, taxonomy: DataFrame, titles: DataFrame, most: int = LIFT_TIPS) -> DataFrame:
+def seed_passes(nodes: DataFrame, cited: DataFrame, forwards: DataFrame, taxonomy: DataFrame, titles: DataFrame, most: int = LIFT_TIPS, lines: DataFrame | None = None) -> DataFrame:
     """(node, asset, pass) offers of five passes: the cited id is a node; its forward
     is; its parent in the taxonomy is, with ``most`` tips at most; and for assets that
     landed nowhere so, their title is the name of one taxon that is a node; or its
@@ -245,8 +245,10 @@ def seed_passes(nodes: DataFrame, cited: DataFrame, forwards: DataFrame, taxonom
     A name of several taxa means the one that lies above (or is) a taxon that the
     asset cites, if there is just one such, and otherwise stops the search.
     nodes (ext, node, tips); cited (asset, ext); forwards (old, new); taxonomy (ext,
-    parent, name, lineage); titles (asset, title).
+    parent, name, lineage); titles (asset, title); lines (ext, lineage): the lineages,
+    if the taxonomy doesn't hold them.
     """
+    lines = taxonomy if lines is None else lines
     hit = lambda name: nodes.select(F.col("ext").alias("_k"), F.col("node").alias(name), F.col("tips").alias(f"{name}_tips")).hint("merge")
     to = lambda df, key, name: df.join(hit(name), (F.coalesce(key, "asset") == F.col("_k")) & F.col(key).isNotNull(), "left").drop("_k")  # noqa: E731  rows without a key are spread by asset
     fwd = forwards.select(F.col("old").alias("ext"), F.col("new").alias("ext2")).hint("merge")
@@ -260,8 +262,9 @@ def seed_passes(nodes: DataFrame, cited: DataFrame, forwards: DataFrame, taxonom
     cut = lambda k: F.when(F.size(words) > k, F.array_join(F.slice(words, 1, k), " "))
     asked = titles.where(F.trim("title") != "").join(by_id.select("asset").hint("merge"), "asset", "left_anti").select("asset", F.posexplode(F.array(F.trim("title"), cut(2), cut(1))).alias("at", "name")).where("name IS NOT NULL")
     asked = materialise(asked)
-    names = taxonomy.groupBy("name").agg(F.count_distinct("ext").alias("n"), F.min("ext").alias("only"))  # no asset meets all taxa of its names
-    above = cited.join(asked.select("asset").hint("merge"), "asset", "left_semi").join(taxonomy.select("ext", "lineage").hint("merge"), "ext").select("asset", F.explode("lineage").alias("uid")).distinct()
+    ends = taxonomy.groupBy("name").agg(F.array(F.min("ext"), F.max("ext")).alias("ends")).select("name", F.explode("ends").alias("ext"))  # the least and the greatest tell whether a name has one taxon
+    names = ends.groupBy("name").agg(F.count_distinct("ext").alias("n"), F.min("ext").alias("only"))  # no asset meets all taxa of its names
+    above = cited.join(asked.select("asset").hint("merge"), "asset", "left_semi").join(lines.select("ext", "lineage").hint("merge"), "ext").select("asset", F.explode("lineage").alias("uid")).distinct()
     meant = above.join(taxonomy.select(F.col("ext").alias("uid"), "name").hint("merge"), "uid").join(asked.hint("merge"), ["asset", "name"]).groupBy("asset", "at").agg(F.count_distinct("uid").alias("m"), F.min("uid").alias("meant"))
     meaning = asked.join(names, "name").join(meant.hint("merge"), ["asset", "at"], "left")
     uid = F.when(F.col("n") == 1, F.col("only")).when(F.col("m") == 1, F.col("meant"))

@@ -178,8 +178,9 @@ SEED_SQL = f"""WITH RECURSIVE nd AS ({duck(TAXON_NODES)}), ct AS ({duck(CITED)})
 def _offers(s, d):
     from ..operators.tree import lineages
 
-    taxa = i._once(s, d, "taxa", lambda: lineages(rows(s, d, TAXA).withColumnRenamed("ext", "id")).withColumnRenamed("id", "ext"))
-    return resolve.seed_passes(rows(s, d, TAXON_NODES), rows(s, d, CITED), rows(s, d, MOVED), taxa, rows(s, d, TITLES))
+    taxa = rows(s, d, TAXA)
+    lines = i._once(s, d, "taxa", lambda: lineages(taxa.select(F.col("ext").alias("id"), "parent")).select(F.col("id").alias("ext"), "lineage"))
+    return resolve.seed_passes(rows(s, d, TAXON_NODES), rows(s, d, CITED), rows(s, d, MOVED), taxa, rows(s, d, TITLES), lines=lines)
 
 
 @query("seed_passes", f"{SEED_SQL} SELECT node, asset, pass FROM offers")
