@@ -134,3 +134,17 @@ def test_time_scale_builds_no_search_tables(spark, sf, monkeypatch):
     monkeypatch.setattr(inputs, "_made", {})
     assert served.QUERIES["served_timescale"](spark, sf).count() > 0
     assert not {name for _, _, name in inputs._made} & {"terms", "hot", "served"}
+
+
+def test_tasks_follow_rows(grown, spark, monkeypatch):
+    """More tasks, not larger ones: with 20 rows a task the tree is the same, and is sorted in five ranges."""
+    from treeline import runtime
+
+    parents, above, t, rng = grown
+    plain = t.select("id", "parent")
+    want = {r["id"]: (r["idx"], r["size"], r["depth"]) for r in trees.numbered(plain).collect()}
+    monkeypatch.setattr(runtime, "TASK_ROWS", 20)
+    assert {r["id"]: (r["idx"], r["size"], r["depth"]) for r in trees.numbered(plain).collect()} == want
+    sums = trees.running(t.select("id", "idx", F.lit(1).cast("long").alias("one")), [], ["idx"], "one")
+    assert {r["id"]: r["before"] for r in sums.collect()} == {r["id"]: r["idx"] for r in t.collect()}
+    assert runtime.tasks(90) == 5
