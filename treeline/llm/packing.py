@@ -1,7 +1,7 @@
 """Sum-of-squares packing of tokenised documents into fixed-length sequences.
 
 Tokenising: white space only separates tokens of the vocabulary, so a batch's
-distinct words are encoded once and each document's ids are gathered from them.
+distinct words are encoded once, many in one call, and each document's ids are gathered from them.
 The vocabulary folds case, and a tail of ASCII punctuation after a letter or
 digit is a pre-token of its own, so such words share the parts' encodings.
 Documents longer than a sequence are cut into full pieces and a rest.
@@ -37,10 +37,15 @@ from .common import Remembered, materialise, read, slices, tidy, words_of
 LENGTH = 2048
 END_ID = 0
 GROUP = 8_000
-#: Words whose ids a worker remembers (about 200 bytes each).
-CACHE = 200_000
-#: Between a letter or digit and the ASCII punctuation that ends a word.
-TAIL = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~]+$)")
+#: Parts of words, and words as they stand, whose ids a worker remembers (about 200 bytes each).
+CACHE, WORDS = 300_000, 600_000
+#: A letter or digit ends the word before a tail of this punctuation.
+LETTERS = frozenset(re.findall("[A-Za-z0-9À-ÖØ-öø-ÿ]", "".join(map(chr, range(256)))))
+PUNCTUATION = "".join(re.findall(r"[!-/:-@\[-`{-~]", "".join(map(chr, range(128)))))
+#: Letters that are small, composed, and one symbol or two of the model's bytes.
+PLAIN = "".join(re.findall("[a-zß-öø-ÿ]", "".join(map(chr, range(256)))))
+#: What stands between words that are encoded together, and how many these are.
+MARK, JOINED = "~", 1_000
 
 
 class WordEncoder:
@@ -53,25 +58,73 @@ class WordEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
-        self.seen = Remembered(CACHE)
+        self.seen, self.whole = Remembered(CACHE), Remembered(WORDS)
+        self.mark = self._ids([MARK])[0]
+        piece = lambda s: "".join(p for p, _ in self.model.pre_tokenizer.pre_tokenize_str(self.model.normalizer.normalize_str(s)))
+        self.bytes = str.maketrans({c: piece(c) for c in PLAIN if not c.isascii()})
+        #: The model's own symbols stand for a word of these letters, which neither the normaliser nor the pre-tokeniser changes.
+        self.plain = re.compile(f"[{PLAIN}]+" if all(piece(c + d) == (c + d).translate(self.bytes) for c in PLAIN for d in PLAIN) else "(?!)").fullmatch
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of new words. Most are encoded as the words of one text, with ``MARK`` after
+        each, whose one id no word without that character has."""
+        plain, tokenize = self.plain, self.model.model.tokenize
+        other = []
+        for w in words:
+            if plain(w):
+                self.seen[w] = array("I", [x.id for x in tokenize(w if w.isascii() else w.translate(self.bytes))]).tobytes()
+            else:
+                other.append(w)
+        words = other
+        alone = [w for w in words if MARK in w or "<|" in w or len(self.mark) != 4]
+        self.seen.update(zip(alone, self._ids(alone), strict=True))
+        rest = [w for w in words if MARK not in w and "<|" not in w] if len(self.mark) == 4 else []
+        for k in range(0, len(rest), JOINED):
+            part = rest[k : k + JOINED]
+            ids = self._ids([f" {MARK} ".join([*part, ""])])[0]
+            at = (np.flatnonzero(np.frombuffer(ids, np.uint32) == np.frombuffer(self.mark, np.uint32)) * 4).tolist()
+            self.seen.update(zip(part, [ids[a:b] for a, b in zip([0, *(x + 4 for x in at)], at, strict=False)], strict=True))
+
+    def _split(self, words: list[str]) -> list[bytes]:
+        """The ids of new words as they stand in texts, from those of their parts."""
+        heads, tails = [], []
+        for w in words:
+            tail = ""
+            if "<|" not in w:
+                if w.isascii():
+                    w = w.lower()
+                head = w.rstrip(PUNCTUATION)
+                if len(head) < len(w) and head and head[-1] in LETTERS:
+                    w, tail = head, w[len(head) :]
+            heads.append(w)
+            tails.append(tail)
+        self._learn(self.seen.new_of({*heads, *tails}))
+        get = self.seen.__getitem__
+        return [get(h) + get(t) if t else get(h) for h, t in zip(heads, tails, strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and row offsets, an end id after every text."""
         words, codes, offsets = words_of(texts, lower=False)
         words = words.to_pylist()
-        parts = [TAIL.split(w)[:2] if "<|" not in w else (w,) for w in (w.lower() if w.isascii() and "<|" not in w else w for w in words)]
-        new = self.seen.new_of({p for x in parts for p in x})
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[w] = array("I", e.ids).tobytes()
-        get = self.seen.__getitem__
-        each = [get(x[0]) if len(x) == 1 else get(x[0]) + get(x[1]) for x in parts] + [array("I", [END_ID]).tobytes()]
+        each, missing = self.whole.take(words)
+        new = [words[i] for i in missing]
+        for i, w, e in zip(missing, new, self._split(new), strict=True):
+            each[i] = self.whole[w] = e
+        each.append(array("I", [END_ID]).tobytes())
         size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
         first = np.cumsum(size) - size
         table = np.frombuffer(b"".join(each), dtype=np.uint32)
         codes = np.insert(codes, offsets[1:], len(words))  # the end of each text
         length = size[codes]
         ends = np.cumsum(length)
-        ids = table[np.repeat(first[codes] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.ones(ends[-1] if len(ends) else 0, np.int64)  # a step on, but to the next word's first id
+        some = codes if size.all() else codes[length > 0]  # words of other white space have no ids
+        at[np.cumsum(size[some])[:-1]] = first[some[1:]] - (first + size)[some[:-1]] + 1
+        at[:1] = first[some[:1]]
+        ids = table[np.cumsum(at, out=at)]
         stops = offsets[1:] + np.arange(1, len(offsets))
         return ids, np.concatenate(([0], ends[stops - 1])) if len(stops) else np.zeros(1, np.int64)
 
@@ -90,7 +143,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 4 << 20):
             ids, offsets = coder.encode(b.column("text"))
             total = np.diff(offsets)
             count = (total + length - 1) // length
