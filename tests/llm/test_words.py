@@ -34,3 +34,18 @@ def test_new_words_are_encoded_together():
     flat, ends = encoder.encode(pa.array(texts))
     assert [flat[a:z].tolist() for a, z in zip(ends, ends[1:], strict=False)] == [model.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
     assert encoder.model.texts < 100
+
+
+def test_classes_are_told_without_a_python_word():
+    """Words of an Arrow array have the classes of their letters by hand, whatever their kind of string."""
+    from treeline.llm import language_model
+    from treeline.llm.common import hash64
+
+    words = ["", "the", "of", "x", "\u00dfe", "tion", "the\u00e9", "\U0001f600", "a\U0001f600", "of "]
+    classes = language_model.Classes(["the", "of"])
+    want = [{"": 0, "the": 1, "of": 2}.get(w, 3 + int(hash64([w[-language_model.LETTERS :]], seed=5)[0] % np.uint64(language_model.ENDINGS))) for w in words]
+    for kind in (pa.string(), pa.large_string()):
+        assert classes.of(pa.array(words, kind)).tolist() == want
+    assert classes.of([]).tolist() == [] and classes.of(words).tolist() == want
+    found, codes, ends = language_model.tokens(pa.array(["The of THE", None, ""]))
+    assert isinstance(found, pa.Array) and [found[int(c)].as_py() for c in codes] == ["the", "of", "the", "", "", ""] and ends.tolist() == [0, 4, 5, 6]

@@ -32,11 +32,11 @@ empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +59,15 @@ class Classes:
         self.first = len(top) + 1
         self.size = self.first + ENDINGS
 
-    def of(self, words: list[str]) -> np.ndarray:
-        ends = hash64([w[-LETTERS:] for w in words], seed=5) % np.uint64(ENDINGS) if words else np.zeros(0, np.uint64)
-        get = self.own.get
-        own = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        return np.where(own >= 0, own, ends.astype(np.int64) + self.first)
+    def of(self, words: pa.Array | list[str]) -> np.ndarray:
+        """Own words are looked up together, and of all others each distinct ending is hashed once."""
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_string())
+        own = pc.index_in(words, pa.array(self.own, words.type))
+        ends = pc.utf8_slice_codeunits(words, -LETTERS, None).dictionary_encode()
+        named = hash64(ends.dictionary.to_pylist(), seed=5) % np.uint64(ENDINGS) if len(words) else np.zeros(0, np.uint64)
+        code = named.astype(np.int64)[ends.indices.to_numpy()] + self.first
+        number = np.fromiter(self.own.values(), np.int64, len(self.own))
+        return np.where(own.is_valid().to_numpy(zero_copy_only=False), number[pc.fill_null(own, 0).to_numpy()], code)
 
 
 class LogBilinear:
@@ -157,10 +161,10 @@ def triples(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.where(start, 0, c2), c1, classes
 
 
-def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct tokens, codes, offsets), the end token after every text."""
     words, codes, offsets = words_of(texts, lower=True)
-    words = [*words.to_pylist(), END]
+    words = pa.concat_arrays([words, pa.array([END], words.type)])
     codes = np.insert(codes, offsets[1:], len(words) - 1)
     return words, codes, offsets + np.arange(len(offsets))
 
@@ -170,15 +174,23 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
-        for b in slices(batches, "text", 2 << 20):
+        def summed() -> pa.RecordBatch:
+            coded = pa.concat_arrays([w for w, _ in kept]).dictionary_encode()
+            total = np.bincount(coded.indices.to_numpy(), np.concatenate([c for _, c in kept]), len(coded.dictionary))  # exact below 2^53
+            kept.clear()
+            return pa.RecordBatch.from_arrays([pc.cast(coded.dictionary, pa.string()), pa.array(total.astype(np.int64))], ["word", "c"])
+
+        kept: list[tuple[pa.Array, np.ndarray]] = []
+        held = 0
+        for b in slices(batches, "text", 4 << 20):
             words, codes, _ = tokens(b.column("text"))
-            total.update(dict(zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
-            if len(total) > 150_000:
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "c"])
-                total.clear()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "c"])
+            kept.append((words, np.bincount(codes, minlength=len(words))))
+            held += len(words)
+            if held > 500_000:
+                yield summed()
+                held = 0
+        if kept:
+            yield summed()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -216,7 +228,7 @@ def triple_counts(docs: DataFrame, text: str, classes: Classes, shards: int) ->
 
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             words, codes, offsets = tokens(b.column("text"))
             c2, c1, w = triples(classes.of(words)[codes], offsets)
             kept.append(np.unique((c2 * v + c1) * v + w, return_counts=True))
@@ -302,7 +314,7 @@ def learn(docs: DataFrame, usable: Column, key: str, text: str) -> tuple[Model,
     @tidy
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = classes.of(b.column("word").to_pylist())
+            k = classes.of(b.column("word"))
             c = b.column("c").to_numpy(zero_copy_only=False)
             used = np.unique(k)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(np.bincount(k, c, classes.size)[used].astype(np.int64)), pa.array(np.bincount(k, minlength=classes.size)[used])], ["k", "c", "n"])
@@ -328,11 +340,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str, text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b_, z = model.net.tables()
         row = (TaskContext.get().partitionId() << 36) if TaskContext.get() else 0
-        get = model.head.get
+        head, at_hand = pa.array(model.head, pa.large_string()), np.array([*model.head.values(), -1], np.int64)
         ln10 = np.log(10.0)
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 2 << 20):
             words, codes, offsets = tokens(b.column("text"))
-            c = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+            c = at_hand[pc.fill_null(pc.index_in(words, head), len(head)).to_numpy()]
             k = model.classes.of(words)
             inside = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)[codes]
             rare = (k >= model.classes.first)[codes]
@@ -341,9 +353,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str, text: str,
             own = net + np.where(rare, inside - model.below[w], 0.0)
             out = c[codes] < 0
             doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            pair = np.unique(np.stack([doc[out], codes[out]], axis=1), axis=0, return_counts=True)
-            ends = np.searchsorted(pair[0][:, 0], np.arange(len(offsets)))
-            tail = pa.StructArray.from_arrays([pa.array(words, pa.string()).take(pa.array(pair[0][:, 1])), pa.array(pair[1].astype(np.int64))], ["word", "n"])
+            pair, times = np.unique(doc[out] * len(words) + codes[out], return_counts=True)
+            ends = np.searchsorted(pair, np.arange(len(offsets)) * len(words))
+            tail = pa.StructArray.from_arrays([pc.cast(words.take(pa.array(pair % len(words))), pa.string()), pa.array(times.astype(np.int64))], ["word", "n"])
             size = np.diff(offsets)
             sums = [segment_sum(x, offsets) for x in ((c[codes] > 0).astype(np.int64), inside, own)]
             columns = [b.column("key"), b.column("held"), pa.array(np.arange(row, row + b.num_rows)), pa.array(size), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)]
