@@ -667,6 +667,27 @@ def test_a_language_threshold_has_no_least_number_of_rows():
     assert found == sorted(found)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Counts of all shards: a word of two rows, wherever they are, has a row; shards of all sizes tell the kinds apart."""
+    rng = random.Random(8)
+    rows = [" ".join([f"own{i // 2}", "moron" if i % 5 == 0 else "friend", *(f"word{rng.randrange(300)}" for _ in range(20))]) for i in range(9_000)]
+    df = frame(spark, rows)
+    lab = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(len(rows))], "doc_id long, toxic int")
+    net = toxicity.learn(df, lab, F.lit(True))
+    fit = [i for i in range(len(rows)) if common.hash64([str(i)], 3)[0] % np.uint64(5) != 0]
+    twice = [k for k, c in collections.Counter(i // 2 for i in fit).items() if c == 2]
+    assert set(toxicity._bucket([f"own{k}" for k in twice], 0).tolist()) <= set(net.buckets.tolist())
+    z = net.scores(*toxicity.Lexicon().buckets(pa.array(rows[:500])))
+    assert ((z >= 0.5) == (np.arange(500) % 5 == 0)).mean() > 0.99
+
+
+def test_one_shard_is_the_fit_of_the_whole(spark):
+    rows = [f"the {'idiot' if i % 3 == 0 else 'day'} of word{i % 17} and word{i % 5}" for i in range(200)]
+    df, lab = frame(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    a, b = toxicity.learn(df, lab, F.lit(True)), toxicity.train(*toxicity.labelled_sample(df, lab, F.lit(True)))
+    assert np.array_equal(a.buckets, b.buckets) and np.allclose(a.embed, b.embed, atol=1e-5) and np.allclose(a.dense, b.dense, atol=1e-5) and np.allclose(a.limit, b.limit, atol=1e-2)
+
+
 def test_sample_takes_one_row_an_id(spark):
     docs = spark.createDataFrame([(1, "b words"), (1, "a words"), (1, "a words"), (2, "c"), (None, "d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
