@@ -49,3 +49,15 @@ def test_classes_are_told_without_a_python_word():
     assert classes.of([]).tolist() == [] and classes.of(words).tolist() == want
     found, codes, ends = language_model.tokens(pa.array(["The of THE", None, ""]))
     assert isinstance(found, pa.Array) and [found[int(c)].as_py() for c in codes] == ["the", "of", "the", "", "", ""] and ends.tolist() == [0, 4, 5, 6]
+
+
+def test_a_worker_remembers_half_at_most_between_partitions(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 200)
+    monkeypatch.setattr(packing, "WORDS", 400)
+    encoder = packing.WordEncoder(PATH)
+    texts = [pa.array([" ".join(f"wort{i}x{k}" for i in range(150))]) for k in range(6)]
+    first = [encoder.encode(t)[0].tolist() for t in texts]
+    assert encoder.whole.old and encoder.seen.old
+    encoder.rest()
+    assert not encoder.whole.old and not encoder.seen.old
+    assert [encoder.encode(t)[0].tolist() for t in texts] == first

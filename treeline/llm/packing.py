@@ -37,8 +37,8 @@ from .common import Remembered, materialise, read, slices, tidy, words_of
 LENGTH = 2048
 END_ID = 0
 GROUP = 8_000
-#: Parts of words, and words as they stand, whose ids a worker remembers (about 200 bytes each).
-CACHE, WORDS = 300_000, 600_000
+#: Parts of words, and words as they stand, whose ids a worker remembers while it works on a partition (about 200 bytes each); half at most stay for the next.
+CACHE, WORDS = 150_000, 300_000
 #: A letter or digit ends the word before a tail of this punctuation.
 LETTERS = frozenset(re.findall("[A-Za-z0-9À-ÖØ-öø-ÿ]", "".join(map(chr, range(256)))))
 PUNCTUATION = "".join(re.findall(r"[!-/:-@\[-`{-~]", "".join(map(chr, range(128)))))
@@ -65,6 +65,11 @@ class WordEncoder:
         #: The model's own symbols stand for a word of these letters, which neither the normaliser nor the pre-tokeniser changes.
         self.plain = re.compile(f"[{PLAIN}]+" if all(piece(c + d) == (c + d).translate(self.bytes) for c in PLAIN for d in PLAIN) else "(?!)").fullmatch
 
+    def rest(self) -> None:
+        """Between partitions only the newer halves stay: Spark keeps workers, and their memory, for as long as the job runs."""
+        self.seen.forget()
+        self.whole.forget()
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -143,7 +148,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             ids, offsets = coder.encode(b.column("text"))
             total = np.diff(offsets)
             count = (total + length - 1) // length
@@ -157,6 +162,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             if with_ids:
                 columns.append(pa.array([ids[a : a + n] for a, n in zip(begin, size, strict=True)], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names)
+        coder.rest()
 
     narrow = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return narrow.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
