@@ -61,3 +61,39 @@ def test_a_worker_remembers_half_at_most_between_partitions(monkeypatch):
     encoder.rest()
     assert not encoder.whole.old and not encoder.seen.old
     assert [encoder.encode(t)[0].tolist() for t in texts] == first
+
+
+def test_words_are_hashed_together():
+    """All lengths, those of the library's long way too, of slices and of both kinds of string."""
+    from treeline.llm.common import hash64, hash_words, listed
+
+    rng = np.random.default_rng(5)
+    words = ["", *("".join(rng.choice(list("abcß1é.\U0001f600"), n)) for n in range(1, 60) for _ in range(5))]
+    for seed in (0, 1, 1 << 40):
+        for kind in (pa.string(), pa.large_string()):
+            given = pa.array(words, kind)
+            assert (hash_words(given, seed) == hash64(words, seed)).all() and (hash_words(given[7:40], seed) == hash64(words[7:40], seed)).all()
+    assert len(hash_words(pa.array([], pa.string()))) == 0 and listed(pa.array([], pa.string())) == []
+    assert listed(pa.array(words)) == words and listed(pa.array(["", ""])) == ["", ""]
+
+
+def test_toxicity_words_as_python_has_them():
+    from treeline.llm import toxicity
+    from treeline.llm.common import hash64
+
+    words = ["\u0391\u03a3.", "\u03a3", "\u0130x", "\u00abHaus\u00bb", "(\u00dcBER)", "'tis", "!!", "\u2026", "d\u00e9j\u00e0-vu", "IDIOT!", "ma\u00f1a\u00f1a", "a\x85b"]
+    kinds, codes, _ = toxicity.Lexicon().buckets(pa.array([" ".join(words)]))
+    plain = ["".join(c.lower() if c.isascii() else c for c in w).strip(toxicity.STRIP).lower() for w in words]
+    cut = [w[: toxicity.PREFIX] if len(w) >= toxicity.PREFIX else "" for w in plain]
+    want = [[int(hash64([w], s)[0] >> np.uint64(64 - toxicity.BITS)) if w else 0 for s, w in enumerate(x)] for x in zip(plain, cut)]
+    assert kinds[codes].tolist() == want
+
+
+def test_pooling_takes_the_first_of_equals():
+    from treeline.llm import toxicity
+
+    columns = toxicity.FILTERS * len(toxicity.WIDTHS)
+    value = np.tile(np.array([1, 3, 3, 3, 3, 2, 5, 0, 0], np.float32), (columns, 1))
+    top, where = toxicity.Network.pool(value, np.array([0, 6]))
+    assert top[:, 0, 0].tolist() == [3, 3, 3] and where[:, 0, 0].tolist() == [1, 2, 3]
+    assert top[:, 1, -1].tolist() == [5, 0, 0] and where[:, 1, -1].tolist() == [6, 7, 8]
