@@ -90,7 +90,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
-    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # small batches: the executors' heaps are grown by the stages before
+    return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), batch=packing.BATCH // 2)
 
 
 STAGES = [

@@ -97,3 +97,22 @@ def test_pooling_takes_the_first_of_equals():
     top, where = toxicity.Network.pool(value, np.array([0, 6]))
     assert top[:, 0, 0].tolist() == [3, 3, 3] and where[:, 0, 0].tolist() == [1, 2, 3]
     assert top[:, 1, -1].tolist() == [5, 0, 0] and where[:, 1, -1].tolist() == [6, 7, 8]
+
+
+def test_new_words_take_little_memory():
+    """Texts of nothing but new words: what a worker holds at most, arrays included."""
+    import inspect
+    import tracemalloc
+
+    from treeline.llm.common import slices
+
+    texts = pa.array([" ".join(f"q{i}w{k}e" for i in range(10_000)) for k in range(60)])
+    batch = pa.record_batch([texts], ["text"])
+    encoder = packing.WordEncoder(PATH)
+    most = inspect.signature(packing.pieces).parameters.get("batch")
+    tracemalloc.start()
+    for b in slices(iter([batch]), "text", most.default if most else 2 << 20):
+        encoder.encode(b.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6, peak

@@ -32,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, materialise, read, slices, tidy, words_of
+from .common import Remembered, listed, materialise, read, slices, tidy, words_of
 
 LENGTH = 2048
 END_ID = 0
 GROUP = 8_000
 #: Parts of words, and words as they stand, whose ids a worker remembers while it works on a partition (about 200 bytes each); half at most stay for the next.
-CACHE, WORDS = 150_000, 300_000
+CACHE, WORDS = 60_000, 120_000
+#: Bytes of text that are encoded together: their distinct words are the most of a worker's memory.
+BATCH = 1 << 20
 #: A letter or digit ends the word before a tail of this punctuation.
 LETTERS = frozenset(re.findall("[A-Za-z0-9À-ÖØ-öø-ÿ]", "".join(map(chr, range(256)))))
 PUNCTUATION = "".join(re.findall(r"[!-/:-@\[-`{-~]", "".join(map(chr, range(128)))))
@@ -113,7 +115,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and row offsets, an end id after every text."""
         words, codes, offsets = words_of(texts, lower=False)
-        words = words.to_pylist()
+        words = listed(words)
         each, missing = self.whole.take(words)
         new = [words[i] for i in missing]
         for i, w, e in zip(missing, new, self._split(new), strict=True):
@@ -140,7 +142,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False, batch: int = BATCH) -> DataFrame:
     """(key, piece, start, length, ids_crc32) of every document's pieces."""
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -148,7 +150,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", batch):
             ids, offsets = coder.encode(b.column("text"))
             total = np.diff(offsets)
             count = (total + length - 1) // length
@@ -213,8 +215,8 @@ def pack(rows: DataFrame, key: str = "doc_id", length: int = LENGTH, group: int
     return out.groupBy("_group").applyInPandas(run, schema)
 
 
-def best_fit_packing(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    return pack(materialise(pieces(docs, path, key, text, length, with_ids)), key, length)
+def best_fit_packing(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_ids: bool = False, batch: int = BATCH) -> DataFrame:
+    return pack(materialise(pieces(docs, path, key, text, length, with_ids, batch)), key, length)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
